@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("glyphs", "recode", "duplicates", "tokens")
+MODULES = ("glyphs", "recode", "duplicates", "tokens", "names")
 
 
 def _modules() -> list:
