@@ -50,10 +50,15 @@ class ConflictError(ValueError):
     """Two rules give one key different outputs, or an output holds a key."""
 
 
+_PLAIN_EXCEPTIONS = {"™"}
+
+
 def _rules() -> Iterator[tuple[str, str]]:
     for o in range(0x00A0, 0x30000):
         c = chr(o)
         kind, decomposition = unicodedata.category(c), unicodedata.decomposition(c)
+        if c in _PLAIN_EXCEPTIONS:
+            continue
         if kind == "Zs":
             yield c, " "
         elif kind == "Cf" and not 0x600 <= o <= 0x8FF and o not in (0x110BD, 0x110CD):
@@ -94,17 +99,24 @@ _FOREIGN = "".join(LOOKALIKES)
 _LATIN_TWINS = "".join(sorted({v for v in LOOKALIKES.values()}))
 
 
+# Ranges without any trigger; few and simple, since the JVM tests every character against them.
+PLAIN_RANGES = r"\x00-\x7F¡-¬®-ɏ\x{391}-\x{3c9}\x{401}-\x{45f}\x{2012}-\x{2027}\x{2030}-\x{203a}€№™\x{2190}-\x{23ff}\x{3001}-\x{3015}\x{4e00}-\x{9fff}！-／：-？"
+
+
 @lru_cache(1)
 def jvm_pattern() -> str:
     """Java: whether a text may hold a trigger."""
-    single = char_class(table())
     return (
-        f"[{single}\\x{{300}}-\\x{{36f}}]"
+        f"[^{PLAIN_RANGES}]"
         f"|[A-Za-z][{_FOREIGN}]|[{_FOREIGN}][A-Za-z]"
         f"|(?<!\\p{{L}})[{_FOREIGN}]{{1,4}}(?!\\p{{L}})"
     )
 
 
+def may_change(c: Column) -> Column:
+    return c.rlike(r"[^\x00-\x7F]") & c.rlike(jvm_pattern())
+
+
 @lru_cache(1)
 def _scanner() -> tuple[regex.Pattern, regex.Pattern, dict[str, str]]:
     t = table()
@@ -175,7 +187,7 @@ def _normalise_udf(texts: pd.Series) -> pd.Series:
 def normalised(column: str) -> Column:
     """The consistent form of a string column; only rows with a trigger leave the JVM's expression."""
     c = F.col(column)
-    return F.when(c.rlike(jvm_pattern()), _normalise_udf(c)).otherwise(c)
+    return F.when(may_change(c), _normalise_udf(c)).otherwise(c)
 
 
 def unify(df: DataFrame, *columns: str) -> DataFrame:
@@ -189,7 +201,7 @@ def unify(df: DataFrame, *columns: str) -> DataFrame:
 def candidates(papers: DataFrame) -> DataFrame:
     """(paper_id, field, text): the fields that hold any trigger, found in the JVM."""
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("title", "abstract")]))
-    return papers.select(F.col("id").alias("paper_id"), fields.alias("f")).select("paper_id", "f.*").where(F.col("text").rlike(jvm_pattern()))
+    return papers.select(F.col("id").alias("paper_id"), fields.alias("f")).select("paper_id", "f.*").where(may_change(F.col("text")))
 
 
 def affected_fields(papers: DataFrame) -> DataFrame:
