@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("linkage", "glyphs", "recode", "duplicates", "tokens", "names")
+MODULES = ("linkage", "glyphs", "recode", "languages", "duplicates", "names", "tokens")
 
 
 def _modules() -> list:
