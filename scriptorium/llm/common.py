@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -37,6 +38,11 @@ def parallelism(spark: SparkSession) -> int:
     return max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
 
 
+def beyond_ascii(c: Column) -> Column:
+    """Whether a text has a character beyond ASCII; far cheaper than a pattern."""
+    return F.octet_length(c) != F.length(c)
+
+
 def char_class(chars: Iterable[str]) -> str:
     """The inside of a Java or Python character class holding ``chars``, adjacent code points joined to ranges."""
     points = sorted({ord(c) for c in chars})

@@ -6,7 +6,7 @@ spaces, invisible characters) and a short list of look-alike letters.  Compiling
 checks it for conflicts: no key has two outputs and no output holds a key, so the
 transducer needs one pass and its result is a fixed point.
 
-The JVM finds the rows that hold any trigger; only those reach Python, where one
+Plain ASCII never leaves the JVM and a text without triggers is passed on by one search; in the rest, one
 pass takes, at each place, the longest key: a whole cluster, or else its parts.
 Look-alike letters depend on their word: a letter of another script counts only
 in a word whose other letters decide for one script, or where a word made of
@@ -20,6 +20,7 @@ whole words in their own script are left as they are.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import char_class, read
+from scriptorium.llm.common import beyond_ascii, char_class, read
 
 # Letters that look like a Latin letter, and that letter.
 LOOKALIKES = dict(
@@ -99,22 +100,9 @@ _FOREIGN = "".join(LOOKALIKES)
 _LATIN_TWINS = "".join(sorted({v for v in LOOKALIKES.values()}))
 
 
-# Ranges without any trigger; few and simple, since the JVM tests every character against them.
-PLAIN_RANGES = r"\x00-\x7F¡-¬®-ɏ\x{391}-\x{3c9}\x{401}-\x{45f}\x{2012}-\x{2027}\x{2030}-\x{203a}€№™\x{2190}-\x{23ff}\x{3001}-\x{3015}\x{4e00}-\x{9fff}！-／：-？"
-
-
-@lru_cache(1)
-def jvm_pattern() -> str:
-    """Java: whether a text may hold a trigger."""
-    return (
-        f"[^{PLAIN_RANGES}]"
-        f"|[A-Za-z][{_FOREIGN}]|[{_FOREIGN}][A-Za-z]"
-        f"|(?<!\\p{{L}})[{_FOREIGN}]{{1,4}}(?!\\p{{L}})"
-    )
-
-
-def may_change(c: Column) -> Column:
-    return c.rlike(r"[^\x00-\x7F]") & c.rlike(jvm_pattern())
+# Ranges without any trigger.
+PLAIN_RANGES = "\x00-\x7F¡-¬®-ɏ\u0391-\u03c9\u0401-\u045f\u2012-\u2027\u2030-\u203a€№™\u2190-\u23ff\u3001-\u3015\u4e00-\u9fff！-／：-？"
+_TRIGGER = re.compile(f"[^{PLAIN_RANGES}]|[A-Za-z][{_FOREIGN}]|[{_FOREIGN}][A-Za-z]|(?<!\\w)[{_FOREIGN}]{{1,4}}(?!\\w)")
 
 
 @lru_cache(1)
@@ -171,7 +159,7 @@ def _unmix(text: str) -> str:
 
 def normalise(text: str | None) -> str | None:
     """The consistent form of one text; the text itself if nothing in it is a trigger."""
-    if not text or text.isascii():
+    if not text or text.isascii() or not _TRIGGER.search(text):
         return text
     done = _scanner()[0].sub(_cluster, text)
     if _ANY_FOREIGN.search(done) or regex.search(f"[{OTHER}]", done):
@@ -187,7 +175,7 @@ def _normalise_udf(texts: pd.Series) -> pd.Series:
 def normalised(column: str) -> Column:
     """The consistent form of a string column; only rows with a trigger leave the JVM's expression."""
     c = F.col(column)
-    return F.when(may_change(c), _normalise_udf(c)).otherwise(c)
+    return F.when(beyond_ascii(c), _normalise_udf(c)).otherwise(c)
 
 
 def unify(df: DataFrame, *columns: str) -> DataFrame:
@@ -199,14 +187,20 @@ def unify(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def candidates(papers: DataFrame) -> DataFrame:
-    """(paper_id, field, text): the fields that hold any trigger, found in the JVM."""
+    """(paper_id, field, text): the fields that may hold a trigger."""
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("title", "abstract")]))
-    return papers.select(F.col("id").alias("paper_id"), fields.alias("f")).select("paper_id", "f.*").where(may_change(F.col("text")))
+    return papers.select(F.col("id").alias("paper_id"), fields.alias("f")).select("paper_id", "f.*").where(beyond_ascii(F.col("text")))
+
+
+def _changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        done = b["text"].map(normalise)
+        yield b.assign(unified=done)[done != b["text"]][["paper_id", "field", "unified"]]
 
 
 def affected_fields(papers: DataFrame) -> DataFrame:
     """(paper_id, field, unified) of the fields that change."""
-    return candidates(papers).withColumn("unified", _normalise_udf("text")).where("unified != text").select("paper_id", "field", "unified")
+    return candidates(papers).mapInPandas(_changes, "paper_id long, field string, unified string")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
