@@ -22,6 +22,7 @@ import math
 import os
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,16 +199,18 @@ class KindsOfCharacters:
         return got
 
     def score(self, before: str, text: str, after: str) -> float:
-        return sum(self.of(c) for c in text)
+        return sum(n * self.of(c) for c, n in Counter(text).items())
 
 
-_SUSPECT = re.compile("[^\x00-\x7fÀ-ÿ ¡¿«»°Ѐ-џ‐-…、-〕一-鿿！-？œŒ]|[ÂÃÄÅÐÑÎÏ][^\x00-\x7f]|[–—][^\x00-\x7f]|[А-Я][°-ї «»“”‘’„…–—]|[¡-ÿ]{4}|[一-鿿]{6}|[a-z][一-鿿]")
+_SUSPECT = re.compile("[^\x00-\x7fÀ-ÿ ¡¿«»°Ѐ-џ‐-…、-〕一-鿿！-？œŒ]|[ÂÃÄÅÐÑÎÏ][^\x00-\x7f]|[–—][^\x00-\x7f]|[А-Я][°-ї «»“”‘’„…–—]|[¡-ÿ]{4}")
+_FEW_HAN = re.compile("[a-z][一-鿿]|[一-鿿]{6}")
+_AS_GB = next(k for k in recode.keys() if k.name == recode.Utf8AsGb.name)
 
 
 def clean(text: str, kinds: KindsOfCharacters) -> str:
     if text.isascii():
         return text
-    if _SUSPECT.search(text):
+    if _SUSPECT.search(text) or _FEW_HAN.search(text) and _AS_GB.possible(text):
         tried = [recode._apply(text, key, kinds)[0] for key in recode.keys()]
         text = max([text, *(t for t in tried if t != text)], key=lambda t: kinds.score("", t, ""))
     return glyphs.normalise(text)
