@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("linkage", "glyphs", "recode", "languages", "duplicates", "enrichment", "names", "tokens")
+MODULES = ("linkage", "glyphs", "recode", "languages", "duplicates", "enrichment", "names", "tokens", "mixture", "reading")
 
 
 def _modules() -> list:
