@@ -52,22 +52,29 @@ def terms(text: str) -> list[str]:
 # --- hypergeometric tail -------------------------------------------------------------------------------------------
 
 
+#: log n! of small n, summed up once; beyond it Stirling's series, whose error there is below 1e-20.
+_SMALL = 1 << 16
+_LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, _SMALL, dtype=np.float64)))])
+
+
 def _log_falling(x: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """log Γ(x + 1) - log Γ(x - m + 1) for 0 <= m <= x, without cancelling: Stirling's series of the difference."""
-    rest = x - m
-    small = rest < 10
-    r = np.where(small, rest + 10, rest)
-    # Γ(rest + 1) by Γ(rest + 11) and ten factors where the series isn't good enough
-    y, z = x + 0.0, r + 0.0
-    shift = np.zeros_like(y)
-    low_x = y < 10
-    y = np.where(low_x, y + 10, y)
-    for i in range(1, 11):
-        shift += np.where(small, np.log(np.maximum(rest + i, 1)), 0.0) - np.where(low_x, np.log(np.maximum(x + i, 1)), 0.0)
-    d = y - z
+    """log x! - log (x - m)! for 0 <= m <= x, without cancelling: by table, or Stirling's series of the difference."""
+    small = x < _SMALL
+    if small.all():
+        return _LOG_FACTORIAL[x.astype(np.int64)] - _LOG_FACTORIAL[(x - m).astype(np.int64)]
+    y, d = np.maximum(x, 1.0), m
+    z = np.maximum(y - d, 0.5)
     with np.errstate(divide="ignore", invalid="ignore"):
-        main = d * np.log(y) - (z + 0.5) * np.log1p(-d / y) - d
-    return main + (1 / y - 1 / z) / 12 - (1 / y**3 - 1 / z**3) / 360 + shift
+        out = d * np.log(y) - (z + 0.5) * np.log1p(-d / y) - d + (1 / y - 1 / z) / 12
+    # few left of many: the series isn't good for the small end
+    near = ~small & (x - m < 100)
+    if near.any():
+        a, b = x[near], (x - m)[near].astype(np.int64)
+        out[near] = (a + 0.5) * np.log(a) - a + 0.5 * np.log(2 * np.pi) + 1 / (12 * a) - _LOG_FACTORIAL[b]
+    if small.any():
+        a = np.where(small, x, 0).astype(np.int64)
+        out = np.where(small, _LOG_FACTORIAL[a] - _LOG_FACTORIAL[np.where(small, x - m, 0).astype(np.int64)], out)
+    return out
 
 
 def log_pmf(j: np.ndarray, K: np.ndarray, n: np.ndarray, N: float) -> np.ndarray:
@@ -84,11 +91,29 @@ def log_tail(k: np.ndarray, K: np.ndarray, n: np.ndarray, N: float) -> np.ndarra
     k, K, n = (np.asarray(v, dtype=np.float64) for v in (k, K, n))
     if not len(k):
         return np.zeros(0)
+    once = (k == 1) & (n <= N - K)
+    out = np.zeros(len(k))
+    if once.any():
+        # at least one: one minus the probability of none, which doesn't cancel
+        a, b = K[once], n[once]
+        drawn, back = np.unique(b, return_inverse=True)
+        out[once] = np.log(-np.expm1(_log_falling(N - a, b) - _log_falling(np.full_like(drawn, N), drawn)[back]))
+    rest = ~once
+    out[rest] = _log_tail(k[rest], K[rest], n[rest], N)
+    return out
+
+
+def _log_tail(k: np.ndarray, K: np.ndarray, n: np.ndarray, N: float) -> np.ndarray:
+    if not len(k):
+        return np.zeros(0)
+    lead = log_pmf(k, K, n, N)
     upper = k > n * K / N
     # from k up where k is beyond the mean, else one minus the part below k
     j = np.where(upper, k, k - 1)
-    term = np.exp(np.clip(log_pmf(j, K, n, N) - np.where(upper, log_pmf(k, K, n, N), 0.0), -745, 700))
-    first = np.where(upper, log_pmf(k, K, n, N), 0.0)
+    first = np.where(upper, lead, 0.0)
+    term = np.ones(len(k))
+    low = ~upper
+    term[low] = np.exp(np.clip(log_pmf(j[low], K[low], n[low], N), -745, 700))
     total = np.where(j >= np.maximum(n - (N - K), 0), term, 0.0)
     live = np.flatnonzero(total > 0)
     cur, jj = term[live], j[live]
@@ -145,37 +170,42 @@ def _pairs(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return distinct, pair // width, pair % width, k, n
 
 
-_RARE = "paper_id long, term string, k long, terms long"
+#: kind 0: paper_id is a bin of the histogram and k its pairs; kind 1: a pair of a rare term, in a record of so many terms.
+_FIRST = "kind int, paper_id long, term string, k long, terms long"
 _SCORED = "paper_id long, term string, k long, log_p double"
 
 
-def _rare_pairs(shared):
+def _scored_pairs(b: pa.RecordBatch, frequent: dict[str, int], total: int) -> tuple:
+    """(pairs as _pairs has them, count of each term, log p of the pairs of frequent terms, which those are)."""
+    pairs = distinct, record, code, k, n = _pairs(b)
+    count = np.fromiter((frequent.get(t, 0) for t in distinct), np.int64, len(distinct))
+    ok = count[code] > 0
+    return pairs, ok, log_tail(k[ok], count[code[ok]], n[record[ok]], float(total))
+
+
+def _first_pass(shared, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
+        names = ["kind", "paper_id", "term", "k", "terms"]
         for b in batches:
-            distinct, record, code, k, n = _pairs(b)
-            rare = np.fromiter((t not in frequent for t in distinct), bool, len(distinct))[code]
-            ids = b.column("id").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[record[rare]]), pa.array(distinct, pa.string()).take(pa.array(code[rare])), pa.array(k[rare]), pa.array(n[record[rare]])],
-                names=["paper_id", "term", "k", "terms"],
-            )
+            (distinct, record, code, k, n), ok, log_p = _scored_pairs(b, shared.value, total)
+            at, pairs = np.unique(_bin(log_p), return_counts=True)
+            nothing = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(at), pa.nulls(len(at), pa.string()), pa.array(pairs), nothing], names=names)
+            r = ~ok
+            ids = b.column("id").to_numpy()[record[r]]
+            words = pa.array(distinct, pa.string()).take(pa.array(code[r]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(ids), np.int32)), pa.array(ids), words, pa.array(k[r]), pa.array(n[record[r]])], names=names)
 
     return run
 
 
-def _frequent_scored(shared, total: int, emit):
-    """Scores the pairs of frequent terms; emit makes the output batch of (ids, terms, k, log p)."""
+def _last_pass(shared, total: int, adjust: Adjustment):
+    emit = _final(adjust)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
         for b in batches:
-            distinct, record, code, k, n = _pairs(b)
-            count = np.fromiter((frequent.get(t, 0) for t in distinct), np.int64, len(distinct))
-            ok = count[code] > 0
-            record, code, k = record[ok], code[ok], k[ok]
-            log_p = log_tail(k, count[code], n[record], float(total))
-            yield emit(b.column("id").to_numpy()[record], pa.array(distinct, pa.string()).take(pa.array(code)), k, log_p)
+            (distinct, record, code, k, _), ok, log_p = _scored_pairs(b, shared.value, total)
+            yield emit(b.column("id").to_numpy()[record[ok]], pa.array(distinct, pa.string()).take(pa.array(code[ok])), k[ok], log_p)
 
     return run
 
@@ -184,7 +214,7 @@ def _bin(log_p: np.ndarray) -> np.ndarray:
     return np.minimum((-log_p * BINS).astype(np.int64), NATS * BINS - 1).clip(0)
 
 
-def _histogram(_ids, _terms, _k, log_p: np.ndarray) -> pa.RecordBatch:
+def _histogram(log_p: np.ndarray) -> pa.RecordBatch:
     at, n = np.unique(_bin(log_p), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["at", "n"])
 
@@ -236,16 +266,16 @@ def distinctive_terms(papers: DataFrame, frequent_bound: int = FREQUENT) -> Data
             k, n, c = (b.column(x).to_numpy() for x in ("k", "terms", "n"))
             yield pa.RecordBatch.from_arrays([b.column("paper_id"), b.column("term"), b.column("k"), pa.array(log_tail(k, c, n, float(total)))], names=["paper_id", "term", "k", "log_p"])
 
-    pieces = [texts.mapInArrow(_frequent_scored(shared, total, _histogram), "at long, n long")]
+    first = cut(texts.mapInArrow(_first_pass(shared, total), _FIRST))
+    bins = first.where("kind = 0").select(F.col("paper_id").alias("at"), F.col("k").alias("n"))
     rare = None
     if least > 1:
-        met = texts.mapInArrow(_rare_pairs(shared), _RARE).join(counts.where(F.col("n") < least), "term")
+        met = first.where("kind = 1").drop("kind").join(counts.where(F.col("n") < least), "term")
         rare = cut(met.mapInArrow(score_rare, _SCORED))
-        pieces.append(rare.mapInArrow(lambda bs: (_histogram(None, None, None, b.column("log_p").to_numpy()) for b in bs), "at long, n long"))
-    bins = pieces[0] if rare is None else pieces[0].unionByName(pieces[1])
+        bins = bins.unionByName(rare.mapInArrow(lambda bs: (_histogram(b.column("log_p").to_numpy()) for b in bs), "at long, n long"))
     h = bins.groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most NATS * BINS rows
     adjust = Adjustment(h["at"].to_numpy(np.int64), h["n"].to_numpy(np.float64))
-    out = texts.mapInArrow(_frequent_scored(shared, total, _final(adjust)), _OUT)
+    out = texts.mapInArrow(_last_pass(shared, total, adjust), _OUT)
     if rare is None:
         return out
     emit = _final(adjust)
