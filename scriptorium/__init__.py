@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
 
-def queries():
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.queries import flagship as run
 
+    return run(spark, sf_dir)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from scriptorium.queries import QUERIES
+
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    from scriptorium.queries import SQL
+
+    return dict(SQL)
