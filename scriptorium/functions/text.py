@@ -144,7 +144,7 @@ LINE_BREAK = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
 def lines(text: Column) -> Column:
-    return F.transform(F.split(text_or_empty(text), LINE_BREAK), strip)
+    return F.transform(F.split(text_or_empty(text), LINE_BREAK), lambda x: strip(x))
 
 
 def _is_noise(line: Column) -> Column:

@@ -10,7 +10,7 @@ from scriptorium.functions.text import content_key, strip, text_or_empty
 
 def author_list(joined: Column) -> Column:
     """Names of a string joined by commas."""
-    return F.filter(F.transform(F.split(joined, ","), strip), lambda n: n != "")
+    return F.filter(F.transform(F.split(joined, ","), lambda n: strip(n)), lambda n: n != "")
 
 
 def mapped(raw: DataFrame) -> DataFrame:

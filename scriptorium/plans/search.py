@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -171,8 +172,9 @@ class Searcher:
         """Any of the query's terms or of their translations; without translations there is no result."""
         pairs = self.terms(query)
         words = list(dict.fromkeys(w for w, _ in pairs))
+        whole = re.findall("[一-鿿]+", query)  # a Chinese run may be an entry of its own, however it is cut
         grams = [" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1)]
-        found = self.translations(words + grams)
+        found = self.translations(list(dict.fromkeys(words + whole)) + grams)
         if not found:
             return None, {}
         terms = [t for _, t in pairs] + [t for _, _, syn in found for s in syn for _, t in self.terms(s)]
