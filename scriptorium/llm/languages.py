@@ -63,6 +63,7 @@ def named_language(label: Column) -> Column:
 # --- words and sentences -------------------------------------------------------------------------------------------
 
 _WORD = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’][^\W\d_㐀-鿿]+)*")
+_HAN = re.compile("[㐀-鿿]")
 _BREAK = re.compile(r"(?<=[.!?])[\"'”’»)]*\s+|(?<=[。！？])|[\r\n]+")
 
 
@@ -234,35 +235,33 @@ class Scorer:
             self.rows.append(self.pieces.forward(w))
         return k
 
-    def segments(self, texts: list[str]) -> Iterator[tuple[int, int, str, int, np.ndarray, bool]]:
-        """(text, segment, sentence, words, log scores, long enough) of every sentence."""
+    def segments(self, texts: list[str]) -> Iterator[tuple[int, int, str, int, float, bool]]:
+        """(text, segment, sentence, language, posterior, long enough) of every sentence."""
         if len(self.known) > self.limit:
             self.known.clear()
             self.rows.clear()
         flat: list[int] = []
-        own: list[tuple[int, int, str, int, int]] = []
+        own: list[tuple[int, int, str, bool]] = []
+        sizes: list[int] = []
         get, word = self.known.get, self.word
         for t, text in enumerate(texts):
-            for k, s in enumerate(sentences(clean(text, self.kinds))):
+            text = clean(text, self.kinds)
+            plain = text.isascii()
+            for k, s in enumerate(sentences(text)):
                 w = words(s)
-                if w:
-                    # a run of spaced single letters or the like isn't a word of any language
-                    han = sum("㐀" <= x <= "鿿" for x in w if len(x) == 1)
-                    own.append((t, k, s, len(w), han))
+                n = len(w)
+                if n:
+                    han = 0 if plain else len(_HAN.findall(s))
+                    own.append((t, k, s, n - han >= LEAST_WORDS or han >= LEAST_HAN))
+                    sizes.append(n)
                     flat += [i if (i := get(x)) is not None else word(x) for x in w]
         if not own:
             return
-        score = np.array(self.rows)[flat]
-        ends = np.cumsum([o[3] for o in own])
-        sums = np.add.reduceat(score, ends - [o[3] for o in own], axis=0)
-        for (t, k, s, n, han), x in zip(own, sums, strict=True):
-            yield t, k, s, n, x, n - han >= LEAST_WORDS or han >= LEAST_HAN
-
-
-def _posterior(x: np.ndarray) -> tuple[int, float]:
-    e = np.exp(x - x.max())
-    k = int(x.argmax())
-    return k, float(e[k] / e.sum())
+        sums = np.add.reduceat(np.array(self.rows)[flat], np.cumsum(sizes) - sizes, axis=0)
+        best = sums.argmax(axis=1)
+        posterior = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+        for (t, k, s, enough), lang, p in zip(own, best.tolist(), posterior.tolist(), strict=True):
+            yield t, k, s, lang, p, enough
 
 
 def training_counts(papers: DataFrame) -> dict[tuple[str, str], int]:
@@ -296,8 +295,7 @@ def segment_languages(papers: DataFrame, path: str) -> DataFrame:
         for b in batches:
             ids = b["id"].to_numpy()
             out = []
-            for t, k, s, n, x, enough in scorer.segments(b["abstract"].tolist()):
-                lang, p = _posterior(x)
+            for t, k, s, lang, p, enough in scorer.segments(b["abstract"].tolist()):
                 out.append((ids[t], k, s, LANGUAGES[lang] if enough else None, p if enough else 0.0))
             yield pd.DataFrame(out, columns=["paper_id", "segment", "sentence", "lang", "confidence"])
 
@@ -313,11 +311,9 @@ def unnamed_languages(papers: DataFrame, path: str) -> DataFrame:
         for b in batches:
             ids, named = b["id"].to_numpy(), b["named"].tolist()
             out = set()
-            for t, _, _, _, x, enough in scorer.segments(b["abstract"].tolist()):
-                if enough:
-                    lang, p = _posterior(x)
-                    if p >= LEAST_POSTERIOR and LANGUAGES[lang] != named[t]:
-                        out.add((ids[t], LANGUAGES[lang]))
+            for t, _, _, lang, p, enough in scorer.segments(b["abstract"].tolist()):
+                if enough and p >= LEAST_POSTERIOR and LANGUAGES[lang] != named[t]:
+                    out.add((ids[t], LANGUAGES[lang]))
             yield pd.DataFrame(list(out), columns=["paper_id", "lang"])
 
     rows = papers.select("id", F.coalesce(named_language(F.col("language")), F.lit("")).alias("named"), "abstract").where("abstract != ''")
