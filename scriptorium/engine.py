@@ -12,6 +12,7 @@ from scriptorium.operators import index as I
 from scriptorium.operators import records as R
 from scriptorium.operators.keywords import keyword_lists, ranked_keywords, with_final_keywords
 from scriptorium.plans.search import Searcher, SearchResult
+from scriptorium.shared import settled
 from scriptorium.sources import crawl, files
 from scriptorium.streaming.ingest import accepted
 
@@ -32,7 +33,8 @@ class Library:
         self.stopwords, self.bilingual, self.segment = stopwords, bilingual, segment
         if index is None:
             index = with_final_keywords(papers, stopwords, preserve_explicit, segment) if keywords else I.build(papers, stopwords, segment)
-        self.index = index
+        # later calls build on these tables, so their lineage ends here
+        self.index = I.Index(*(settled(t) for t in (index.papers, index.postings, index.spellings)))
 
     @property
     def spark(self) -> SparkSession:
@@ -74,12 +76,12 @@ class Library:
 
         Explicit keywords stay; others are extracted with the frequencies from before the records came.
         """
-        fresh = accepted(self.index.papers, records.where("title is not null and trim(title) != ''"))
+        fresh = settled(accepted(self.index.papers, records.where("title is not null and trim(title) != ''")))
         df = I.document_frequency(self.index.postings)
         found = keyword_lists(ranked_keywords(fresh, df, self.index.papers.count(), self.stopwords, segment=self.segment)).withColumnRenamed("keywords", "found")
         empty = F.array().cast("array<string>")
         fresh = fresh.join(found, "paper_id", "left").withColumn("keywords", F.when(F.size("keywords") > 0, F.col("keywords")).otherwise(F.coalesce("found", empty))).drop("found", "ord")
-        return self._with(I.append(self.index, fresh, self.stopwords, self.segment))
+        return self._with(I.append(self.index, settled(fresh), self.stopwords, self.segment))
 
     def remove(self, *ids: int) -> Library:
         return self._with(I.remove(self.index, list(ids), self.stopwords, self.segment))
@@ -88,7 +90,7 @@ class Library:
         """Parses files, those of ZIP archives too, and adds them; also gives what was parsed."""
         zipped = F.lower("name").endswith(".zip")
         entries = files.zip_entries(contents.where(zipped)).where("error is null").select("name", "content")
-        done = files.parse_files(contents.where(~zipped).select("name", "content").unionByName(entries), extract_pdf)
+        done = settled(files.parse_files(contents.where(~zipped).select("name", "content").unionByName(entries), extract_pdf))
         none = F.lit(None).cast("string")
         rows = done.select(
             "title", "abstract", "authors", "year", none.alias("source_id"), F.array().cast("array<string>").alias("keywords"), none.alias("language"),
