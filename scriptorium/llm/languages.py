@@ -203,7 +203,9 @@ class KindsOfCharacters:
         return sum(n * self.of(c) for c, n in Counter(text).items())
 
 
-_SUSPECT = re.compile("[^\x00-\x7fÀ-ÿ ¡¿«»°Ѐ-џ‐-…、-〕一-鿿！-？œŒ]|[ÂÃÄÅÐÑÎÏ][^\x00-\x7f]|[–—][^\x00-\x7f]|[А-Я][°-ї «»“”‘’„…–—]|[¡-ÿ]{4}")
+# What the legacy Cyrillic page shows for the tail bytes of UTF-8.
+_TAILS = "ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЁЄЇІіґёєјЅѕї°±µ¶·№»¤¦§©¬®‚„…†‡€‰‹›‘’“”•–—™\xa0\xad«"
+_SUSPECT = re.compile(f"[^\x00-\x7fÀ-ÿ\xa0\xad¡¿«»°α-ωΑ-ΩЀ-џ‐-…€\u2000-\u200d\u202f\u2060\ufeff、-〕一-鿿！-ｚﬀ-ﬄ\u0300-\u030cœŒ№]|[ÂÃÄÅÐÑÎÏ][^\x00-\x7f]|[–—][^\x00-\x7f]|[А-Я][{_TAILS}]|[¡-ÿ]{{4}}")
 _FEW_HAN = re.compile("[a-z][一-鿿]|[一-鿿]{6}")
 _AS_GB = next(k for k in recode.keys() if k.name == recode.Utf8AsGb.name)
 
