@@ -10,7 +10,8 @@ of which there can be at most ``FREQUENT`` by their share of all terms, are broa
 are read; pairs of the remaining, rare terms meet their counts in a join that no hot
 term takes part in.  The adjustment takes ranks from a histogram of the log
 probabilities with ``BINS`` bins a nat: a pair's rank is one more than the number of pairs in
-likelier-than-chance bins beyond its own, so q is never understated.
+likelier-than-chance bins beyond its own, so q is never understated,
+and by no more than a bin's width overstated.
 
 Edge cases: null and empty fields hold no terms; a record without terms has no rows; rows
 repeated under one id are records of their own, with rows of their own; ties have equal scores;
@@ -229,9 +230,9 @@ class Adjustment:
         beyond = counts[::-1].cumsum()[::-1] - counts  # pairs in bins less likely by chance
         edge = np.exp(-np.arange(NATS * BINS) / BINS)  # the largest probability in a bin
         self.rank = beyond + 1
-        # the least value that any bin of larger probabilities reaches
+        # at a bin's largest probability all its pairs are ranked; smaller probabilities can't be adjusted to more
         reached = edge * self.pairs / np.maximum(beyond + counts, 1)
-        self.limit = np.minimum.accumulate(np.concatenate([[1.0], reached[:-1]]))
+        self.limit = np.minimum.accumulate(np.where(counts + beyond > 0, reached, np.inf))
 
     def q(self, log_p: np.ndarray) -> np.ndarray:
         b = _bin(log_p)

@@ -102,7 +102,7 @@ _LATIN_TWINS = "".join(sorted({v for v in LOOKALIKES.values()}))
 
 # Ranges without any trigger.
 PLAIN_RANGES = "\x00-\x7F¡-¬®-ɏ\u0391-\u03c9\u0401-\u045f\u2012-\u2027\u2030-\u203a€№™\u2190-\u23ff\u3001-\u3015\u4e00-\u9fff！-／：-？"
-_TRIGGER = re.compile(f"[^{PLAIN_RANGES}]|[A-Za-z][{_FOREIGN}]|[{_FOREIGN}][A-Za-z]|(?<![^\\W\\d_])[{_FOREIGN}]{{1,4}}(?![^\\W\\d_])")
+_TRIGGER = re.compile(f"[^{PLAIN_RANGES}]|[A-Za-z][{OTHER}]|[{OTHER}][A-Za-z]|(?<![^\\W\\d_])[{_FOREIGN}]{{1,4}}(?![^\\W\\d_])")
 
 
 @lru_cache(1)

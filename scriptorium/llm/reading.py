@@ -260,6 +260,7 @@ def fit_levels(documents: DataFrame, labels: DataFrame) -> Levels | None:
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, grade, level): the calibrated grade and the nearest level of every document with text."""
+    documents, labels = documents.select("doc_id", "text", "source"), labels.select("doc_id", "level")
     model = fit_levels(documents, labels)
     rows = documents.where("trim(text) != ''").select("doc_id", "text")
     if model is None:
