@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import content_key, strip, text_or_empty
+from scriptorium.shared import in_order
 
 
 def author_list(joined: Column) -> Column:
@@ -45,7 +46,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("paper_id").orderBy("ord"))
     marked = rows.withColumn("keeps", F.col("paper_id").isNotNull() & (first == 1))
     kept, rest = marked.where("keeps").drop("keeps"), marked.where("not keeps").drop("keeps")
-    waiting = rest.withColumn("n", F.row_number().over(Window.orderBy("ord")))
+    waiting = in_order(rest, "ord")
     n = rest.count()
     if not n:
         return kept
@@ -53,7 +54,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     # among the first (rows kept + rows waiting) ids enough are free
     top = kept.count() + n
     ids = rows.sparkSession.range(0, top).select(F.col("id").alias("paper_id")).join(used, "paper_id", "left_anti")
-    free = ids.withColumn("n", F.row_number().over(Window.orderBy("paper_id"))).where(F.col("n") <= n)
+    free = in_order(ids, "paper_id").where(F.col("n") <= n)
     return kept.unionByName(waiting.drop("paper_id").join(free, "n").drop("n").select(rows.columns))
 
 

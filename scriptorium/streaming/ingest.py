@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.operators.records import key_of, merge_strict
+from scriptorium.shared import in_order
 
 
 def accepted(library: DataFrame, batch: DataFrame) -> DataFrame:
     """The new records of a batch with ids after the library's greatest. (batch has ord)"""
     top = library.agg(F.coalesce(F.max("paper_id"), F.lit(-1)).alias("top")).first()["top"]
     fresh = merge_strict(library, batch)
-    return fresh.withColumn("paper_id", F.lit(top) + F.row_number().over(Window.orderBy("ord")))
+    return in_order(fresh.drop("paper_id"), "ord").withColumn("paper_id", F.lit(top) + F.col("n")).drop("n")
 
 
 def report(library: DataFrame, batch: DataFrame) -> DataFrame:

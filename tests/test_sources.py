@@ -92,3 +92,17 @@ def test_crawl_sources(spark):
     assert [(r["source_id"], r["abstract"]) for r in crawl.fetch(spark, "works").collect()] == [("W1", "a b")]
     with pytest.raises(ValueError):
         crawl.fetch(spark, "nowhere")
+
+
+def test_refiner_guards(spark):
+    from pyspark.sql import functions as F
+
+    from scriptorium.sources.refine import refined
+
+    df = spark.createDataFrame([("Abstract: x", "Old", "", [], None), ("no marker", "Old", "", [], 2000)], "text string, title string, abstract string, authors array<string>, year int")
+    answer = F.lit('```json\n{"title": "A new title", "abstract": "' + "word " * 20 + '", "authors": ["A"], "year": 1850, "keywords": ["trees", "method", "12", "trees"]}\n```')
+    got = refined(df, lambda text: answer).collect()
+    assert got[0]["title"] == "A new title" and got[0]["abstract"].startswith("word") and got[0]["year"] is None
+    assert got[1]["abstract"] == "" and got[1]["year"] == 2000 and got[1]["agent_keywords"] == ["trees"]
+    assert refined(df, lambda text: F.lit("no json")).first()["title"] == "Old"
+    assert not refined(df).first()["ai_used"]
