@@ -159,8 +159,10 @@ def single_spaced(line: Column) -> Column:
 def clean_lines(text: Column) -> Column:
     """The lines of a text's body with single spaces; of equal neighbours the first stays."""
     body = F.filter(lines(text), lambda x: ~_is_noise(x))
-    fresh = F.filter(body, lambda x, i: (i == 0) | (x != single_spaced(F.get(body, i - 1))))
-    return F.transform(fresh, single_spaced)
+    before = F.concat(F.array(F.lit("")), F.transform(body, lambda x: single_spaced(x)))
+    # each line beside the one before it, which is one array further, so the last pair has no line
+    fresh = F.zip_with(body, before, lambda x, p: F.when(x != p, single_spaced(x)))
+    return F.filter(fresh, lambda x: x.isNotNull())
 
 
 def clean_text(text: Column) -> Column:

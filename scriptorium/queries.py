@@ -36,7 +36,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table; one of fewer splits than there are cores is small, and spread so that all of them work on it."""
+    df, cores = spark.read.parquet(f"{d}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("papers", "documents") and df.rdd.getNumPartitions() < cores // 2 else df
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
