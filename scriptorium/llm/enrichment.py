@@ -39,10 +39,17 @@ BINS, NATS = 32, 700
 _TERM = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿][^\W_㐀-鿿]*(?:-[^\W_㐀-鿿]+)*")
 
 
+_HAN = re.compile("[㐀-鿿]")
+
+
 def terms(text: str) -> list[str]:
     """Words in lower case; of a run of Chinese characters each pair, or the character if it stands alone."""
+    low = text.lower()
+    found = _TERM.findall(low)
+    if low.isascii() or not _HAN.search(low):
+        return found
     out = []
-    for w in _TERM.findall(text.lower()):
+    for w in found:
         if "㐀" <= w[0] <= "鿿" and len(w) > 2:
             out += [w[i : i + 2] for i in range(len(w) - 1)]
         else:
