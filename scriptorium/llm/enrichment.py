@@ -94,11 +94,16 @@ def log_pmf(j: np.ndarray, K: np.ndarray, n: np.ndarray, N: float) -> np.ndarray
     return np.where(ok, f(K, i) - f(i, i) + f(n, i) + f(N - K, n - i) - f(np.full_like(n, N), n), -np.inf)
 
 
+_CHUNK = 1 << 16
+
+
 def log_tail(k: np.ndarray, K: np.ndarray, n: np.ndarray, N: float) -> np.ndarray:
     """log P(X >= k), elementwise."""
     k, K, n = (np.asarray(v, dtype=np.float64) for v in (k, K, n))
     if not len(k):
         return np.zeros(0)
+    if len(k) > _CHUNK:  # arrays that stay in the processor's cache take half the time
+        return np.concatenate([log_tail(k[i : i + _CHUNK], K[i : i + _CHUNK], n[i : i + _CHUNK], N) for i in range(0, len(k), _CHUNK)])
     once = (k == 1) & (n <= N - K)
     out = np.zeros(len(k))
     if once.any():
@@ -132,7 +137,7 @@ def _log_tail(k: np.ndarray, K: np.ndarray, n: np.ndarray, N: float) -> np.ndarr
         cur = cur * step
         jj = jj + np.where(up, 1, -1)
         total[live] += cur
-        go = (cur > 1e-17 * total[live]) & (jj >= 0)
+        go = (cur > 1e-12 * total[live]) & (jj >= 0)
         live, cur, jj = live[go], cur[go], jj[go]
     with np.errstate(divide="ignore"):
         return np.where(upper, first + np.log(total), np.log(np.maximum(1.0 - total, 1e-16)))
