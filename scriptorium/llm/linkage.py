@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import cut, parallelism, read
@@ -153,6 +153,25 @@ def _anchors(n: int) -> Column:
     return F.slice(F.col("a"), 1, n)
 
 
+def _less() -> Column:
+    """A title's words as a sum of their hashes, and less each one of them."""
+    whole = F.aggregate("w", F.lit(0).cast("long"), lambda x, w: x + w)
+    return F.array_distinct(F.when(F.size("w") >= 5, F.concat(F.array(whole), F.transform("w", lambda w: whole - w))).otherwise(F.array(whole)))
+
+
+def _meeting(p: DataFrame, f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides reduced to classes with a text that the other side has too, named in the array met.
+
+    Only for these are keys with every author part made: most titles less a word never meet.
+    """
+    texts = F.array_compact(F.concat(F.when(F.col("t").isNotNull(), _less()).otherwise(F.array().cast("array<bigint>")), F.array("start")))
+    rows = [d.select("c", F.lit(k).alias("side"), F.explode(texts).alias("b")) for k, d in enumerate((p, f))]
+    w = Window.partitionBy("b")
+    both = rows[0].unionByName(rows[1]).withColumn("first", F.min("side").over(w)).withColumn("last", F.max("side").over(w)).where("first != last")
+    met = both.groupBy("c", "side").agg(F.collect_set("b").alias("met"))
+    return tuple(d.join(met.where(F.col("side") == k).drop("side"), "c") for k, d in enumerate((p, f)))
+
+
 def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
     """(key, c) of one pass; a key's last four bits name its rule."""
 
@@ -189,14 +208,10 @@ def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
             each("title+year", years, t.isNotNull() & y.isNotNull(), t),
         ]
     else:
-        # a title's words as a sum of their hashes, less each one of them
-        whole = F.aggregate("w", F.lit(0).cast("long"), lambda x, w: x + w)
-        d = d.withColumn("less", F.when(F.size("w") >= 5, F.concat(F.array(whole), F.transform("w", lambda w: whole - w))).otherwise(F.array(whole)))
-        v = F.array_distinct("less")
-        n = 3 if fetched else 1
+        a, v = F.col("a"), F.array_intersect(_less(), "met")
         found = [
-            F.when(t.isNotNull() & some, F.flatten(F.transform(v, lambda x: F.transform(_anchors(n), lambda p: h("title-1+author", x, p))))).otherwise(none),
-            each("beginning+author", _anchors(n), F.col("start").isNotNull() & some, F.col("start")),
+            F.when(t.isNotNull() & some, F.flatten(F.transform(v, lambda x: F.transform(a, lambda p: h("title-1+author", x, p))))).otherwise(none),
+            each("beginning+author", a, F.array_contains("met", F.col("start")) & some, F.col("start")),
         ]
     return d.select("c", F.explode(F.concat(*found)).alias("key"))
 
@@ -241,7 +256,8 @@ def link(p: DataFrame, f: DataFrame) -> DataFrame:
         left, right = p, f
         if linked is not None:
             left, right = (d.join(linked.select(F.col(x).alias("c")).distinct(), "c", "left_anti") for d, x in ((p, "pc"), (f, "fc")))
-        pk, fk = _single(_keys(left, which, False), "pc"), _single(_keys(right, which, True), "fc")
+        ps, fs = _meeting(left, right) if which == 2 else (left, right)
+        pk, fk = _single(_keys(ps, which, False), "pc"), _single(_keys(fs, which, True), "fc")
         pairs = pk.join(fk, "key").withColumn("rule", F.col("key").bitwiseAND(F.lit(15)).cast("int")).groupBy("pc", "fc", "rule").agg(F.count("*").alias("n"))
         pairs = _checked(pairs, left, right)
         pairs = pairs.groupBy("pc", "fc", "rule").agg(*[F.max(x).alias(x) for x in ("n", *"saty")])  # copies repeat their class

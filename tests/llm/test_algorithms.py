@@ -69,6 +69,14 @@ def test_linkage(spark):
     assert linkage.matches(spark.createDataFrame([], P_SCHEMA), spark.createDataFrame(FETCHED, F_SCHEMA)).count() == 0
 
 
+def test_loose_titles_link_by_any_author(spark):
+    papers = spark.createDataFrame([(1, "a", "Slow rewriting of pufelex grammars in museums", None, ["Ana Oro", "Bartholomew Longestnamehere"], 2001), (2, "a", "Ein Blick auf Fluesse und Seen", None, ["Eva Kurz", "Alexandrine Unterwasserfeld"], 2003)], P_SCHEMA)
+    fetched = spark.createDataFrame([(10, "w1", "Slow rewritng of pufelex grammars in museums", None, "Oro, A., et al.", 2001), (11, "w2", "Ein Blick auf Flüsse und Sehen", None, "Jonathan Wiederholtes; Margarethe Hinzugekommen; Christopher Dazwischen; Eva Kurz", 2003)], F_SCHEMA)
+    assert {(r["paper_id"], r["fetch_id"]) for r in linkage.matches(papers, fetched).collect()} == {(1, 10)}
+    fetched = fetched.withColumn("title", F.regexp_replace("title", "Flüsse", "Fluesse"))
+    assert {(r["paper_id"], r["fetch_id"]) for r in linkage.matches(papers, fetched).collect()} == {(1, 10), (2, 11)}
+
+
 def test_confidence_from_labels(spark):
     linked = spark.createDataFrame([(1, 1, "r", True, True, True, True), (2, 2, "r", True, True, True, True)], "pc long, fc long, rule string, s boolean, a boolean, t boolean, y boolean")
     labels = spark.createDataFrame([(1, 1)], "pc long, fc long")
