@@ -142,29 +142,24 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 # Rules by pass, strong ones first: name -> (which attributes it leaves for checking, key columns).
 STRONG = {"title+abstract+author": "y", "title+abstract+year": "a", "title+abstract": "a", "sentences": "ta", "sentence+author": "t", "title+authors": "s", "title+author+year": "s"}
-MIDDLE = {"title+author": "s", "second+author": "t", "sentence": "ta", "title+year": "sa"}
-LOOSE = {"title-1+author": "s", "beginning+author": "s"}
+MIDDLE = {"title+author": "s", "sentence+year": "ta", "second+author": "t", "sentence": "ta", "title+year": "sa"}
+LOOSE = {"title-1+author": "s", "title-1+sentence": "a", "title-1+year": "sa", "beginning+author": "s"}
 RULES = {**STRONG, **MIDDLE, **LOOSE}
 NUMBER = {r: k for k, r in enumerate(RULES)}
 
 
-def _anchors(n: int) -> Column:
-    """The n longest author parts, mostly family names: the same on both sides if most parts are."""
-    return F.slice(F.col("a"), 1, n)
-
-
 def _less() -> Column:
     """A title's words as a sum of their hashes, and less each one of them."""
     whole = F.aggregate("w", F.lit(0).cast("long"), lambda x, w: x + w)
     return F.array_distinct(F.when(F.size("w") >= 5, F.concat(F.array(whole), F.transform("w", lambda w: whole - w))).otherwise(F.array(whole)))
 
 
-def _meeting(p: DataFrame, f: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _meeting(p: DataFrame, f: DataFrame, which: int) -> tuple[DataFrame, DataFrame]:
     """Both sides reduced to classes with a text that the other side has too, named in the array met.
 
-    Only for these are keys with every author part made: most titles less a word never meet.
+    Only for these are keys with every author part made: most titles and sentences never meet.
     """
-    texts = F.array_compact(F.concat(F.when(F.col("t").isNotNull(), _less()).otherwise(F.array().cast("array<bigint>")), F.array("start")))
+    texts = F.array_compact(F.concat(F.when(F.col("t").isNotNull(), _less()).otherwise(F.array().cast("array<bigint>")), F.array("start")) if which == 2 else F.array(*("t", "s1", "s2")[: which + 2]))
     rows = [d.select("c", F.lit(k).alias("side"), F.explode(texts).alias("b")) for k, d in enumerate((p, f))]
     w = Window.partitionBy("b")
     both = rows[0].unionByName(rows[1]).withColumn("first", F.min("side").over(w)).withColumn("last", F.max("side").over(w)).where("first != last")
@@ -179,7 +174,8 @@ def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
         return F.xxhash64(F.lit(NUMBER[rule]), *c).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(NUMBER[rule]))
 
     none = F.array().cast("array<bigint>")
-    t, s1, s2, y = (F.col(x) for x in ("t", "s1", "s2", "y"))
+    a, y = F.col("a"), F.col("y")
+    t, s1, s2 = ((F.col(x) if which == 2 else F.when(F.array_contains("met", F.col(x)), F.col(x))) for x in ("t", "s1", "s2"))
     some = F.size("a") > 0
     years = F.array(y - 1, y, y + 1) if fetched else F.array(y)
 
@@ -192,25 +188,29 @@ def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
     both = t.isNotNull() & s1.isNotNull()
     if which == 0:
         found = [
-            each("title+abstract+author", _anchors(2), both & some, t, s1),
+            each("title+abstract+author", a, both & some, t, s1),
             one("title+abstract+year", both & y.isNotNull(), t, s1, y),
             one("title+abstract", both, t, s1),
-            one("sentences", s1.isNotNull() & s2.isNotNull(), s1, s2),
-            each("sentence+author", _anchors(1), s1.isNotNull() & some, s1),
-            one("title+authors", t.isNotNull() & some, t, F.array_sort("a")),
-            each("title+author+year", _anchors(2), t.isNotNull() & some & y.isNotNull(), t, y),
+            one("sentences", s1.isNotNull() & F.col("s2").isNotNull(), s1, F.col("s2")),
+            each("sentence+author", a, s1.isNotNull() & some, s1),
+            one("title+authors", t.isNotNull() & some, t, F.array_sort(a)),
+            each("title+author+year", a, t.isNotNull() & some & y.isNotNull(), t, y),
         ]
     elif which == 1:
         found = [
-            each("title+author", _anchors(3), t.isNotNull() & some, t),
-            each("second+author", _anchors(1), s2.isNotNull() & some, s2),
+            each("title+author", a, t.isNotNull() & some, t),
+            each("sentence+year", years, s1.isNotNull() & y.isNotNull(), s1),
+            each("second+author", a, s2.isNotNull() & some, s2),
             one("sentence", s1.isNotNull(), s1),
             each("title+year", years, t.isNotNull() & y.isNotNull(), t),
         ]
     else:
-        a, v = F.col("a"), F.array_intersect(_less(), "met")
+        v = F.array_intersect(_less(), "met")
+        many = lambda rule, parts, ok: F.when(ok, F.flatten(F.transform(v, lambda x: F.transform(parts, lambda p: h(rule, x, p))))).otherwise(none)
         found = [
-            F.when(t.isNotNull() & some, F.flatten(F.transform(v, lambda x: F.transform(a, lambda p: h("title-1+author", x, p))))).otherwise(none),
+            many("title-1+author", a, t.isNotNull() & some),
+            many("title-1+sentence", F.array(s1), both),
+            many("title-1+year", years, t.isNotNull() & y.isNotNull()),
             each("beginning+author", a, F.array_contains("met", F.col("start")) & some, F.col("start")),
         ]
     return d.select("c", F.explode(F.concat(*found)).alias("key"))
@@ -235,10 +235,11 @@ def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame) -> DataFrame:
         same_text |= F.coalesce(F.col(f"p_{x}") == F.col(f"f_{y}"), F.lit(False))
     s = F.when(same_text, True).when(F.col("p_s1").isNotNull() & F.col("f_s1").isNotNull() & ~F.col("p_odd") & ~F.col("f_odd"), False)
     a = F.when((F.size("p_a") > 0) & (F.size("f_a") > 0), F.arrays_overlap("p_a", "f_a"))
+    names = F.size(F.array_intersect("p_a", "f_a")) / F.greatest(F.lit(1), F.least(F.size("p_a"), F.size("f_a")))
     common = F.size(F.array_intersect("p_w", "f_w")) / F.greatest(F.lit(1), F.least(F.size(F.array_distinct("p_w")), F.size(F.array_distinct("f_w"))))
     t = F.when(F.col("p_t").isNotNull() & F.col("f_t").isNotNull(), common)
     dy = F.coalesce(F.abs(F.col("p_y") - F.col("f_y")), F.lit(0))
-    j = j.select("pc", "fc", "rule", "n", s.alias("s"), a.alias("a"), t.alias("t"), dy.alias("dy"), (dy <= 1).alias("y"), (F.col("f_cut") | F.col("p_cut") | (F.size("p_w") > F.size("f_w") + 1)).alias("short"), (F.col("p_marks") == F.col("f_marks")).alias("m"), (F.col("p_t") == F.col("f_t")).alias("same_t"))
+    j = j.select("pc", "fc", "rule", "n", s.alias("s"), a.alias("a"), names.alias("names"), t.alias("t"), dy.alias("dy"), (dy <= 1).alias("y"), (F.col("f_cut") | F.col("p_cut") | (F.size("p_w") > F.size("f_w") + 1)).alias("short"), (F.col("p_marks") == F.col("f_marks")).alias("m"), (F.col("p_t") == F.col("f_t")).alias("same_t"))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     no = lambda c: ~F.coalesce(F.col(c), F.lit(True))
     contradicts = (no("s") | no("a") | (F.col("dy") >= APART) | ~yes("m") & ~yes("same_t")) & ~(yes("s") & (F.coalesce("t", F.lit(0.0)) >= 0.9) & ~no("a"))
@@ -246,7 +247,12 @@ def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame) -> DataFrame:
     unlike = by_text & (F.coalesce("t", F.when(F.col("rule") == NUMBER["sentences"], 1.0).otherwise(0.0)) < LIKE)
     # the beginning of a title alone may be common to many works
     begun = (F.col("rule") == NUMBER["beginning+author"]) & ~(yes("s") | F.col("short") & (F.coalesce("t", F.lit(0.0)) >= 0.99))
-    return j.where(~contradicts & ~unlike & ~begun).withColumn("t", F.col("t") >= 0.75)
+    # without authors or abstract on a side, a title that only resembles isn't enough
+    bare = (F.col("rule") == NUMBER["title-1+year"]) & ~yes("s") & ~yes("a")
+    # a given name in common isn't an author in common, unless a text that the rule doesn't use agrees
+    by_author = F.col("rule").isin(*[k for r, k in NUMBER.items() if r.endswith(("+author", "+author+year"))])
+    namesake = by_author & (F.col("names") < LIKE) & ~F.when(by_text, F.coalesce("t", F.lit(0.0)) >= 0.9).otherwise(yes("s"))
+    return j.where(~contradicts & ~unlike & ~begun & ~bare & ~namesake).withColumn("t", F.col("t") >= 0.75)
 
 
 def link(p: DataFrame, f: DataFrame) -> DataFrame:
@@ -256,7 +262,7 @@ def link(p: DataFrame, f: DataFrame) -> DataFrame:
         left, right = p, f
         if linked is not None:
             left, right = (d.join(linked.select(F.col(x).alias("c")).distinct(), "c", "left_anti") for d, x in ((p, "pc"), (f, "fc")))
-        ps, fs = _meeting(left, right) if which == 2 else (left, right)
+        ps, fs = _meeting(left, right, which)
         pk, fk = _single(_keys(ps, which, False), "pc"), _single(_keys(fs, which, True), "fc")
         pairs = pk.join(fk, "key").withColumn("rule", F.col("key").bitwiseAND(F.lit(15)).cast("int")).groupBy("pc", "fc", "rule").agg(F.count("*").alias("n"))
         pairs = _checked(pairs, left, right)

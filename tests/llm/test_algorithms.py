@@ -77,6 +77,14 @@ def test_loose_titles_link_by_any_author(spark):
     assert {(r["paper_id"], r["fetch_id"]) for r in linkage.matches(papers, fetched).collect()} == {(1, 10), (2, 11)}
 
 
+def test_equal_texts_link_by_any_author_or_year(spark):
+    names = [f"Q {c * 9}" for c in "bcdfg"]
+    papers = spark.createDataFrame([(1, "a", "Pufelex", None, ["Al Oro", *names], 2001), (2, "a", "Pufelex", None, ["Zed Krantz"], 2005), (3, "a", "Ein Blick auf kalte Seen", "Wir messen alle Seen im Norden. Kurz.", ["Eva Kurz"], 2003)], P_SCHEMA)
+    fetched = spark.createDataFrame([(10, "w1", "Pufelex", None, "Oro, A., et al.", None), (11, "w2", "Ein Blick auf kalte Sehen", "Wir messen alle Seen im Norden. Anders aber.", None, 2003)], F_SCHEMA)
+    assert {(r["paper_id"], r["fetch_id"]) for r in linkage.matches(papers, fetched).collect()} == {(1, 10), (3, 11)}
+    assert {"sentence+year", "title-1+sentence", "title-1+year"} < set(linkage.RULES)
+
+
 def test_confidence_from_labels(spark):
     linked = spark.createDataFrame([(1, 1, "r", True, True, True, True), (2, 2, "r", True, True, True, True)], "pc long, fc long, rule string, s boolean, a boolean, t boolean, y boolean")
     labels = spark.createDataFrame([(1, 1)], "pc long, fc long")
