@@ -419,6 +419,20 @@ def mapped_rows(spark, d):
     )
 
 
+_ENDS = rf"^[{X.SPACE}]+|[{X.SPACE}]+$"
+
+
+@query(
+    f"""SELECT fetch_id AS paper_id, regexp_replace(coalesce(title, ''), '{_ENDS}', '', 'g') AS title,
+len(list_filter(list_transform(string_split(authors, ','), lambda a: regexp_replace(a, '{_ENDS}', '', 'g')), lambda a: a <> '')) AS n_authors FROM fetched"""
+)
+def mapped_rows_whole(spark, d):
+    """All raw rows of the second catalogue in the corpus' form; without authors, an author string that is there counts 0."""
+    raw = table(spark, d, "fetched").withColumn("none", F.col("authors").isNull())
+    mapped = R.mapped(raw.withColumnRenamed("fetch_id", "id").withColumn("ord", F.col("none")))
+    return mapped.select("paper_id", "title", F.when(~F.col("ord"), F.size("authors").cast("long")).alias("n_authors"))
+
+
 @query("SELECT id AS paper_id FROM papers WHERE contains(lower(title), 'graph') OR contains(lower(abstract), 'graph') OR list_bool_or(list_transform(coalesce(authors, []::VARCHAR[]), lambda a: contains(lower(a), 'graph')))")
 def library_filter(spark, d):
     return R.library(corpus(spark, d), " Graph ").select("paper_id")

@@ -38,3 +38,9 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_whole_titles(spark, tmp_path):
+    spark.createDataFrame([(1, "　题 目\t", "A, ,B", None), (2, None, None, None), (3, "T", "", 2000)], "fetch_id long, title string, authors string, year int").write.parquet(f"{tmp_path}/fetched.parquet")
+    got = {tuple(r) for r in Q["mapped_rows_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "题 目", 2), (2, "", None), (3, "T", 0)}
