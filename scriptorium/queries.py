@@ -525,6 +525,14 @@ def rebuilt_abstracts(spark, d):
     return inverted.select("paper_id", X.rebuilt_abstract(F.col("m")).alias("abstract"))
 
 
+@query("SELECT id AS paper_id, abstract FROM papers WHERE abstract IS NOT NULL")
+def rebuilt_abstracts_whole(spark, d):
+    """Whole abstracts in any script, inverted to positions at each blank and put back in order."""
+    p = corpus(spark, d).where("abstract is not null").select("paper_id", F.posexplode(F.split("abstract", " ")).alias("p", "w"))
+    inverted = p.groupBy("paper_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
+    return inverted.select("paper_id", X.rebuilt_abstract(F.col("m")).alias("abstract"))
+
+
 @query(f"WITH {_SW} SELECT w FROM sw")
 def stopwords(spark, d):
     w = F.lower(F.trim("word"))
