@@ -2,12 +2,14 @@
 
 A deterministic cascade.  Both sides are first reduced to classes: papers that are
 the same record but for formatting, and fetched rows of one record.  Each pass joins the unresolved
-classes exactly on the keys of its rules, from strong attribute combinations to
+fetched classes exactly with the papers on the keys of its rules, from strong attribute combinations to
 weak ones (title, sentences of the abstract, parts of author names, year, and the title
-with one word or character left out).  A key links only if it belongs to one class on each
-side, which is found by aggregating before the join: a key that a third of all rows share is one row by then.
+with one word or character left out).  A catalogue may hold a publication twice, so any number of fetched
+classes may link to one paper; a key links only if it belongs to one class of papers, which is found by
+aggregating before the join: no key makes more pairs than it has fetched classes, and a key that several
+papers share is left to the keys that add an attribute.
 Pairs whose other attributes contradict each other are dropped, what is linked is
-anti-joined, and the next pass sees the rest.
+anti-joined, and the next pass sees the rest of the fetched classes.
 
 A rule's confidence is its labelled precision, smoothed: of its pairs for which an
 attribute that the rule doesn't use is known on both sides, the share that agrees in it, or, where labels are
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -154,17 +156,28 @@ def _less() -> Column:
     return F.array_distinct(F.when(F.size("w") >= 5, F.concat(F.array(whole), F.transform("w", lambda w: whole - w))).otherwise(F.array(whole)))
 
 
-def _meeting(p: DataFrame, f: DataFrame, which: int) -> tuple[DataFrame, DataFrame]:
+def _meeting(p: DataFrame, f: DataFrame, loose: bool) -> tuple[DataFrame, DataFrame]:
     """Both sides reduced to classes with a text that the other side has too, named in the array met.
 
-    Only for these are keys with every author part made: most titles and sentences never meet.
+    Only for these are keys with every author part made: most titles and sentences never meet. loose: titles less a word
+    and beginnings of titles, of which those count that meet under two different titles; equal titles have met before.
     """
-    texts = F.array_compact(F.concat(F.when(F.col("t").isNotNull(), _less()).otherwise(F.array().cast("array<bigint>")), F.array("start")) if which == 2 else F.array(*("t", "s1", "s2")[: which + 2]))
-    rows = [d.select("c", F.lit(k).alias("side"), F.explode(texts).alias("b")) for k, d in enumerate((p, f))]
-    w = Window.partitionBy("b")
-    both = rows[0].unionByName(rows[1]).withColumn("first", F.min("side").over(w)).withColumn("last", F.max("side").over(w)).where("first != last")
-    met = both.groupBy("c", "side").agg(F.collect_set("b").alias("met"))
-    return tuple(d.join(met.where(F.col("side") == k).drop("side"), "c") for k, d in enumerate((p, f)))
+    none = F.array().cast("array<bigint>")
+    if loose:
+        texts = F.array_compact(F.concat(F.when(F.col("t").isNotNull(), _less()).otherwise(none), F.array("start")))
+    else:
+        texts = F.array_compact(F.array("t", "s1", "s2"))
+    rows = [d.select("c", F.coalesce("t", F.lit(0)).alias("own"), F.explode(texts).alias("b")) for d in (p, f)]
+
+    def met(own: DataFrame, other: DataFrame) -> DataFrame:
+        other = other.select("b", "own").distinct() if loose else other.select("b").distinct()
+        o, x = own.alias("o"), other.hint("shuffle_hash").alias("x")
+        same = F.col("o.b") == F.col("x.b")
+        return o.join(x, same & (F.col("o.own") != F.col("x.own")) if loose else same, "left_semi")
+
+    fm = met(rows[1], rows[0])
+    pm = met(rows[0], rows[1])
+    return tuple(d.join(m.groupBy("c").agg(F.collect_set("b").alias("met")), "c") for d, m in ((p, pm), (f, fm)))
 
 
 def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
@@ -175,7 +188,7 @@ def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
 
     none = F.array().cast("array<bigint>")
     a, y = F.col("a"), F.col("y")
-    t, s1, s2 = ((F.col(x) if which == 2 else F.when(F.array_contains("met", F.col(x)), F.col(x))) for x in ("t", "s1", "s2"))
+    t, s1, s2 = ((F.col(x) if which == 2 else F.when(F.array_contains("met", F.col(x)), F.col(x))) for x in ("t", "s1", "s2"))  # in the last pass the variants are what meets
     some = F.size("a") > 0
     years = F.array(y - 1, y, y + 1) if fetched else F.array(y)
 
@@ -191,7 +204,7 @@ def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
             each("title+abstract+author", a, both & some, t, s1),
             one("title+abstract+year", both & y.isNotNull(), t, s1, y),
             one("title+abstract", both, t, s1),
-            one("sentences", s1.isNotNull() & F.col("s2").isNotNull(), s1, F.col("s2")),
+            one("sentences", s1.isNotNull() & s2.isNotNull(), s1, s2),
             each("sentence+author", a, s1.isNotNull() & some, s1),
             one("title+authors", t.isNotNull() & some, t, F.array_sort(a)),
             each("title+author+year", a, t.isNotNull() & some & y.isNotNull(), t, y),
@@ -217,7 +230,7 @@ def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
 
 
 def _single(keys: DataFrame, name: str) -> DataFrame:
-    """Keys that belong to one class; pre-aggregated, so hot keys never meet in a join."""
+    """Keys that belong to one class; aggregated before the join, so a key makes no more pairs than the other side has."""
     g = keys.groupBy("key").agg(F.min("c").alias(name), F.max("c").alias("other"))
     return g.where(F.col(name) == F.col("other")).drop("other")
 
@@ -226,8 +239,17 @@ def _single(keys: DataFrame, name: str) -> DataFrame:
 LIKE, APART = 0.5, 2
 
 
+def _mask(names: Iterable[str]) -> int:
+    return sum(1 << NUMBER[r] for r in names)
+
+
+#: Rules that link by a sentence, and those that link by an author's name.
+BY_TEXT, BY_AUTHOR = _mask(r for r in RULES if r.startswith(("sentence", "second"))), _mask(r for r in RULES if r.endswith(("+author", "+author+year")))
+
+
 def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame) -> DataFrame:
-    """Pairs without contradictions, with the agreement of each attribute: null where it is unknown on a side."""
+    """(pc, fc, rule, n, s, a, t, y): pairs without contradictions, the strongest rule that holds, and the agreement of
+    each attribute: null where it is unknown on a side. pairs: (pc, fc, rules as bits, n)."""
     side = lambda d, c, x: d.select(F.col("c").alias(c), *[F.col(n).alias(f"{x}_{n}") for n in ("t", "s1", "s2", "a", "y", "odd", "cut", "marks", "w")])
     j = pairs.join(side(p, "pc", "p"), "pc").join(side(f, "fc", "f"), "fc")
     same_text = F.lit(False)
@@ -239,35 +261,43 @@ def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame) -> DataFrame:
     common = F.size(F.array_intersect("p_w", "f_w")) / F.greatest(F.lit(1), F.least(F.size(F.array_distinct("p_w")), F.size(F.array_distinct("f_w"))))
     t = F.when(F.col("p_t").isNotNull() & F.col("f_t").isNotNull(), common)
     dy = F.coalesce(F.abs(F.col("p_y") - F.col("f_y")), F.lit(0))
-    j = j.select("pc", "fc", "rule", "n", s.alias("s"), a.alias("a"), names.alias("names"), t.alias("t"), dy.alias("dy"), (dy <= 1).alias("y"), (F.col("f_cut") | F.col("p_cut") | (F.size("p_w") > F.size("f_w") + 1)).alias("short"), (F.col("p_marks") == F.col("f_marks")).alias("m"), (F.col("p_t") == F.col("f_t")).alias("same_t"))
+    j = j.select("pc", "fc", "rules", "n", s.alias("s"), a.alias("a"), names.alias("names"), t.alias("t"), dy.alias("dy"), (dy <= 1).alias("y"), (F.col("f_cut") | F.col("p_cut") | (F.size("p_w") > F.size("f_w") + 1)).alias("short"), (F.col("p_marks") == F.col("f_marks")).alias("m"), (F.col("p_t") == F.col("f_t")).alias("same_t"))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     no = lambda c: ~F.coalesce(F.col(c), F.lit(True))
     contradicts = (no("s") | no("a") | (F.col("dy") >= APART) | ~yes("m") & ~yes("same_t")) & ~(yes("s") & (F.coalesce("t", F.lit(0.0)) >= 0.9) & ~no("a"))
-    by_text = F.col("rule").isin(*[k for r, k in NUMBER.items() if r.startswith(("sentence", "second"))])
-    unlike = by_text & (F.coalesce("t", F.when(F.col("rule") == NUMBER["sentences"], 1.0).otherwise(0.0)) < LIKE)
-    # the beginning of a title alone may be common to many works
-    begun = (F.col("rule") == NUMBER["beginning+author"]) & ~(yes("s") | F.col("short") & (F.coalesce("t", F.lit(0.0)) >= 0.99))
-    # without authors or abstract on a side, a title that only resembles isn't enough
-    bare = (F.col("rule") == NUMBER["title-1+year"]) & ~yes("s") & ~yes("a")
-    # a given name in common isn't an author in common, unless a text that the rule doesn't use agrees
-    by_author = F.col("rule").isin(*[k for r, k in NUMBER.items() if r.endswith(("+author", "+author+year"))])
-    namesake = by_author & (F.col("names") < LIKE) & ~F.when(by_text, F.coalesce("t", F.lit(0.0)) >= 0.9).otherwise(yes("s"))
-    return j.where(~contradicts & ~unlike & ~begun & ~bare & ~namesake).withColumn("t", F.col("t") >= 0.75)
+    bits = lambda mask, bad: F.when(bad, F.lit(mask)).otherwise(F.lit(0))
+    out = [
+        # a common sentence under titles with little in common
+        bits(BY_TEXT & ~_mask(["sentences"]), F.coalesce("t", F.lit(0.0)) < LIKE),
+        bits(_mask(["sentences"]), F.coalesce("t", F.lit(1.0)) < LIKE),
+        # the beginning of a title alone may be common to many works
+        bits(_mask(["beginning+author"]), ~(yes("s") | F.col("short") & (F.coalesce("t", F.lit(0.0)) >= 0.99))),
+        # without authors or abstract on a side, a title that only resembles isn't enough
+        bits(_mask(["title-1+year"]), ~yes("s") & ~yes("a")),
+        # a given name in common isn't an author in common, unless a text that the rule doesn't use agrees
+        bits(BY_AUTHOR & BY_TEXT, (F.col("names") < LIKE) & (F.coalesce("t", F.lit(0.0)) < 0.9)),
+        bits(BY_AUTHOR & ~BY_TEXT, (F.col("names") < LIKE) & ~yes("s")),
+    ]
+    left = F.col("rules")
+    for x in out:
+        left = left.bitwiseAND(F.bitwise_not(x))
+    j = j.where(~contradicts).withColumn("rules", left).where("rules != 0")
+    strongest = F.least(*[F.when(F.col("rules").bitwiseAND(F.lit(1 << k)) != 0, F.lit(k)) for k in range(len(RULES))])
+    return j.select("pc", "fc", strongest.alias("rule"), "n", "s", "a", (F.col("t") >= 0.75).alias("t"), "y")
 
 
 def link(p: DataFrame, f: DataFrame) -> DataFrame:
     """(pc, fc, rule, s, a, t, y): linked classes and the strongest rule that linked them."""
     linked: DataFrame | None = None
+    met = _meeting(p, f, loose=False)
     for which in range(3):
-        left, right = p, f
-        if linked is not None:
-            left, right = (d.join(linked.select(F.col(x).alias("c")).distinct(), "c", "left_anti") for d, x in ((p, "pc"), (f, "fc")))
-        ps, fs = _meeting(left, right, which)
-        pk, fk = _single(_keys(ps, which, False), "pc"), _single(_keys(fs, which, True), "fc")
-        pairs = pk.join(fk, "key").withColumn("rule", F.col("key").bitwiseAND(F.lit(15)).cast("int")).groupBy("pc", "fc", "rule").agg(F.count("*").alias("n"))
-        pairs = _checked(pairs, left, right)
-        pairs = pairs.groupBy("pc", "fc", "rule").agg(*[F.max(x).alias(x) for x in ("n", *"saty")])  # copies repeat their class
-        pairs = pairs.groupBy("pc", "fc").agg(F.min("rule").alias("rule"), F.sum("n").alias("n"), *[F.max(x).alias(x) for x in "saty"])
+        right = f if linked is None else f.join(linked.select(F.col("fc").alias("c")).distinct(), "c", "left_anti")
+        ps, fs = met if which == 0 else (met[0], met[1].join(right.select("c").distinct(), "c", "left_semi")) if which == 1 else _meeting(p, right, loose=True)
+        pk, fk = _single(_keys(ps, which, False), "pc"), _keys(fs, which, True).select("key", F.col("c").alias("fc")).distinct()
+        bit = F.expr("shiftleft(1, cast(key & 15 as int))")
+        pairs = pk.join(fk, "key").groupBy("pc", "fc").agg(F.bit_or(bit).alias("rules"), F.count("*").alias("n"))
+        pairs = _checked(pairs, p, right)
+        pairs = pairs.groupBy("pc", "fc").agg(F.min("rule").alias("rule"), *[F.max(x).alias(x) for x in ("n", *"saty")])  # copies repeat their class
         # records that differ in an author or the year only share most keys; the one with more keys in common is meant
         found = pairs.groupBy("fc").agg(F.max_by(F.struct("pc", "rule", "s", "a", "t", "y"), F.struct("n", -F.col("rule"), "pc")).alias("b")).select("b.pc", "fc", "b.rule", "b.s", "b.a", "b.t", "b.y")
         linked = cut(found if linked is None else linked.unionByName(found))
