@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut, parallelism, read
+from scriptorium.llm.common import cut, read, written
 from scriptorium.llm.glyphs import normalise
 from scriptorium.llm.languages import KindsOfCharacters, clean
 
@@ -42,7 +42,10 @@ _WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 _CUT = re.compile(r"(?:…|\.\.\.)\s*(?:<[^>]*>)?\s*$")
 _BREAK = re.compile(r"[.!?]+(?=\s|$)|[。！？…]")
 _FORMATTING = re.compile(r"[\W_]+")
-_PART_OF_NAME = re.compile(r"[a-z]{3,}|[㐀-鿿]+|[а-яё]{3,}")
+_PART_OF_NAME = re.compile(r"[a-z]{2,}|[㐀-鿿]+|[а-яё]{2,}")
+# Particles and fillers of author lists; letters without a decomposition, and the plain letters they are typed as.
+_FILLERS = frozenset({"al", "et", "de", "van", "von", "der", "den", "di", "da", "la", "le", "el", "du", "del", "and", "und", "jr"})
+_PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "ð": "d", "þ": "th"})
 _SPACED_HAN = re.compile(r"(?<=[㐀-鿿])[\s·•]+(?=[㐀-鿿])")
 #: Words that only name a part or an edition; titles that differ in one, or in a number, name different works.
 _PART = re.compile(r"part|teil|partie|parte|vol|volume|ii|iii|iv|\d+|revisited|erratum|corrigendum|续|上|下|часть")
@@ -52,7 +55,7 @@ _ODD = re.compile("[^\x00-ÿ\u0400-\u045f\u2010-\u2026\u3001-\u3015\u4e00-\u9fff
 
 def folded(text: str) -> str:
     """Lower case without accents."""
-    return text.lower() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text.lower()))
+    return text.lower() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text.lower())).translate(_PLAIN)
 
 
 def title_words(title: str) -> list[str]:
@@ -72,7 +75,7 @@ def first_sentences(abstract: str) -> list[str]:
 
 def author_parts(authors: str) -> list[str]:
     """Parts of names that are longer than initials, and Chinese names, each once."""
-    return list(dict.fromkeys(_PART_OF_NAME.findall(_SPACED_HAN.sub("", folded(authors)))))
+    return [x for x in dict.fromkeys(_PART_OF_NAME.findall(_SPACED_HAN.sub("", folded(authors)))) if x not in _FILLERS]
 
 
 def _hashes(texts: list[str]) -> np.ndarray:
@@ -94,7 +97,9 @@ class _Hashed:
         return len(self.texts) - len(texts), len(self.texts)
 
 
-_DESCRIBED = "id long, c long, t long, s1 long, s2 long, a array<int>, y int, odd boolean, cut boolean, marks long, w array<int>, start long"
+#: Classes that a task remembers; beyond it only more rows of one class are joined.
+_SEEN = 1_000_000
+_DESCRIBED = "id long, c long, first boolean, t long, s1 long, s2 long, a array<int>, y int, odd boolean, cut boolean, marks long, w array<int>, start long"
 
 
 def readings(title: str, kinds: KindsOfCharacters) -> list[str]:
@@ -110,8 +115,11 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From (id, c, title, abstract, authors, year): the attributes, hashes standing for texts; a row for each reading of the title.
 
     c: null makes the class from the record itself, as duplicates does: title, abstract, authors and year without formatting.
+    first: whether the task hasn't seen the class before; copies have no attributes, so a class that holds a third of
+    all rows is a few rows for each task when classes are joined.
     """
     kinds = KindsOfCharacters()
+    seen: set[tuple[int, int | None]] = set()
     for b in batches:
         h, rows = _Hashed(), []
         for id_, c, title, abstract, authors, year in zip(*(b[x] for x in ("id", "c", "title", "abstract", "authors", "year")), strict=True):
@@ -133,10 +141,16 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = _hashes(h.texts)
         short = (v >> 32).astype(np.int32)
         at = lambda k: None if k is None else int(v[k])
-        out = [
-            (r[0], r[1] if r[2] is None else at(r[2]), at(r[3]), at(r[4][0]) if r[4] else None, at(r[4][1]) if len(r[4]) > 1 else None, short[slice(*r[5])], r[6], r[7], r[8], at(r[9]), short[slice(*r[10])], at(r[11]))
-            for r in rows
-        ]
+        out = []
+        for r in rows:
+            c, t = r[1] if r[2] is None else at(r[2]), at(r[3])
+            if (c, t) in seen:
+                out.append((r[0], c, False, *[None] * 10))
+                continue
+            if len(seen) >= _SEEN:
+                seen.clear()
+            seen.add((c, t))
+            out.append((r[0], c, True, t, at(r[4][0]) if r[4] else None, at(r[4][1]) if len(r[4]) > 1 else None, short[slice(*r[5])], r[6], r[7], r[8], at(r[9]), short[slice(*r[10])], at(r[11])))
         kinds_of = dict(f.split() for f in _DESCRIBED.split(", "))
         columns = zip(*out, strict=True) if out else [()] * len(kinds_of)
         yield pd.DataFrame({n: pd.array(list(x), dtype={"long": "Int64", "int": "Int32"}.get(kinds_of[n], object)) for n, x in zip(kinds_of, columns, strict=True)})
@@ -167,17 +181,16 @@ def _meeting(p: DataFrame, f: DataFrame, loose: bool) -> tuple[DataFrame, DataFr
         texts = F.array_compact(F.concat(F.when(F.col("t").isNotNull(), _less()).otherwise(none), F.array("start")))
     else:
         texts = F.array_compact(F.array("t", "s1", "s2"))
-    rows = [d.select("c", F.coalesce("t", F.lit(0)).alias("own"), F.explode(texts).alias("b")) for d in (p, f)]
+    pr, fr = (d.select("c", *([F.coalesce("t", F.lit(0)).alias("own")] if loose else []), F.explode(texts).alias("b")) for d in (p, f))
 
-    def met(own: DataFrame, other: DataFrame) -> DataFrame:
-        other = other.select("b", "own").distinct() if loose else other.select("b").distinct()
-        o, x = own.alias("o"), other.hint("shuffle_hash").alias("x")
+    def met(rows: DataFrame, other: DataFrame) -> DataFrame:
+        o, x = rows.alias("o"), other.drop("c").distinct().hint("shuffle_hash").alias("x")
         same = F.col("o.b") == F.col("x.b")
         return o.join(x, same & (F.col("o.own") != F.col("x.own")) if loose else same, "left_semi")
 
-    fm = met(rows[1], rows[0])
-    pm = met(rows[0], rows[1])
-    return tuple(d.join(m.groupBy("c").agg(F.collect_set("b").alias("met")), "c") for d, m in ((p, pm), (f, fm)))
+    pm = met(pr, fr)
+    fm = met(fr, pm)
+    return tuple(written(d.join(m.groupBy("c").agg(F.collect_set("b").alias("met")), "c")) for d, m in ((p, pm), (f, fm)))
 
 
 def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
@@ -264,7 +277,8 @@ def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame) -> DataFrame:
     j = j.select("pc", "fc", "rules", "n", s.alias("s"), a.alias("a"), names.alias("names"), t.alias("t"), dy.alias("dy"), (dy <= 1).alias("y"), (F.col("f_cut") | F.col("p_cut") | (F.size("p_w") > F.size("f_w") + 1)).alias("short"), (F.col("p_marks") == F.col("f_marks")).alias("m"), (F.col("p_t") == F.col("f_t")).alias("same_t"))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     no = lambda c: ~F.coalesce(F.col(c), F.lit(True))
-    contradicts = (no("s") | no("a") | (F.col("dy") >= APART) | ~yes("m") & ~yes("same_t")) & ~(yes("s") & (F.coalesce("t", F.lit(0.0)) >= 0.9) & ~no("a"))
+    # a sentence and the title in common outweigh a year far off or an author's name that is typed otherwise, but not both
+    contradicts = (no("s") | no("a") | (F.col("dy") >= APART) | ~yes("m") & ~yes("same_t")) & ~(yes("s") & (F.coalesce("t", F.lit(0.0)) >= 0.9) & (~no("a") | (F.col("dy") < APART) & yes("m")))
     bits = lambda mask, bad: F.when(bad, F.lit(mask)).otherwise(F.lit(0))
     out = [
         # a common sentence under titles with little in common
@@ -289,15 +303,17 @@ def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame) -> DataFrame:
 def link(p: DataFrame, f: DataFrame) -> DataFrame:
     """(pc, fc, rule, s, a, t, y): linked classes and the strongest rule that linked them."""
     linked: DataFrame | None = None
-    met = _meeting(p, f, loose=False)
     for which in range(3):
-        right = f if linked is None else f.join(linked.select(F.col("fc").alias("c")).distinct(), "c", "left_anti")
-        ps, fs = met if which == 0 else (met[0], met[1].join(right.select("c").distinct(), "c", "left_semi")) if which == 1 else _meeting(p, right, loose=True)
+        if which != 1:  # the first two passes have the same texts
+            rest = f if linked is None else f.join(linked.select(F.col("fc").alias("c")), "c", "left_anti")
+            ps, fs = _meeting(p, rest, loose=which == 2)
+        elif linked is not None:
+            fs = fs.join(linked.select(F.col("fc").alias("c")), "c", "left_anti")
         pk, fk = _single(_keys(ps, which, False), "pc"), _keys(fs, which, True).select("key", F.col("c").alias("fc")).distinct()
         bit = F.expr("shiftleft(1, cast(key & 15 as int))")
         pairs = pk.join(fk, "key").groupBy("pc", "fc").agg(F.bit_or(bit).alias("rules"), F.count("*").alias("n"))
-        pairs = _checked(pairs, p, right)
-        pairs = pairs.groupBy("pc", "fc").agg(F.min("rule").alias("rule"), *[F.max(x).alias(x) for x in ("n", *"saty")])  # copies repeat their class
+        pairs = _checked(pairs, ps, fs)
+        pairs = pairs.groupBy("pc", "fc").agg(F.min("rule").alias("rule"), *[F.max(x).alias(x) for x in ("n", *"saty")])  # the readings of a title
         # records that differ in an author or the year only share most keys; the one with more keys in common is meant
         found = pairs.groupBy("fc").agg(F.max_by(F.struct("pc", "rule", "s", "a", "t", "y"), F.struct("n", -F.col("rule"), "pc")).alias("b")).select("b.pc", "fc", "b.rule", "b.s", "b.a", "b.t", "b.y")
         linked = cut(found if linked is None else linked.unionByName(found))
@@ -318,14 +334,12 @@ def confidences(linked: DataFrame, labels: DataFrame | None = None) -> DataFrame
 
 def matches(papers: DataFrame, fetched: DataFrame) -> DataFrame:
     """(paper_id, fetch_id, rule, confidence)."""
-    n = parallelism(papers.sparkSession)
     rows = papers.select("id", F.lit(None).cast("long").alias("c"), "title", "abstract", F.array_join("authors", "␞").alias("authors"), "year")
     c = F.when(F.col("source_id").isNull(), F.xxhash64("fetch_id", F.lit(2))).otherwise(F.xxhash64("source_id", F.lit(1)))
     got = fetched.select(F.col("fetch_id").alias("id"), c.alias("c"), "title", "abstract", "authors", "year")
-    # both partitioned by class once; every later join on the class finds them so
-    p_rows, f_rows = (cut(d.mapInPandas(_describe, _DESCRIBED).repartition(n, "c")) for d in (rows, got))
-    linked = link(p_rows.drop("id"), f_rows.drop("id"))
-    linked = linked.join(confidences(linked), "rule", "left").select("pc", "fc", "rule", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
+    p_rows, f_rows = (written(d.mapInPandas(_describe, _DESCRIBED)) for d in (rows, got))
+    linked = link(*(d.where("first").drop("id", "first") for d in (p_rows, f_rows)))
+    linked = linked.join(F.broadcast(confidences(linked)), "rule", "left").select("pc", "fc", "rule", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))  # a row for each rule
     ids = p_rows.select(F.col("id").alias("paper_id"), F.col("c").alias("pc")).distinct()
     fetch_ids = f_rows.select(F.col("id").alias("fetch_id"), F.col("c").alias("fc")).distinct()
     return linked.join(ids, "pc").join(fetch_ids, "fc").select("paper_id", "fetch_id", "rule", "confidence")
