@@ -22,7 +22,6 @@ import math
 import os
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,12 +171,8 @@ def fit(counts: dict[tuple[str, str], int], pieces: dict[str, int], rounds: int
 class KindsOfCharacters:
     """Stands in for bigrams: a fixed log preference for each kind of character."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, float] = {}
-
-    def of(self, c: str) -> float:
-        got = self.known.get(c)
-        if got is None:
+    class _Known(dict):
+        def __missing__(self, c: str) -> float:
             o = ord(c)
             if o < 0x80:
                 got = -3.0
@@ -196,11 +191,14 @@ class KindsOfCharacters:
                 got = -7.0
             else:
                 got = -9.0
-            self.known[c] = got
-        return got
+            self[c] = got
+            return got
+
+    def __init__(self) -> None:
+        self.of = self._Known().__getitem__
 
     def score(self, before: str, text: str, after: str) -> float:
-        return sum(n * self.of(c) for c, n in Counter(text).items())
+        return sum(map(self.of, text))
 
 
 # What the legacy Cyrillic page shows for the tail bytes of UTF-8.

@@ -46,6 +46,7 @@ _PART_OF_NAME = re.compile(r"[a-z]{2,}|[㐀-鿿]+|[а-яё]{2,}")
 # Particles and fillers of author lists; letters without a decomposition, and the plain letters they are typed as.
 _FILLERS = frozenset({"al", "et", "de", "van", "von", "der", "den", "di", "da", "la", "le", "el", "du", "del", "and", "und", "jr"})
 _PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "ð": "d", "þ": "th"})
+_HAN = re.compile("[㐀-鿿]")
 _SPACED_HAN = re.compile(r"(?<=[㐀-鿿])[\s·•]+(?=[㐀-鿿])")
 #: Words that only name a part or an edition; titles that differ in one, or in a number, name different works.
 _PART = re.compile(r"part|teil|partie|parte|vol|volume|ii|iii|iv|\d+|revisited|erratum|corrigendum|续|上|下|часть")
@@ -63,14 +64,30 @@ def title_words(title: str) -> list[str]:
     return _WORD.findall(_NOT_TITLE.sub(" ", folded(normalise(title))))
 
 
-def first_sentences(abstract: str) -> list[str]:
-    """The letters of the first two sentences; a last one that was cut off doesn't count."""
+_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalnum())
+
+
+def whole_sentences(abstract: str) -> list[str]:
+    """The letters of every sentence of twelve letters or more; a last one that was cut off doesn't count."""
     parts = _BREAK.split(abstract)
     if _CUT.search(abstract):
         while parts and not parts[-1].strip():
             parts.pop()
         parts = parts[:-1]
-    return [x for x in (_FORMATTING.sub("", p).lower() for p in parts) if len(x) >= 12][:2]
+    if abstract.isascii():
+        found = (p.lower().encode().translate(None, _NO_LETTERS).decode() for p in parts)
+    else:
+        found = (_FORMATTING.sub("", p).lower() for p in parts)
+    return [x for x in found if len(x) >= 12]
+
+
+_APART = re.compile(r"[\s,;.·•]+")
+
+
+def name_key(name: str) -> str:
+    """A name without case, punctuation and the order of its parts; a Chinese name is one part."""
+    parts = [_FORMATTING.sub("", x) for x in _APART.split(name.lower())]
+    return "".join(parts) if _HAN.search(name) else " ".join(sorted(x for x in parts if x))
 
 
 def author_parts(authors: str) -> list[str]:
@@ -99,7 +116,7 @@ class _Hashed:
 
 #: Classes that a task remembers; beyond it only more rows of one class are joined.
 _SEEN = 1_000_000
-_DESCRIBED = "id long, c long, first boolean, t long, s1 long, s2 long, a array<int>, y int, odd boolean, cut boolean, marks long, w array<int>, start long"
+_DESCRIBED = "id long, c long, first boolean, t long, s array<long>, a array<int>, y int, odd boolean, cut boolean, marks long, w array<long>, sum long, start long"
 
 
 def readings(title: str, kinds: KindsOfCharacters) -> list[str]:
@@ -127,10 +144,10 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             year = None if year is None or year != year else int(year)
             own = None
             if c is None or c != c:
-                names = sorted("".join(sorted(_FORMATTING.sub("", n.lower()))) for n in authors.split("␞"))
+                names = sorted(map(name_key, authors.split("␞")))
                 own = h.one("␟".join((_FORMATTING.sub("", title.lower()), "␞".join(n for n in names if n), str(year), _FORMATTING.sub("", abstract.lower()))))
             odd = not abstract.isascii() and bool(_ODD.search(abstract))
-            s = [h.one(x) for x in first_sentences(normalise(clean(abstract, kinds)) if odd else abstract)]
+            s = h.many(whole_sentences(normalise(clean(abstract, kinds)) if odd else abstract))
             a = h.many(sorted(author_parts(authors), key=lambda x: (-len(x), x)))
             for t in readings(title, kinds):
                 words = title_words(t)
@@ -145,12 +162,13 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in rows:
             c, t = r[1] if r[2] is None else at(r[2]), at(r[3])
             if (c, t) in seen:
-                out.append((r[0], c, False, *[None] * 10))
+                out.append((r[0], c, False, *[None] * (len(_DESCRIBED.split(", ")) - 3)))
                 continue
             if len(seen) >= _SEEN:
                 seen.clear()
             seen.add((c, t))
-            out.append((r[0], c, True, t, at(r[4][0]) if r[4] else None, at(r[4][1]) if len(r[4]) > 1 else None, short[slice(*r[5])], r[6], r[7], r[8], at(r[9]), short[slice(*r[10])], at(r[11])))
+            w = v[slice(*r[10])]
+            out.append((r[0], c, True, t, v[slice(*r[4])], short[slice(*r[5])], r[6], r[7], r[8], at(r[9]), w, int(np.bitwise_xor.reduce(w)), at(r[11])))
         kinds_of = dict(f.split() for f in _DESCRIBED.split(", "))
         columns = zip(*out, strict=True) if out else [()] * len(kinds_of)
         yield pd.DataFrame({n: pd.array(list(x), dtype={"long": "Int64", "int": "Int32"}.get(kinds_of[n], object)) for n, x in zip(kinds_of, columns, strict=True)})
@@ -164,10 +182,17 @@ RULES = {**STRONG, **MIDDLE, **LOOSE}
 NUMBER = {r: k for k, r in enumerate(RULES)}
 
 
-def _less() -> Column:
-    """A title's words as a sum of their hashes, and less each one of them."""
-    whole = F.aggregate("w", F.lit(0).cast("long"), lambda x, w: x + w)
-    return F.array_distinct(F.when(F.size("w") >= 5, F.concat(F.array(whole), F.transform("w", lambda w: whole - w))).otherwise(F.array(whole)))
+#: Words of a title that has variants with one word less; shorter titles only stand for themselves.
+LEAST_TITLE = 5
+
+
+def _loose_texts(d: DataFrame, *columns: str) -> DataFrame:
+    """Rows (columns, own, b): a title's words in any order, those less one of them, and its beginning; own is the title as it is."""
+    d = d.select(*columns, F.coalesce("t", F.lit(0)).alias("own"), "t", "sum", "start", F.explode_outer(F.when(F.size("w") >= LEAST_TITLE, F.col("w"))).alias("word"), F.get("w", F.lit(0)).alias("w1"))
+    # the whole title and its beginning come once, with its first word
+    once = F.col("word").isNull() | (F.col("word") == F.col("w1"))
+    b = F.explode(F.array(F.col("sum").bitwiseXOR(F.col("word")), F.when(once & F.col("t").isNotNull(), F.col("sum")), F.when(once, F.col("start"))))
+    return d.select(*columns, "own", b.alias("b")).where("b is not null")
 
 
 def _meeting(p: DataFrame, f: DataFrame, loose: bool) -> tuple[DataFrame, DataFrame]:
@@ -176,12 +201,10 @@ def _meeting(p: DataFrame, f: DataFrame, loose: bool) -> tuple[DataFrame, DataFr
     Only for these are keys with every author part made: most titles and sentences never meet. loose: titles less a word
     and beginnings of titles, of which those count that meet under two different titles; equal titles have met before.
     """
-    none = F.array().cast("array<bigint>")
     if loose:
-        texts = F.array_compact(F.concat(F.when(F.col("t").isNotNull(), _less()).otherwise(none), F.array("start")))
+        pr, fr = (_loose_texts(d, "c") for d in (p, f))
     else:
-        texts = F.array_compact(F.array("t", "s1", "s2"))
-    pr, fr = (d.select("c", *([F.coalesce("t", F.lit(0)).alias("own")] if loose else []), F.explode(texts).alias("b")) for d in (p, f))
+        pr, fr = (d.select("c", F.explode(F.concat(F.array("t"), "s")).alias("b")).where("b is not null") for d in (p, f))
 
     def met(rows: DataFrame, other: DataFrame) -> DataFrame:
         o, x = rows.alias("o"), other.drop("c").distinct().hint("shuffle_hash").alias("x")
@@ -194,52 +217,35 @@ def _meeting(p: DataFrame, f: DataFrame, loose: bool) -> tuple[DataFrame, DataFr
 
 
 def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
-    """(key, c) of one pass; a key's last four bits name its rule."""
+    """(key, c) of one pass; a key's last four bits name its rule. Rows are exploded by author and text, so that the keys are compiled code."""
 
     def h(rule: str, *c: Column) -> Column:
-        return F.xxhash64(F.lit(NUMBER[rule]), *c).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(NUMBER[rule]))
-
-    none = F.array().cast("array<bigint>")
-    a, y = F.col("a"), F.col("y")
-    t, s1, s2 = ((F.col(x) if which == 2 else F.when(F.array_contains("met", F.col(x)), F.col(x))) for x in ("t", "s1", "s2"))  # in the last pass the variants are what meets
-    some = F.size("a") > 0
-    years = F.array(y - 1, y, y + 1) if fetched else F.array(y)
-
-    def each(rule: str, parts: Column, ok: Column, *c: Column) -> Column:
-        return F.when(ok, F.transform(parts, lambda p: h(rule, p, *c))).otherwise(none)
-
-    def one(rule: str, ok: Column, *c: Column) -> Column:
-        return F.when(ok, F.array(h(rule, *c))).otherwise(none)
-
-    both = t.isNotNull() & s1.isNotNull()
-    if which == 0:
-        found = [
-            each("title+abstract+author", a, both & some, t, s1),
-            one("title+abstract+year", both & y.isNotNull(), t, s1, y),
-            one("title+abstract", both, t, s1),
-            one("sentences", s1.isNotNull() & s2.isNotNull(), s1, s2),
-            each("sentence+author", a, s1.isNotNull() & some, s1),
-            one("title+authors", t.isNotNull() & some, t, F.array_sort(a)),
-            each("title+author+year", a, t.isNotNull() & some & y.isNotNull(), t, y),
-        ]
-    elif which == 1:
-        found = [
-            each("title+author", a, t.isNotNull() & some, t),
-            each("sentence+year", years, s1.isNotNull() & y.isNotNull(), s1),
-            each("second+author", a, s2.isNotNull() & some, s2),
-            one("sentence", s1.isNotNull(), s1),
-            each("title+year", years, t.isNotNull() & y.isNotNull(), t),
-        ]
+        return F.when(F.greatest(*[x.isNull().cast("int") for x in c]) == 0 if len(c) > 1 else c[0].isNotNull(), F.xxhash64(F.lit(NUMBER[rule]), *c).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(NUMBER[rule])))
+
+    met = lambda x: F.when(F.array_contains("met", x), x)
+    y = F.col("y")
+    years = [y - 1, y, y + 1] if fetched else [y]
+    if which == 2:
+        # of a variant: the rows of its authors, of which the first makes the keys without an author
+        d = d.select("c", "a", "y", F.get("s", F.lit(0)).alias("s1"), met(F.col("start")).alias("start"), F.explode("met").alias("v")).select("*", F.posexplode_outer("a").alias("i", "p"))
+        v, p, begin = F.when(~F.col("v").eqNullSafe(F.col("start")), F.col("v")), F.col("p"), F.when(F.col("v") == F.col("start"), F.col("v"))
+        first = F.coalesce("i", F.lit(0)) == 0
+        found = [h("title-1+author", v, p), h("beginning+author", begin, p)]
+        found += [F.when(first, x) for x in (h("title-1+sentence", v, F.col("s1")), *(h("title-1+year", v, z) for z in years))]
     else:
-        v = F.array_intersect(_less(), "met")
-        many = lambda rule, parts, ok: F.when(ok, F.flatten(F.transform(v, lambda x: F.transform(parts, lambda p: h(rule, x, p))))).otherwise(none)
-        found = [
-            many("title-1+author", a, t.isNotNull() & some),
-            many("title-1+sentence", F.array(s1), both),
-            many("title-1+year", years, t.isNotNull() & y.isNotNull()),
-            each("beginning+author", a, F.array_contains("met", F.col("start")) & some, F.col("start")),
-        ]
-    return d.select("c", F.explode(F.concat(*found)).alias("key"))
+        s = F.filter("s", lambda x: F.array_contains("met", x))
+        d = d.select("c", met(F.col("t")).alias("t"), F.get(s, F.lit(0)).alias("s1"), F.get(s, F.lit(1)).alias("s2"), s.alias("s"), "a", "y", F.sort_array("a").alias("names"))
+        d = d.select("*", F.posexplode_outer("a").alias("i", "p"))
+        first = F.coalesce("i", F.lit(0)) == 0
+        t, s1, s2, p = (F.col(x) for x in ("t", "s1", "s2", "p"))
+        if which == 0:
+            found = [h("title+abstract+author", t, s1, p), h("sentence+author", s1, p), h("title+author+year", t, p, y)]
+            alone = [h("title+abstract+year", t, s1, y), h("title+abstract", t, s1), h("sentences", s1, s2), h("title+authors", F.when(F.size("a") > 0, t), F.col("names"))]
+        else:
+            found = [h("title+author", t, p), h("second+author", s2, p)]
+            alone = [h("sentence", s1), *(h("sentence+year", s1, z) for z in years), *(h("title+year", t, z) for z in years)]
+        found += [F.when(first, x) for x in alone]
+    return d.select("c", F.explode(F.array(*found)).alias("key")).where("key is not null")
 
 
 def _single(keys: DataFrame, name: str) -> DataFrame:
@@ -248,8 +254,9 @@ def _single(keys: DataFrame, name: str) -> DataFrame:
     return g.where(F.col(name) == F.col("other")).drop("other")
 
 
-#: Least share of the shorter title's words that the titles have in common, and years apart that another work is.
-LIKE, APART = 0.5, 2
+#: Least share of the shorter title's words that the titles have in common, years apart that another work is, and least share
+#: of the shorter abstract's sentences that makes the same text.
+LIKE, APART, SAME = 0.5, 2, 0.5
 
 
 def _mask(names: Iterable[str]) -> int:
@@ -263,12 +270,11 @@ BY_TEXT, BY_AUTHOR = _mask(r for r in RULES if r.startswith(("sentence", "second
 def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame) -> DataFrame:
     """(pc, fc, rule, n, s, a, t, y): pairs without contradictions, the strongest rule that holds, and the agreement of
     each attribute: null where it is unknown on a side. pairs: (pc, fc, rules as bits, n)."""
-    side = lambda d, c, x: d.select(F.col("c").alias(c), *[F.col(n).alias(f"{x}_{n}") for n in ("t", "s1", "s2", "a", "y", "odd", "cut", "marks", "w")])
+    side = lambda d, c, x: d.select(F.col("c").alias(c), *[F.col(n).alias(f"{x}_{n}") for n in ("t", "s", "a", "y", "odd", "cut", "marks", "w")])
     j = pairs.join(side(p, "pc", "p"), "pc").join(side(f, "fc", "f"), "fc")
-    same_text = F.lit(False)
-    for x, y in (("s1", "s1"), ("s2", "s2"), ("s1", "s2"), ("s2", "s1")):
-        same_text |= F.coalesce(F.col(f"p_{x}") == F.col(f"f_{y}"), F.lit(False))
-    s = F.when(same_text, True).when(F.col("p_s1").isNotNull() & F.col("f_s1").isNotNull() & ~F.col("p_odd") & ~F.col("f_odd"), False)
+    # whole sentences in common: one alone may be a stock phrase
+    both = F.size(F.array_intersect("p_s", "f_s")) / F.least(F.size("p_s"), F.size("f_s"))
+    s = F.when((F.size("p_s") > 0) & (F.size("f_s") > 0), F.when(both >= SAME, True).when((both == 0) & ~F.col("p_odd") & ~F.col("f_odd"), False))
     a = F.when((F.size("p_a") > 0) & (F.size("f_a") > 0), F.arrays_overlap("p_a", "f_a"))
     names = F.size(F.array_intersect("p_a", "f_a")) / F.greatest(F.lit(1), F.least(F.size("p_a"), F.size("f_a")))
     common = F.size(F.array_intersect("p_w", "f_w")) / F.greatest(F.lit(1), F.least(F.size(F.array_distinct("p_w")), F.size(F.array_distinct("f_w"))))
