@@ -67,7 +67,7 @@ class Library:
         return I.page(R.library(self.index.papers, query), page, min(max(size, 1), 100), "paper_id")
 
     def paper(self, paper_id: int) -> DataFrame:
-        return self.index.papers.where(F.col("paper_id") == paper_id)
+        return R.paper(self.index.papers, paper_id)
 
     # writing: each gives a new library
 
@@ -84,7 +84,8 @@ class Library:
         return self._with(I.append(self.index, settled(fresh), self.stopwords, self.segment))
 
     def remove(self, *ids: int) -> Library:
-        return self._with(I.remove(self.index, list(ids), self.stopwords, self.segment))
+        gone = self.spark.createDataFrame([(i,) for i in ids], "paper_id long")
+        return self._with(I.remove(self.index, gone, self.stopwords, self.segment))
 
     def add_files(self, contents: DataFrame, extract_pdf: files.Extractor | None = None) -> tuple[Library, DataFrame]:
         """Parses files, those of ZIP archives too, and adds them; also gives what was parsed."""

@@ -61,5 +61,16 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility form; the JVM has none, so texts beyond ASCII go through Arrow."""
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(_nfkc(text))
+    """Compatibility form; the JVM has none, so texts beyond ASCII, and only they, go through Arrow."""
+    return F.coalesce(_nfkc(F.when(F.octet_length(text) != F.length(text), text)), text)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_each(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda ts: [t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in ts], na_action="ignore")
+
+
+def nfkc_each(texts: Column) -> Column:
+    """Compatibility form of every text of an array."""
+    beyond = F.exists(texts, lambda t: F.coalesce(F.octet_length(t) != F.length(t), F.lit(False)))
+    return F.coalesce(_nfkc_each(F.when(beyond, texts)), texts)

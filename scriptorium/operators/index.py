@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.stem import stems
 from scriptorium.functions.text import pairs_of_characters, tokens
+from scriptorium.shared import settled
 
 
 @dataclass(frozen=True)
@@ -24,10 +25,13 @@ class Index:
     spellings: DataFrame
 
     def write(self, path: str) -> None:
-        """Postings in ranges of terms and spellings in ranges of spellings, sorted, so that filters on them skip row groups."""
+        """Postings in ranges of terms and spellings in ranges of spellings, sorted, so that filters on them skip row groups.
+
+        Choosing ranges reads a table twice, so postings and spellings are settled before.
+        """
         self.papers.write.mode("overwrite").parquet(f"{path}/papers")
-        self.postings.repartitionByRange("term", "paper_id").sortWithinPartitions("term", "paper_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.spellings.repartitionByRange("orig").sortWithinPartitions("orig").write.mode("overwrite").parquet(f"{path}/spellings")
+        settled(self.postings).repartitionByRange("term", "paper_id").sortWithinPartitions("term", "paper_id").write.mode("overwrite").parquet(f"{path}/postings")
+        settled(self.spellings).repartitionByRange("orig").sortWithinPartitions("orig").write.mode("overwrite").parquet(f"{path}/spellings")
 
     @staticmethod
     def read(spark, path: str) -> Index:
@@ -141,10 +145,20 @@ def append(index: Index, papers: DataFrame, stopwords: set[str], segment=pairs_o
     )
 
 
-def remove(index: Index, ids: list[int], stopwords: set[str], segment=pairs_of_characters) -> Index:
-    """The index without the papers of these ids; only their own words are taken out of the spellings."""
-    gone = index.papers.where(F.col("paper_id").isin(ids))
-    rest = index.papers.where(~F.col("paper_id").isin(ids))
+def remove(index: Index, ids: DataFrame, stopwords: set[str], segment=pairs_of_characters) -> Index:
+    """The index without the papers of these ids (paper_id); only their own words are taken out of the spellings.
+
+    A spelling that was first seen in a removed paper is looked up again, in the papers that hold its term.
+    """
+    ids = ids.select("paper_id").distinct()
+    gone, rest = (index.papers.join(ids, "paper_id", how) for how in ("left_semi", "left_anti"))
+    postings = index.postings.join(ids, "paper_id", "left_anti")
     less = build(gone, stopwords, segment).spellings.select("term", "orig", (-F.col("freq")).alias("freq"))
     freq = index.spellings.select("term", "orig", "freq").unionByName(less).groupBy("term", "orig").agg(F.sum("freq").alias("freq")).where("freq > 0")
-    return Index(rest, index.postings.where(~F.col("paper_id").isin(ids)), freq.join(index.spellings.drop("freq"), ["term", "orig"]).select("term", "orig", "freq", "first_doc", "first_pos"))
+    kept = freq.join(index.spellings.drop("freq"), ["term", "orig"])
+    moved = kept.join(ids.withColumnRenamed("paper_id", "first_doc"), "first_doc", "left_semi").select("term", "orig")
+    holders = rest.join(postings.join(moved.select("term").distinct(), "term", "left_semi").select("paper_id").distinct(), "paper_id", "left_semi")
+    seen = token_rows(holders, stopwords, segment).groupBy(F.col("word").alias("orig")).agg(F.min(F.struct("paper_id", "pos")).alias("f"))
+    again = moved.join(seen, "orig").select("term", "orig", F.col("f.paper_id").alias("doc"), F.col("f.pos").alias("at"))
+    spellings = kept.join(again, ["term", "orig"], "left").select("term", "orig", "freq", F.coalesce("doc", "first_doc").alias("first_doc"), F.when(F.col("doc").isNotNull(), F.col("at")).otherwise(F.col("first_pos")).alias("first_pos"))
+    return Index(rest, postings, spellings)

@@ -18,15 +18,17 @@ def idf(df, total):
     return F.log((F.lit(total) + 1.0) / (df + 1.0)) + 1.0
 
 
-def ranked_keywords(papers: DataFrame, df: DataFrame, total: int, stopwords: set[str], k: int = 8, segment=pairs_of_characters) -> DataFrame:
+def ranked_keywords(papers: DataFrame, df: DataFrame, total: int, stopwords: set[str], k: int = 8, segment=pairs_of_characters, known: DataFrame | None = None) -> DataFrame:
     """(paper_id, rank, keyword, score): the k best terms of each record, shown in the record's most usual spelling.
 
-    Terms of one letter don't count; terms that show the same spelling count once.
+    Terms of one letter don't count; terms that show the same spelling count once. known: (word, term) of every
+    word of the records, where an index has them; otherwise words are stemmed here.
     """
-    weigh = lambda field, w, base: papers.select("paper_id", F.lit(w).alias("w"), F.posexplode(tokens(F.col(field), stopwords, segment)).alias("pos", "word")).withColumn("pos", F.col("pos") + F.lit(base))
-    rows = weigh("title", TITLE_WEIGHT, 0).unionByName(weigh("abstract", ABSTRACT_WEIGHT, 1 << 24))
+    weigh = lambda field, w, base: F.transform(tokens(F.col(field), stopwords, segment), lambda t, i: F.struct(t.alias("word"), F.lit(w).alias("w"), (i + F.lit(base)).alias("pos")))
+    rows = papers.select("paper_id", F.inline(F.concat(weigh("title", TITLE_WEIGHT, 0), weigh("abstract", ABSTRACT_WEIGHT, 1 << 24))))
     words = rows.groupBy("paper_id", "word").agg(F.sum("w").alias("w"), F.min("pos").alias("first"))
-    stemmed = words.join(stems(words.select("word").distinct()), "word").where(F.length("term") >= 2)
+    known = stems(words.select("word").distinct()) if known is None else known
+    stemmed = words.join(known, "word").where(F.length("term") >= 2)
     usual = F.max_by("word", F.struct("w", -F.col("first")))
     per_term = stemmed.groupBy("paper_id", "term").agg(F.sum("w").alias("tf"), usual.alias("keyword"))
     scored = per_term.join(df, "term", "left").withColumn("score", F.round(F.col("tf") * idf(F.coalesce("df", F.lit(0)), total), 4))

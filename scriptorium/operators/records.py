@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.cjk import nfkc, nfkc_each
 from scriptorium.functions.text import content_key, strip, text_or_empty
-from scriptorium.shared import in_order
+from scriptorium.shared import in_order, settled
 
 
 def author_list(joined: Column) -> Column:
@@ -44,8 +45,9 @@ def numbered(rows: DataFrame) -> DataFrame:
     but the numbering of those rows.
     """
     first = F.row_number().over(Window.partitionBy("paper_id").orderBy("ord"))
-    marked = rows.withColumn("keeps", F.col("paper_id").isNotNull() & (first == 1))
-    kept, rest = marked.where("keeps").drop("keeps"), marked.where("not keeps").drop("keeps")
+    none = rows.where("paper_id is null")  # apart, since any number of them would be one group
+    marked = rows.where("paper_id is not null").withColumn("keeps", first == 1)
+    kept, rest = marked.where("keeps").drop("keeps"), marked.where("not keeps").drop("keeps").unionByName(none)
     waiting = in_order(rest, "ord")
     n = rest.count()
     if not n:
@@ -59,7 +61,8 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def key_of(row_year: str = "year") -> Column:
-    return content_key(F.col("title"), F.col("abstract"), F.col("authors"), F.col(row_year))
+    """The digest that two records share only if their contents are the same, compatibility forms counting as equal."""
+    return content_key(nfkc(F.col("title")), nfkc(F.col("abstract")), nfkc_each(F.col("authors")), F.col(row_year))
 
 
 def merge_by_id(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -78,20 +81,29 @@ def first_by_key(papers: DataFrame, order: str = "paper_id") -> DataFrame:
 
 
 def merge_strict(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The rows of new that are neither in old nor repeated: by content first, then by source_id. (ord orders new.)
+    """The rows of new that are accepted one after the other, by ord: those whose content and source_id neither old nor an accepted row has.
 
-    A row counts as repeated if an earlier row of new has its content or its source_id, whether or not
-    that earlier row was itself accepted.
+    Rows that clash with none are accepted at once. Of the others, in each round those are accepted that come first by
+    their content and by their source_id, and those are dropped that clash with them; so a row that only clashes with a
+    dropped one stays. Rows that agree in both are one row to the rounds, the first; a third of all rows sharing a
+    content are aggregated before they are joined. ord is unique; nulls and empty source_ids clash with nothing.
     """
-    keyed = new.withColumn("k", key_of())
-    keyed = keyed.join(old.select(key_of().alias("k")).distinct(), "k", "left_anti")
-    known = old.where("source_id is not null and source_id != ''").select("source_id").distinct()
-    keyed = keyed.join(known, "source_id", "left_anti")
-    by_key = F.row_number().over(Window.partitionBy("k").orderBy("ord"))
-    once = keyed.withColumn("r", by_key).where("r = 1").drop("r")
-    has_id = F.col("source_id").isNotNull() & (F.col("source_id") != "")
-    by_id = F.row_number().over(Window.partitionBy(F.when(has_id, F.col("source_id")).otherwise(F.concat(F.lit("#"), F.col("ord")))).orderBy("ord"))
-    return once.withColumn("r", by_id).where("r = 1").drop("r", "k")
+    sid = F.nullif(F.col("source_id"), F.lit(""))
+    keyed = new.withColumn("_k", key_of()).withColumn("_s", sid)
+    keyed = keyed.join(old.select(key_of().alias("_k")).distinct(), "_k", "left_anti")
+    keyed = keyed.join(old.select(sid.alias("_s")).where("_s is not null").distinct(), "_s", "left_anti")
+    todo = settled(keyed.groupBy("_k", "_s").agg(F.min("ord").alias("ord")))
+    taken: DataFrame | None = None
+    while True:
+        by_k, by_s = todo.groupBy("_k").agg(F.min("ord").alias("first_k")), todo.where("_s is not null").groupBy("_s").agg(F.min("ord").alias("first_s"))
+        marked = todo.join(by_k, "_k").join(by_s, "_s", "left")
+        won = settled(marked.where("ord = first_k and (first_s is null or ord = first_s)").select("_k", "_s", "ord"))
+        taken = won if taken is None else taken.unionByName(won)
+        rest = todo.join(won.select("_k"), "_k", "left_anti").join(won.where("_s is not null").select("_s"), "_s", "left_anti")
+        todo = settled(rest)
+        if todo.isEmpty():
+            break
+    return keyed.join(taken.select("ord"), "ord", "left_semi").select(new.columns)
 
 
 def merge_report(fetched: DataFrame, added: DataFrame) -> DataFrame:
@@ -108,6 +120,11 @@ def library(papers: DataFrame, query: str = "") -> DataFrame:
     return papers.where(F.coalesce(F.lower("title").contains(q), F.lit(False)) | F.coalesce(F.lower("abstract").contains(q), F.lit(False)) | held)
 
 
+def paper(papers: DataFrame, paper_id: int) -> DataFrame:
+    """The record of an id."""
+    return papers.where(F.col("paper_id") == paper_id)
+
+
 def stored_name(paper_id: Column, content: Column, name: Column) -> Column:
     """The name under which a file is kept: id, eight digits of its digest, its extension."""
     ext = F.regexp_extract(name, r"(\.[^./\\]+)$", 1)

@@ -57,8 +57,8 @@ def is_boolean(query: str) -> bool:
 
 
 def lexemes(query: str) -> list[str]:
-    """Lower-case lexemes; the words of a quoted phrase are one lexeme."""
-    return [(m[1] or m[2] or m[3]).lower() for m in _LEXEME.finditer(query)]
+    """Lower-case lexemes; the words of a quoted phrase are one lexeme, without blanks around them."""
+    return [(m[1].strip() if m[1] is not None else m[2] or m[3]).lower() for m in _LEXEME.finditer(query)]
 
 
 def parse(query: str) -> Node:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,19 +35,21 @@ class SearchResult:
         return self.hits.count() if self.hits is not None else 0
 
 
-def query_terms(spark: SparkSession, text: str, stopwords: set[str], segment=pairs_of_characters) -> list[tuple[str, str]]:
-    """(original, term) of a query's tokens in order: the same analysis as the index has."""
-    one = spark.createDataFrame([(text,)], "text string")
-    words = one.select(F.posexplode(tokens(F.col("text"), stopwords, segment)).alias("pos", "word"))
-    rows = words.join(stems(words.select("word").distinct()), "word").orderBy("pos").collect()  # the words of one query
-    return [(r["word"], r["term"]) for r in rows]
+def query_terms(spark: SparkSession, texts: list[str], stopwords: set[str], segment=pairs_of_characters) -> list[list[tuple[str, str]]]:
+    """(original, term) of the tokens of each part of a query, in order: the same analysis as the index has, in one job."""
+    parts = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    words = parts.select("i", F.posexplode(tokens(F.col("text"), stopwords, segment)).alias("pos", "word"))
+    found: list[list[tuple[str, str]]] = [[] for _ in texts]
+    for r in words.join(stems(words.select("word").distinct()), "word").orderBy("i", "pos").collect():  # the words of one query
+        found[r["i"]].append((r["word"], r["term"]))
+    return found
 
 
 def phrase_hits(postings: DataFrame, terms: list[str]) -> DataFrame:
     """(paper_id, tf, positions) where the terms stand one after the other: starts that every term, shifted, agrees on."""
     spark = postings.sparkSession
     places = spark.createDataFrame(list(enumerate(terms)), "i int, term string")
-    starts = postings.join(F.broadcast(places), "term").select("paper_id", "i", F.explode("positions").alias("p")).select("paper_id", (F.col("p") - F.col("i")).alias("start"), "i")
+    starts = postings.where(F.col("term").isin(*terms)).join(F.broadcast(places), "term").select("paper_id", "i", F.explode("positions").alias("p")).select("paper_id", (F.col("p") - F.col("i")).alias("start"), "i")
     whole = starts.groupBy("paper_id", "start").agg(F.countDistinct("i").alias("n")).where((F.col("n") == len(terms)) & (F.col("start") >= 0))
     return whole.groupBy("paper_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("start")).alias("positions"))
 
@@ -65,6 +68,7 @@ class Searcher:
         self.index, self.stopwords, self.segment, self.bilingual = index, stopwords, segment, bilingual
         self.spark = index.postings.sparkSession
         self._total: int | None = None
+        self._analysed: dict[str, list[tuple[str, str]]] = {}
 
     @property
     def total(self) -> int:
@@ -74,12 +78,16 @@ class Searcher:
 
     # leaves
 
-    def terms(self, text: str) -> list[tuple[str, str]]:
-        return query_terms(self.spark, text, self.stopwords, self.segment)
+    def terms(self, *texts: str) -> list[list[tuple[str, str]]]:
+        """The terms of each text; what was analysed before is remembered."""
+        fresh = [t for t in dict.fromkeys(texts) if t not in self._analysed]
+        if fresh:
+            self._analysed.update(zip(fresh, query_terms(self.spark, fresh, self.stopwords, self.segment), strict=True))
+        return [self._analysed[t] for t in texts]
 
     def leaf_hits(self, leaf: str) -> DataFrame | None:
         """(paper_id, tf, positions) of one leaf; None if no document can match."""
-        found = [t for _, t in self.terms(leaf)]
+        found = [t for _, t in self.terms(leaf)[0]]
         if not found:
             return None
         if " " in leaf and len(found) > 1:
@@ -113,7 +121,8 @@ class Searcher:
     def shown(self, ranked: DataFrame) -> DataFrame:
         """Ranked hits with the usual spelling of each matched term."""
         m = ranked.select("paper_id", F.explode("matched").alias("m")).select("paper_id", "m.*")
-        m = m.join(displays(self.index.spellings), "term", "left").withColumn("display", F.coalesce("display", "term"))
+        own = self.index.spellings.join(m.select("term").distinct(), "term", "left_semi")
+        m = m.join(displays(own), "term", "left").withColumn("display", F.coalesce("display", "term"))
         again = m.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("term", "display", "tf", "positions"))).alias("matched_terms"))
         return ranked.drop("matched").join(again, "paper_id", "left").orderBy(F.desc("score"), "paper_id")
 
@@ -123,6 +132,7 @@ class Searcher:
         """(paper_id, score, matched) of all documents that the query holds for."""
         ast = parse(query)
         names = leaves(ast)
+        self.terms(*names)
         per_leaf = [(leaf, h) for leaf in names if (h := self.leaf_hits(leaf)) is not None]
         if not per_leaf and not holds_for_nothing(ast):
             return None
@@ -139,7 +149,7 @@ class Searcher:
 
     def keywords(self, query: str, mode: str = "tf") -> DataFrame | None:
         """Documents that have every term of the query."""
-        terms = list(dict.fromkeys(t for _, t in self.terms(query)))
+        terms = list(dict.fromkeys(t for _, t in self.terms(query)[0]))
         return self._of_terms(terms, mode, every=True)
 
     def union(self, terms: list[str], mode: str = "tf") -> DataFrame | None:
@@ -170,14 +180,14 @@ class Searcher:
 
     def cross_language(self, query: str, mode: str = "tf") -> tuple[DataFrame | None, dict]:
         """Any of the query's terms or of their translations; without translations there is no result."""
-        pairs = self.terms(query)
+        pairs = self.terms(query)[0]
         words = list(dict.fromkeys(w for w, _ in pairs))
         whole = re.findall("[一-鿿]+", query)  # a Chinese run may be an entry of its own, however it is cut
         grams = [" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1)]
         found = self.translations(list(dict.fromkeys(words + whole)) + grams)
         if not found:
             return None, {}
-        terms = [t for _, t in pairs] + [t for _, _, syn in found for s in syn for _, t in self.terms(s)]
+        terms = [t for _, t in pairs] + [t for own in self.terms(*(s for _, _, syn in found for s in syn)) for _, t in own]
         return self.union(terms, mode), {w: syn for w, _, syn in found}
 
     # the one entry
@@ -199,19 +209,26 @@ class Searcher:
             if self.bilingual is not None and (cross or lang in ("zh", "mixed")):
                 hits, trace["translations"] = self.cross_language(query, mode)
                 kind = "cross" if trace["translations"] else kind
-            if kind == "keywords":
+            if kind == "cross":
+                words = [query, *(s for syn in trace["translations"].values() for s in syn)]
+                trace |= self.trace_of(dict.fromkeys(t for own in self.terms(*words) for _, t in own))
+                trace["strategy"] = "union of the terms and their translations: any of them makes a hit"
+            else:
                 hits = self.keywords(query, mode)
-                trace["df"] = self.frequencies(query)
-                trace["merge_order"] = sorted(trace["df"], key=lambda t: (trace["df"][t], t))
+                trace |= self.trace_of(dict.fromkeys(t for _, t in self.terms(query)[0]))
+                trace["strategy"] = "intersection in ascending order of document frequency: " + " -> ".join(str(trace["df"][t]) for t in trace["merge_order"])
         ranked = self.shown(self.ranked(hits, top_k)) if hits is not None else None
         return SearchResult(query, kind, mode, hits, ranked, trace)
 
-    def frequencies(self, query: str) -> dict[str, int]:
-        terms = list(dict.fromkeys(t for _, t in self.terms(query)))
+    def trace_of(self, terms: Iterable[str]) -> dict:
+        """df and usual spelling of each term of a query, and the order in which the terms' lists are merged."""
+        terms = list(terms)
         if not terms:
-            return {}
-        rows = self.index.postings.where(F.col("term").isin(*terms)).groupBy("term").count().collect()  # the terms of one query
-        return {t: 0 for t in terms} | {r["term"]: r["count"] for r in rows}
+            return {"df": {}, "display": {}, "merge_order": []}
+        wanted = F.col("term").isin(*terms)
+        df = {t: 0 for t in terms} | {r["term"]: r["df"] for r in self.index.postings.where(wanted).groupBy("term").agg(F.count("*").alias("df")).collect()}  # the terms of one query
+        display = {t: t for t in terms} | {r["term"]: r["display"] for r in displays(self.index.spellings.where(wanted)).collect()}
+        return {"df": df, "display": display, "merge_order": sorted(terms, key=lambda t: (df[t], t))}
 
 
 def _compiled(node: Node, has: dict[str, Column]) -> Column:
@@ -239,7 +256,8 @@ def expand(words: DataFrame, bilingual: DataFrame) -> DataFrame:
 
 def query_batch(postings: DataFrame, queries: DataFrame, total: int) -> DataFrame:
     """(query_id, paper_id, score) for many keyword queries at once. queries: (query_id, term), each term once a query."""
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    asked = queries.select("term").distinct()
+    df = postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     size = queries.groupBy("query_id").agg(F.count("*").alias("terms"))
     rows = postings.select("term", "paper_id", "tf").join(queries, "term").join(df, "term")
     g = rows.groupBy("query_id", "paper_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("tf") * idf(F.col("df"), total)), 4).alias("score"))

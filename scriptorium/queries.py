@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from scriptorium.operators import index as I
 from scriptorium.operators import records as R
 from scriptorium.operators.keywords import ranked_keywords, with_final_keywords
 from scriptorium.plans.search import Searcher, expand, query_batch
+from scriptorium.shared import shared_folder
 from scriptorium.sources import files
 from scriptorium.sources.corpus import stopword_set
 from scriptorium.streaming.ingest import report
@@ -49,10 +52,29 @@ def stop(spark: SparkSession, d: str) -> set[str]:
     return stopword_set(table(spark, d, "stopwords").select("word"))
 
 
-def index(spark: SparkSession, d: str) -> I.Index:
+def built_index(spark: SparkSession, d: str) -> I.Index:
     return I.build(corpus(spark, d).select("paper_id", "title", "abstract", "keywords", "year"), stop(spark, d))
 
 
+def _state(spark: SparkSession, d: str) -> str:
+    """Digest of the files that the index is made from: their names, lengths and times."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    seen = [d]
+    for t in ("papers", "stopwords"):
+        path = hadoop.Path(f"{d}/{t}.parquet")
+        seen += [f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in path.getFileSystem(conf).listStatus(path)]
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:32]
+
+
+def index(spark: SparkSession, d: str) -> I.Index:
+    """The stored index of the corpus: built and written to the shared folder once a session, then read from there."""
+    path = f"{shared_folder(spark)}/index-{_state(spark, d)}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/spellings/_SUCCESS")  # what is written last
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        built_index(spark, d).write(path)
+    return I.Index.read(spark, path)
+
+
 def searcher(spark: SparkSession, d: str) -> Searcher:
     return Searcher(index(spark, d), stop(spark, d), bilingual=table(spark, d, "bilingual"))
 
@@ -142,7 +164,8 @@ def vocabulary_stems(spark, d):
 
 @query(f"{BASE} SELECT term, paper_id, tf, array_to_string(positions, ' ') AS positions FROM posts")
 def postings(spark, d):
-    return index(spark, d).postings.select("term", "paper_id", *long("tf"), F.array_join("positions", " ").alias("positions"))
+    """The postings built from the texts; the other queries read the stored index."""
+    return built_index(spark, d).postings.select("term", "paper_id", *long("tf"), F.array_join("positions", " ").alias("positions"))
 
 
 @query(f"{BASE} SELECT term, df FROM df")
@@ -194,9 +217,10 @@ def suggest_prefix(spark, d):
     return I.suggest(index(spark, d), " Comp ", 10)
 
 
-@query(f"{BASE} SELECT term AS word, CAST(sum(freq) AS BIGINT) AS freq FROM voc JOIN st USING (word) WHERE contains(term, 'ificat') GROUP BY term ORDER BY freq DESC, term DESC LIMIT 10")
+@query(f"{BASE} SELECT term AS word, CAST(sum(freq) AS BIGINT) AS freq FROM voc JOIN st USING (word) WHERE contains(term, 'etri') GROUP BY term ORDER BY freq DESC, term DESC LIMIT 10")
 def suggest_substring(spark, d):
-    return I.substring_suggest(index(spark, d), "ificat", 10)
+    """No word begins so, hence the terms that hold it."""
+    return I.suggest(index(spark, d), "etri", 10)
 
 
 @query("SELECT coalesce(nullif(language, ''), 'en') AS language, count(*) AS papers FROM papers GROUP BY 1")
@@ -314,7 +338,8 @@ kw AS (SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY place)
 @query(f"{_KEYWORDS} SELECT paper_id, rank, keyword, score FROM kw")
 def record_keywords(spark, d):
     i = index(spark, d)
-    ranked = ranked_keywords(corpus(spark, d).select("paper_id", "title", "abstract"), I.document_frequency(i.postings), i.papers.count(), stop(spark, d))
+    known = i.spellings.select(F.col("orig").alias("word"), "term")
+    ranked = ranked_keywords(corpus(spark, d).select("paper_id", "title", "abstract"), I.document_frequency(i.postings), i.papers.count(), stop(spark, d), known=known)
     return ranked.select("paper_id", *long("rank"), "keyword", "score")
 
 
@@ -329,25 +354,41 @@ def reindexed_postings(spark, d):
 
 
 
+def _compatibility() -> str:
+    """Rows (character, compatibility form) of all characters that have one beyond their canonical form."""
+    rows = []
+    for o in (*range(0xA0, 0xD800), *range(0xF900, 0x30000)):
+        c = chr(o)
+        form = unicodedata.normalize("NFKC", c)
+        if form != unicodedata.normalize("NFC", c):
+            rows.append(f"({o},'{form.replace(chr(39), chr(39) * 2)}')")
+    return ",".join(rows)
+
+
 def _comp(x: str) -> str:
     return f"lower(trim(regexp_replace(coalesce({x}, ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
 
 
-_NAMES = (
-    "array_to_string(list_sort(list_transform(list_filter(coalesce(authors, []::VARCHAR[]), lambda a: a IS NOT NULL AND regexp_matches(a, '[^\\s\\x{a0}\\x{3000}\\x{2000}-\\x{200a}\\x{202f}]')), "
-    "lambda a: " + _comp("a") + ")), '|')"
-)
-_GROUPS = f"SELECT {_comp('title')} AS t, {_NAMES} AS a, year AS y, {_comp('abstract')} AS x, count(*) AS papers, min(id) AS first_id FROM papers GROUP BY ALL"
+# title, abstract and names in compatibility form, each character looked up; k has the records with their keys t, a, x
+_KEYED = f"""nf AS (SELECT chr(o) AS c, form FROM (VALUES {_compatibility()}) v(o, form)),
+raw AS (SELECT id, 't' AS f, 0 AS k, title AS s FROM papers UNION ALL SELECT id, 'x', 0, abstract FROM papers
+  UNION ALL SELECT id, 'a', generate_subscripts(authors, 1), unnest(authors) FROM papers),
+chars AS (SELECT id, f, k, unnest(l) AS c, generate_subscripts(l, 1) AS p FROM (SELECT id, f, k, regexp_extract_all(s, '(?s).') AS l FROM raw WHERE strlen(s) <> length(s))),
+formed AS (SELECT id, f, k, nfc_normalize(string_agg(coalesce(form, c), '' ORDER BY p)) AS s FROM chars LEFT JOIN nf USING (c) GROUP BY id, f, k),
+texts AS (SELECT id, f, k, coalesce(formed.s, raw.s) AS s FROM raw LEFT JOIN formed USING (id, f, k)),
+named AS (SELECT id, array_to_string(list_sort(list({_comp("s")})), '|') AS a FROM texts WHERE f = 'a' AND regexp_matches(s, '[^\\s\\x{{a0}}\\x{{3000}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}]') GROUP BY id),
+k AS (SELECT p.*, {_comp("tt.s")} AS t, coalesce(named.a, '') AS a, {_comp("xx.s")} AS x FROM papers p JOIN texts tt ON tt.id = p.id AND tt.f = 't' JOIN texts xx ON xx.id = p.id AND xx.f = 'x' LEFT JOIN named ON named.id = p.id)"""
+_GROUPS = f"WITH {_KEYED}, g AS (SELECT t, a, year AS y, x, count(*) AS papers, min(id) AS first_id FROM k GROUP BY ALL)"
 
 
-@query(f"SELECT first_id, papers FROM ({_GROUPS}) WHERE papers > 1")
+@query(f"{_GROUPS} SELECT first_id, papers FROM g WHERE papers > 1")
 def content_groups(spark, d):
     """Records of the same content: the first id and how many there are."""
     p = corpus(spark, d)
     return p.groupBy(R.key_of().alias("k")).agg(F.min("paper_id").alias("first_id"), F.count("*").alias("papers")).where("papers > 1").select("first_id", "papers")
 
 
-@query(f"SELECT first_id AS paper_id FROM ({_GROUPS})")
+@query(f"{_GROUPS} SELECT first_id AS paper_id FROM g")
 def first_by_content(spark, d):
     return R.first_by_key(corpus(spark, d)).select("paper_id")
 
@@ -360,15 +401,27 @@ def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 _OLD, _NEW = "coalesce(source = 'arxiv', false)", "NOT coalesce(source = 'arxiv', false)"
-_MERGE = f"""WITH k AS (SELECT *, {_comp('title')} AS t, {_NAMES} AS a, {_comp('abstract')} AS x FROM papers),
-old AS (SELECT * FROM k WHERE {_OLD}), nw AS (SELECT * FROM k WHERE {_NEW}),
-fresh AS (SELECT * FROM nw WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.t = nw.t AND old.a = nw.a AND old.x = nw.x AND old.year IS NOT DISTINCT FROM nw.year)
-  AND (nw.source_id IS NULL OR nw.source_id NOT IN (SELECT source_id FROM old WHERE source_id IS NOT NULL AND source_id <> ''))),
-once AS (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY t, a, year, x ORDER BY id) = 1),
-added AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY CASE WHEN source_id IS NOT NULL AND source_id <> '' THEN source_id ELSE '#' || id END ORDER BY id) = 1)
+
+
+def _merge(arrivals: str) -> str:
+    """Rows of nw that are accepted: those that clash with no other at once, the others one after the other by id."""
+    return f"""WITH RECURSIVE {_KEYED},
+old AS (SELECT * FROM k WHERE {_OLD}), nw AS (SELECT * FROM k WHERE {arrivals}),
+fresh AS (SELECT id, concat_ws('|', t, a, coalesce(CAST(year AS VARCHAR), ''), x) AS key, nullif(source_id, '') AS sid FROM nw
+  WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.t = nw.t AND old.a = nw.a AND old.x = nw.x AND old.year IS NOT DISTINCT FROM nw.year)
+  AND (source_id IS NULL OR source_id NOT IN (SELECT source_id FROM old WHERE source_id IS NOT NULL AND source_id <> ''))),
+counted AS (SELECT *, count(*) OVER (PARTITION BY key) AS keys, CASE WHEN sid IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY sid) END AS sids FROM fresh),
+clash AS (SELECT id, key, sid, row_number() OVER (ORDER BY id) AS n FROM counted WHERE keys > 1 OR sids > 1),
+turn(n, keys, sids, id) AS (SELECT CAST(0 AS BIGINT), []::VARCHAR[], []::VARCHAR[], CAST(NULL AS BIGINT) UNION ALL
+  SELECT n, CASE WHEN ok THEN list_append(keys, key) ELSE keys END, CASE WHEN ok AND sid IS NOT NULL THEN list_append(sids, sid) ELSE sids END, CASE WHEN ok THEN id END
+  FROM (SELECT c.n, t.keys, t.sids, c.key, c.sid, c.id, NOT list_contains(t.keys, c.key) AND (c.sid IS NULL OR NOT list_contains(t.sids, c.sid)) AS ok FROM turn t JOIN clash c ON c.n = t.n + 1)),
+added AS (SELECT id FROM counted WHERE keys = 1 AND sids = 1 UNION ALL SELECT id FROM turn WHERE id IS NOT NULL)
 """
 
 
+_MERGE = _merge(_NEW)
+
+
 @query(f"{_MERGE} SELECT id AS paper_id FROM added")
 def merge_strict(spark, d):
     return R.merge_strict(*_split(spark, d)).select("paper_id")
@@ -381,8 +434,8 @@ def merge_report(spark, d):
 
 
 @query(
-    f"""{_MERGE} , ok AS (SELECT * FROM nw WHERE title IS NOT NULL AND trim(title) <> '')
-SELECT CASE WHEN title IS NULL OR trim(title) = '' THEN 'failed' WHEN id IN (SELECT id FROM added WHERE trim(title) <> '') THEN 'added' ELSE 'duplicated' END AS outcome, count(*) AS records FROM nw GROUP BY 1"""
+    f"""{_merge(_NEW + " AND title IS NOT NULL AND trim(title) <> ''")}
+SELECT CASE WHEN title IS NULL OR trim(title) = '' THEN 'failed' WHEN id IN (SELECT id FROM added) THEN 'added' ELSE 'duplicated' END AS outcome, count(*) AS records FROM k WHERE {_NEW} GROUP BY 1"""
 )
 def ingest_report(spark, d):
     return report(*_split(spark, d))
@@ -410,15 +463,6 @@ def surrogate_ids(spark, d):
     return R.numbered(rows).select("ord", "paper_id")
 
 
-@query("SELECT fetch_id AS paper_id, trim(title) AS title, len(list_filter(list_transform(string_split(authors, ','), lambda a: trim(a)), lambda a: a <> '')) AS n_authors FROM fetched WHERE title IS NOT NULL AND title = trim(title) AND NOT regexp_matches(title, '[\\t\\n\\x{a0}\\x{3000}]')")
-def mapped_rows(spark, d):
-    """Raw rows of the second catalogue in the corpus' form; of them those whose titles need no trimming beyond blanks."""
-    raw = table(spark, d, "fetched").where(r"title is not null and title = trim(title) and not title rlike '[\\t\\n\\x{a0}\\x{3000}]'").withColumnRenamed("fetch_id", "id")
-    return R.mapped(raw).select("paper_id", "title", F.when(F.size("authors") > 0, F.size("authors")).otherwise(F.size("authors")).cast("long").alias("n_authors")).withColumn(
-        "n_authors", F.nullif(F.col("n_authors"), F.lit(0).cast("long"))
-    )
-
-
 _ENDS = rf"^[{X.SPACE}]+|[{X.SPACE}]+$"
 
 
@@ -426,7 +470,7 @@ _ENDS = rf"^[{X.SPACE}]+|[{X.SPACE}]+$"
     f"""SELECT fetch_id AS paper_id, regexp_replace(coalesce(title, ''), '{_ENDS}', '', 'g') AS title,
 len(list_filter(list_transform(string_split(authors, ','), lambda a: regexp_replace(a, '{_ENDS}', '', 'g')), lambda a: a <> '')) AS n_authors FROM fetched"""
 )
-def mapped_rows_whole(spark, d):
+def mapped_rows(spark, d):
     """All raw rows of the second catalogue in the corpus' form; without authors, an author string that is there counts 0."""
     raw = table(spark, d, "fetched").withColumn("none", F.col("authors").isNull())
     mapped = R.mapped(raw.withColumnRenamed("fetch_id", "id").withColumn("ord", F.col("none")))
@@ -445,7 +489,7 @@ def library_page(spark, d):
 
 @query("SELECT id AS paper_id, title, year FROM papers WHERE id = 4")
 def paper_lookup(spark, d):
-    return corpus(spark, d).where("paper_id = 4").select("paper_id", "title", F.col("year"))
+    return R.paper(corpus(spark, d), 4).select("paper_id", "title", "year")
 
 
 @query("SELECT id AS paper_id, concat(id, '_', left(sha256(coalesce(abstract, '')), 8), CASE WHEN file_name IS NULL THEN '.bin' ELSE regexp_extract(file_name, '(\\.[^./]+)$', 1) END) AS stored FROM papers")
@@ -460,8 +504,16 @@ def stored_names(spark, d):
 def removed_frequencies(spark, d):
     """Document frequencies after the records of one year were taken out."""
     i = index(spark, d)
-    ids = [r[0] for r in i.papers.where("year = 2025").select("paper_id").toLocalIterator()]
-    return I.document_frequency(I.remove(i, ids, stop(spark, d)).postings) if len(ids) < 10_000 else I.document_frequency(i.postings.join(i.papers.where("year = 2025"), "paper_id", "left_anti"))
+    return I.document_frequency(I.remove(i, i.papers.where("year = 2025"), stop(spark, d)).postings)
+
+
+@query(
+    f"""{_with("(SELECT * FROM papers WHERE year IS DISTINCT FROM 2025)")} SELECT word AS orig, term, freq, f.d AS first_doc, f.p AS first_pos FROM voc JOIN st USING (word)"""
+)
+def removed_spellings(spark, d):
+    """Spellings after the records of one year were taken out: as if the index were built without them."""
+    i = index(spark, d)
+    return I.remove(i, i.papers.where("year = 2025"), stop(spark, d)).spellings.select("orig", "term", "freq", "first_doc", *long("first_pos"))
 
 
 # --- text functions ------------------------------------------------------------------------------------------------
@@ -517,19 +569,12 @@ def parse_error_messages(spark, d):
     return spark.createDataFrame([(m,) for m in _MESSAGES], "message string").select("message", X.parse_error_message(F.col("message")).alias("hint"))
 
 
-@query("SELECT id AS paper_id, array_to_string(list_transform(regexp_extract_all(abstract, '[a-z]+'), lambda w: w), ' ') AS abstract FROM papers WHERE regexp_matches(abstract, '[a-z]')")
-def rebuilt_abstracts(spark, d):
-    """Abstracts' words inverted to positions and put back in order."""
-    p = corpus(spark, d).where("abstract rlike '[a-z]'").select("paper_id", F.posexplode(F.regexp_extract_all("abstract", F.lit("([a-z]+)"), 1)).alias("p", "w"))
-    inverted = p.groupBy("paper_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
-    return inverted.select("paper_id", X.rebuilt_abstract(F.col("m")).alias("abstract"))
-
-
 @query("SELECT id AS paper_id, abstract FROM papers WHERE abstract IS NOT NULL")
-def rebuilt_abstracts_whole(spark, d):
+def rebuilt_abstracts(spark, d):
     """Whole abstracts in any script, inverted to positions at each blank and put back in order."""
-    p = corpus(spark, d).where("abstract is not null").select("paper_id", F.posexplode(F.split("abstract", " ")).alias("p", "w"))
-    inverted = p.groupBy("paper_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
+    p = corpus(spark, d).where("abstract is not null").repartition("paper_id")  # one exchange for both groupings
+    words = p.select("paper_id", F.posexplode(F.split("abstract", " ")).alias("p", "w"))
+    inverted = words.groupBy("paper_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
     return inverted.select("paper_id", X.rebuilt_abstract(F.col("m")).alias("abstract"))
 
 

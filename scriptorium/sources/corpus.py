@@ -15,6 +15,9 @@ RAW_PAPER = T.StructType(
 )
 
 
+MOST_STOPWORDS = 100_000
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Raw rows of a JSON array, or of one object a line; a missing or broken file gives none.
 
@@ -33,9 +36,15 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stopword_set(words: DataFrame) -> set[str]:
-    """The set of a one-column table of words: lower case, without blanks and comment lines. A vocabulary of fixed size."""
+    """The set of a one-column table of words: lower case, without blanks and comment lines.
+
+    The words become part of every plan, so a table of more than ``MOST_STOPWORDS`` is refused.
+    """
     w = F.lower(F.trim(words.columns[0]))
-    return {r[0] for r in words.select(w.alias("w")).where("w is not null and w != '' and not startswith(w, '#')").distinct().limit(100_000).collect()}
+    found = words.select(w.alias("w")).where("w is not null and w != '' and not startswith(w, '#')").distinct().take(MOST_STOPWORDS + 1)
+    if len(found) > MOST_STOPWORDS:
+        raise ValueError(f"more than {MOST_STOPWORDS} stopwords")
+    return {r[0] for r in found}
 
 
 def read_stopwords(spark: SparkSession, path: str) -> set[str]:
@@ -60,15 +69,20 @@ def write_version(papers: DataFrame, root: str) -> str:
     name = f"v-{uuid.uuid4().hex}"
     papers.orderBy("paper_id").write.parquet(f"{root}/{name}")
     spark = papers.sparkSession
-    spark.createDataFrame([(json.dumps({"current": name}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_pointer_next")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsc.hadoopConfiguration()
-    fs = hadoop.Path(root).getFileSystem(conf)
-    fs.delete(hadoop.Path(f"{root}/_pointer"), True)
-    fs.rename(hadoop.Path(f"{root}/_pointer_next"), hadoop.Path(f"{root}/_pointer"))
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    following, pointer = hadoop.Path(f"{root}/pointer-{name}.json"), hadoop.Path(f"{root}/pointer.json")
+    out = following.getFileSystem(conf).create(following, True)
+    out.write(json.dumps({"current": name}).encode())
+    out.close()
+    # one rename that replaces the pointer: there is no moment without one
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    files = hadoop.FileContext.getFileContext(following.getFileSystem(conf).getUri(), conf)
+    files.rename(files.makeQualified(following), files.makeQualified(pointer), how)
     return name
 
 
 def read_version(spark: SparkSession, root: str) -> DataFrame:
-    current = json.loads(spark.read.text(f"{root}/_pointer").first()[0])["current"]
+    current = json.loads(spark.read.text(f"{root}/pointer.json").first()[0])["current"]
     return spark.read.parquet(f"{root}/{current}")

@@ -42,12 +42,12 @@ def test_entry(spark):
 
 def test_whole_titles(spark, tmp_path):
     spark.createDataFrame([(1, "　题 目\t", "A, ,B", None), (2, None, None, None), (3, "T", "", 2000)], "fetch_id long, title string, authors string, year int").write.parquet(f"{tmp_path}/fetched.parquet")
-    got = {tuple(r) for r in Q["mapped_rows_whole"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in Q["mapped_rows"](spark, str(tmp_path)).collect()}
     assert got == {(1, "题 目", 2), (2, "", None), (3, "T", 0)}
 
 
 def test_whole_abstracts(spark, tmp_path):
     texts = {1: "We, WE and 3 naïve ones.", 2: "融合  决策\n森林", 3: "", 4: " Да. ", 5: None}
     spark.createDataFrame(list(texts.items()), "id long, abstract string").write.parquet(f"{tmp_path}/papers.parquet")
-    got = {tuple(r) for r in Q["rebuilt_abstracts_whole"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in Q["rebuilt_abstracts"](spark, str(tmp_path)).collect()}
     assert got == {x for x in texts.items() if x[1] is not None}

@@ -1,3 +1,5 @@
+import random
+
 from scriptorium.operators import records as R
 from scriptorium.streaming.ingest import report, stream_into
 
@@ -17,6 +19,34 @@ def test_merge_strict(spark):
     assert {r["outcome"]: r["records"] for r in report(old, new).collect()} == {"added": 2, "duplicated": 3}
 
 
+def accepted_in_order(old, new):
+    """Brute force: one row after the other."""
+    key = lambda r: (r[0].strip().lower(), r[1].strip().lower(), r[3])
+    keys, ids, out = {key(r) for r in old}, {r[4] for r in old if r[4]}, []
+    for r in new:
+        if key(r) not in keys and not (r[4] and r[4] in ids):
+            keys.add(key(r))
+            ids |= {r[4]} if r[4] else set()
+            out.append(r[6])
+    return out
+
+
+def test_merge_strict_chains(spark):
+    old = [("old", "", [], 1, "s0", 0, 0)]
+    new = [("A", "", [], 1, "s1", None, 0), ("B", "", [], 1, "s1", None, 1), ("B", "", [], 1, "s3", None, 2)]
+    assert sorted(r["ord"] for r in R.merge_strict(rows(spark, *old), rows(spark, *new)).collect()) == accepted_in_order(old, new) == [0, 2]
+    draw = random.Random(7)
+    for _ in range(3):
+        new = [(draw.choice("ABCDEFGHIJ"), "", [], draw.choice([1, None]), draw.choice([None, "", *(f"s{i}" for i in range(12))]), None, i) for i in range(90)]
+        assert sorted(r["ord"] for r in R.merge_strict(rows(spark, *old), rows(spark, *new)).collect()) == accepted_in_order(old, new)
+    assert R.merge_strict(rows(spark, *old), rows(spark).limit(0)).count() == 0
+
+
+def test_content_key_takes_compatibility_forms(spark):
+    new = rows(spark, ("Ｇｒａｐｈ", "ﬁne", ["Ａ Ｂ"], 1, None, None, 0), ("Graph", "fine", ["a b"], 1, None, None, 1))
+    assert [r["ord"] for r in R.merge_strict(rows(spark).limit(0), new).collect()] == [0]
+
+
 def test_numbered_fills_gaps(spark):
     df = spark.createDataFrame([(0, 0), (None, 1), (0, 2), (3, 3), (None, 4)], "paper_id long, ord long")
     assert {r["ord"]: r["paper_id"] for r in R.numbered(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4}

@@ -81,7 +81,7 @@ def test_append_equals_rebuild_and_remove_undoes(spark, search):
     assert key(grown) == key(search.index)
     freq = lambda i: sorted((r["term"], r["orig"], r["freq"]) for r in i.spellings.collect())
     assert freq(grown) == freq(search.index)
-    less = I.remove(grown, [2], sw)
+    less = I.remove(grown, spark.createDataFrame([(2,)], "paper_id long"), sw)
     assert key(less) == key(I.build(papers.where("paper_id < 2"), sw))
     assert freq(less) == freq(I.build(papers.where("paper_id < 2"), sw))
 
