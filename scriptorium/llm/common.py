@@ -40,6 +40,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a bucket, and buckets that Spark allows.
+BUCKET_ROWS, MOST_BUCKETS = 400_000, 100_000
+
+
+def bucketed(df: DataFrame, column: str, rows: int) -> tuple[DataFrame, int]:
+    """``df`` written to the shared folder in buckets of ``column``, and their number: joins on it don't move these rows again."""
+    spark = df.sparkSession
+    n = min(max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS)), MOST_BUCKETS)
+    name = f"scriptorium_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    df.repartition(n, column).write.bucketBy(n, column).option("path", path).saveAsTable(name)
+    return spark.table(name), n
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

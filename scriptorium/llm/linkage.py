@@ -25,13 +25,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut, read, written
+from scriptorium.llm.common import bucketed, cut, read, written
 from scriptorium.llm.glyphs import normalise
 from scriptorium.llm.languages import KindsOfCharacters, clean
 
@@ -68,7 +69,11 @@ _NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 def whole_sentences(abstract: str) -> list[str]:
-    """The letters of every sentence of twelve letters or more; a last one that was cut off doesn't count."""
+    """The letters of every sentence of twelve letters or more, the first and then the longest before the others.
+
+    A last one that was cut off doesn't count. The two in front are keys: of an abstract that was cut off the first remains,
+    of one whose beginning differs the longest, which is rarely a stock phrase.
+    """
     parts = _BREAK.split(abstract)
     if _CUT.search(abstract):
         while parts and not parts[-1].strip():
@@ -78,7 +83,11 @@ def whole_sentences(abstract: str) -> list[str]:
         found = (p.lower().encode().translate(None, _NO_LETTERS).decode() for p in parts)
     else:
         found = (_FORMATTING.sub("", p).lower() for p in parts)
-    return [x for x in found if len(x) >= 12]
+    first, *rest = [x for x in found if len(x) >= 12] or [None]
+    if rest:
+        longest = max(range(len(rest)), key=lambda k: len(rest[k]))
+        rest.insert(0, rest.pop(longest))
+    return [first, *rest] if first else []
 
 
 _APART = re.compile(r"[\s,;.·•]+")
@@ -116,7 +125,16 @@ class _Hashed:
 
 #: Classes that a task remembers; beyond it only more rows of one class are joined.
 _SEEN = 1_000_000
-_DESCRIBED = "id long, c long, first boolean, t long, s array<long>, a array<int>, y int, odd boolean, cut boolean, marks long, w array<long>, sum long, start long"
+_DESCRIBED = "id long, c long, first boolean, t long, s array<long>, a array<int>, y int, odd boolean, cut boolean, marks long, w array<long>, plain int, sum long, start long, parts array<long>"
+
+
+_SUBTITLE = re.compile(r"[:：–—]|\.\s|\s-\s")
+
+
+def segments(title: str) -> list[list[str]]:
+    """The words of each part of a title with a subtitle, of parts of three words (six Chinese characters) or more."""
+    parts = [title_words(x) for x in _SUBTITLE.split(title)]
+    return [w for w in parts if len(w) >= (6 if w and _HAN.match(w[0]) else 3)] if len(parts) > 1 else []
 
 
 def readings(title: str, kinds: KindsOfCharacters) -> list[str]:
@@ -153,8 +171,10 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 words = title_words(t)
                 n = len(words)
                 begin = words[: 6 if n and "㐀" <= words[0] <= "鿿" else 4]
-                marks = " ".join(sorted(w for w in words if _PART.fullmatch(w)))
-                rows.append((id_, c, own, h.one("".join(words)) if n else None, s, a, year, odd, bool(_CUT.search(t)), h.one(marks), h.many(words), h.one("".join(begin)) if n >= 4 else None))
+                marks = [w for w in words if _PART.fullmatch(w)]
+                plain = [w for w in words if w not in marks] if marks else words
+                parts = [h.many(w) for w in segments(t)]
+                rows.append((id_, c, own, h.one("".join(words)) if n else None, s, a, year, odd, bool(_CUT.search(t)), h.one(" ".join(sorted(marks))), h.many(plain + marks), len(plain), h.one("".join(begin)) if n >= 4 else None, parts))
         v = _hashes(h.texts)
         short = (v >> 32).astype(np.int32)
         at = lambda k: None if k is None else int(v[k])
@@ -168,7 +188,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 seen.clear()
             seen.add((c, t))
             w = v[slice(*r[10])]
-            out.append((r[0], c, True, t, v[slice(*r[4])], short[slice(*r[5])], r[6], r[7], r[8], at(r[9]), w, int(np.bitwise_xor.reduce(w)), at(r[11])))
+            out.append((r[0], c, True, t, v[slice(*r[4])], short[slice(*r[5])], r[6], r[7], r[8], at(r[9]), w, r[11], int(np.bitwise_xor.reduce(w)), at(r[12]), [int(np.bitwise_xor.reduce(v[slice(*x)])) for x in r[13]]))
         kinds_of = dict(f.split() for f in _DESCRIBED.split(", "))
         columns = zip(*out, strict=True) if out else [()] * len(kinds_of)
         yield pd.DataFrame({n: pd.array(list(x), dtype={"long": "Int64", "int": "Int32"}.get(kinds_of[n], object)) for n, x in zip(kinds_of, columns, strict=True)})
@@ -186,34 +206,63 @@ NUMBER = {r: k for k, r in enumerate(RULES)}
 LEAST_TITLE = 5
 
 
-def _loose_texts(d: DataFrame, *columns: str) -> DataFrame:
-    """Rows (columns, own, b): a title's words in any order, those less one of them, and its beginning; own is the title as it is."""
-    d = d.select(*columns, F.coalesce("t", F.lit(0)).alias("own"), "t", "sum", "start", F.explode_outer(F.when(F.size("w") >= LEAST_TITLE, F.col("w"))).alias("word"), F.get("w", F.lit(0)).alias("w1"))
-    # the whole title and its beginning come once, with its first word
-    once = F.col("word").isNull() | (F.col("word") == F.col("w1"))
-    b = F.explode(F.array(F.col("sum").bitwiseXOR(F.col("word")), F.when(once & F.col("t").isNotNull(), F.col("sum")), F.when(once, F.col("start"))))
+#: Marks of a whole title that meets parts of titles, and of a beginning that meets a title cut off, on the side of the papers.
+WHOLE, BEGUN = 0x5DEECE66D0C0FFEE, 0x2545F4914F6CDD1D
+
+
+def _loose_texts(d: DataFrame, fetched: bool, *columns: str) -> DataFrame:
+    """Rows (columns, own, b): a title's words in any order, those less one of them, and what meets a title of which a part is missing.
+
+    Words that name a part or an edition, and numbers, are never left out: titles that differ in one name different works.
+    A part of a title meets whole titles only, and the beginning of a title that was cut off any beginning.
+    own is the title as it is.
+    """
+    d = d.select(*columns, F.coalesce("t", F.lit(0)).alias("own"), "t", "sum", "start", "cut", "parts", F.posexplode_outer(F.when(F.size("w") >= LEAST_TITLE, F.slice("w", 1, F.col("plain")))).alias("i", "word"))
+    once = F.coalesce("i", F.lit(0)) == 0  # what isn't of one word comes with the first
+    whole = F.when(F.col("t").isNotNull(), F.col("sum"))
+    marked = lambda x, m: x.bitwiseXOR(F.lit(m))
+    if fetched:
+        others = [whole, F.when(F.col("cut"), F.col("start")), marked(F.col("start"), BEGUN)]
+        parts = F.transform("parts", lambda x: x.bitwiseXOR(F.lit(WHOLE)))
+    else:
+        others = [whole, F.col("start"), F.when(F.col("cut"), marked(F.col("start"), BEGUN)), marked(whole, WHOLE)]
+        parts = F.col("parts")
+    less = F.array(F.col("sum").bitwiseXOR(F.col("word")))
+    b = F.explode(F.when(once, F.concat(less, F.array(*others), parts)).otherwise(less))
     return d.select(*columns, "own", b.alias("b")).where("b is not null")
 
 
+@dataclass(frozen=True)
+class _Side:
+    """The classes of one side in buckets of c, and the number of the buckets."""
+
+    rows: DataFrame
+    buckets: int
+
+    def with_met(self, met: DataFrame) -> DataFrame:
+        """The classes that have a text of met (c, b), with the array met of these."""
+        return self.rows.join(met.repartition(self.buckets, "c").groupBy("c").agg(F.collect_set("b").alias("met")), "c")
+
+
 def _meeting(p: DataFrame, f: DataFrame, loose: bool) -> tuple[DataFrame, DataFrame]:
-    """Both sides reduced to classes with a text that the other side has too, named in the array met.
+    """(c, b) of both sides: classes and their texts that the other side has too.
 
     Only for these are keys with every author part made: most titles and sentences never meet. loose: titles less a word
-    and beginnings of titles, of which those count that meet under two different titles; equal titles have met before.
+    and titles of which a part is missing, of which those count that meet under two different titles; equal titles have met before.
     """
     if loose:
-        pr, fr = (_loose_texts(d, "c") for d in (p, f))
+        pr, fr = _loose_texts(p, False, "c"), _loose_texts(f, True, "c")
     else:
-        pr, fr = (d.select("c", F.explode(F.concat(F.array("t"), "s")).alias("b")).where("b is not null") for d in (p, f))
+        pr, fr = (d.select("c", F.explode(F.array("t", F.get("s", F.lit(0)), F.get("s", F.lit(1)))).alias("b")).where("b is not null") for d in (p, f))
 
     def met(rows: DataFrame, other: DataFrame) -> DataFrame:
         o, x = rows.alias("o"), other.drop("c").distinct().hint("shuffle_hash").alias("x")
         same = F.col("o.b") == F.col("x.b")
         return o.join(x, same & (F.col("o.own") != F.col("x.own")) if loose else same, "left_semi")
 
-    pm = met(pr, fr)
-    fm = met(fr, pm)
-    return tuple(written(d.join(m.groupBy("c").agg(F.collect_set("b").alias("met")), "c")) for d, m in ((p, pm), (f, fm)))
+    pm = written(met(pr, fr))
+    fm = written(met(fr, pm))
+    return pm.select("c", "b"), fm.select("c", "b")
 
 
 def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
@@ -226,15 +275,15 @@ def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
     y = F.col("y")
     years = [y - 1, y, y + 1] if fetched else [y]
     if which == 2:
-        # of a variant: the rows of its authors, of which the first makes the keys without an author
-        d = d.select("c", "a", "y", F.get("s", F.lit(0)).alias("s1"), met(F.col("start")).alias("start"), F.explode("met").alias("v")).select("*", F.posexplode_outer("a").alias("i", "p"))
-        v, p, begin = F.when(~F.col("v").eqNullSafe(F.col("start")), F.col("v")), F.col("p"), F.when(F.col("v") == F.col("start"), F.col("v"))
+        # of a text that meets: the rows of its authors, of which the first makes the keys without an author
+        part = F.array_contains(F.concat("parts", F.transform("parts", lambda x: x.bitwiseXOR(F.lit(WHOLE))), F.array_compact(F.array("start", F.col("start").bitwiseXOR(F.lit(BEGUN)), F.col("sum").bitwiseXOR(F.lit(WHOLE))))), F.col("b"))
+        d = d.select("*", F.explode("met").alias("b")).select("c", "a", "y", F.get("s", F.lit(0)).alias("s1"), "b", part.alias("part"), F.posexplode_outer("a").alias("i", "p"))
+        v, p = F.when(~F.col("part"), F.col("b")), F.col("p")
         first = F.coalesce("i", F.lit(0)) == 0
-        found = [h("title-1+author", v, p), h("beginning+author", begin, p)]
+        found = [h("title-1+author", v, p), h("beginning+author", F.col("b"), p)]
         found += [F.when(first, x) for x in (h("title-1+sentence", v, F.col("s1")), *(h("title-1+year", v, z) for z in years))]
     else:
-        s = F.filter("s", lambda x: F.array_contains("met", x))
-        d = d.select("c", met(F.col("t")).alias("t"), F.get(s, F.lit(0)).alias("s1"), F.get(s, F.lit(1)).alias("s2"), s.alias("s"), "a", "y", F.sort_array("a").alias("names"))
+        d = d.select("c", met(F.col("t")).alias("t"), met(F.get("s", F.lit(0))).alias("s1"), met(F.get("s", F.lit(1))).alias("s2"), "a", "y", F.sort_array("a").alias("names"))
         d = d.select("*", F.posexplode_outer("a").alias("i", "p"))
         first = F.coalesce("i", F.lit(0)) == 0
         t, s1, s2, p = (F.col(x) for x in ("t", "s1", "s2", "p"))
@@ -243,7 +292,7 @@ def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
             alone = [h("title+abstract+year", t, s1, y), h("title+abstract", t, s1), h("sentences", s1, s2), h("title+authors", F.when(F.size("a") > 0, t), F.col("names"))]
         else:
             found = [h("title+author", t, p), h("second+author", s2, p)]
-            alone = [h("sentence", s1), *(h("sentence+year", s1, z) for z in years), *(h("title+year", t, z) for z in years)]
+            alone = [h("sentence", s1), h("sentence", s2), *(h("sentence+year", s1, z) for z in years), *(h("title+year", t, z) for z in years)]
         found += [F.when(first, x) for x in alone]
     return d.select("c", F.explode(F.array(*found)).alias("key")).where("key is not null")
 
@@ -280,7 +329,7 @@ def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame) -> DataFrame:
     common = F.size(F.array_intersect("p_w", "f_w")) / F.greatest(F.lit(1), F.least(F.size(F.array_distinct("p_w")), F.size(F.array_distinct("f_w"))))
     t = F.when(F.col("p_t").isNotNull() & F.col("f_t").isNotNull(), common)
     dy = F.coalesce(F.abs(F.col("p_y") - F.col("f_y")), F.lit(0))
-    j = j.select("pc", "fc", "rules", "n", s.alias("s"), a.alias("a"), names.alias("names"), t.alias("t"), dy.alias("dy"), (dy <= 1).alias("y"), (F.col("f_cut") | F.col("p_cut") | (F.size("p_w") > F.size("f_w") + 1)).alias("short"), (F.col("p_marks") == F.col("f_marks")).alias("m"), (F.col("p_t") == F.col("f_t")).alias("same_t"))
+    j = j.select("pc", "fc", "rules", "n", s.alias("s"), a.alias("a"), names.alias("names"), t.alias("t"), dy.alias("dy"), (dy <= 1).alias("y"), (F.col("f_cut") | F.col("p_cut") | (F.abs(F.size("p_w") - F.size("f_w")) > 1)).alias("short"), (F.col("p_marks") == F.col("f_marks")).alias("m"), (F.col("p_t") == F.col("f_t")).alias("same_t"))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     no = lambda c: ~F.coalesce(F.col(c), F.lit(True))
     # a sentence and the title in common outweigh a year far off or an author's name that is typed otherwise, but not both
@@ -306,19 +355,17 @@ def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame) -> DataFrame:
     return j.select("pc", "fc", strongest.alias("rule"), "n", "s", "a", (F.col("t") >= 0.75).alias("t"), "y")
 
 
-def link(p: DataFrame, f: DataFrame) -> DataFrame:
+def link(p: _Side, f: _Side) -> DataFrame:
     """(pc, fc, rule, s, a, t, y): linked classes and the strongest rule that linked them."""
     linked: DataFrame | None = None
     for which in range(3):
+        rest = f if linked is None else replace(f, rows=f.rows.join(linked.select(F.col("fc").alias("c")), "c", "left_anti"))
         if which != 1:  # the first two passes have the same texts
-            rest = f if linked is None else f.join(linked.select(F.col("fc").alias("c")), "c", "left_anti")
-            ps, fs = _meeting(p, rest, loose=which == 2)
-        elif linked is not None:
-            fs = fs.join(linked.select(F.col("fc").alias("c")), "c", "left_anti")
-        pk, fk = _single(_keys(ps, which, False), "pc"), _keys(fs, which, True).select("key", F.col("c").alias("fc")).distinct()
+            pm, fm = _meeting(p.rows, rest.rows, loose=which == 2)
+        pk, fk = _single(_keys(p.with_met(pm), which, False), "pc"), _keys(rest.with_met(fm), which, True).select("key", F.col("c").alias("fc")).distinct()
         bit = F.expr("shiftleft(1, cast(key & 15 as int))")
         pairs = pk.join(fk, "key").groupBy("pc", "fc").agg(F.bit_or(bit).alias("rules"), F.count("*").alias("n"))
-        pairs = _checked(pairs, ps, fs)
+        pairs = _checked(pairs, p.rows, f.rows)
         pairs = pairs.groupBy("pc", "fc").agg(F.min("rule").alias("rule"), *[F.max(x).alias(x) for x in ("n", *"saty")])  # the readings of a title
         # records that differ in an author or the year only share most keys; the one with more keys in common is meant
         found = pairs.groupBy("fc").agg(F.max_by(F.struct("pc", "rule", "s", "a", "t", "y"), F.struct("n", -F.col("rule"), "pc")).alias("b")).select("b.pc", "fc", "b.rule", "b.s", "b.a", "b.t", "b.y")
@@ -344,7 +391,7 @@ def matches(papers: DataFrame, fetched: DataFrame) -> DataFrame:
     c = F.when(F.col("source_id").isNull(), F.xxhash64("fetch_id", F.lit(2))).otherwise(F.xxhash64("source_id", F.lit(1)))
     got = fetched.select(F.col("fetch_id").alias("id"), c.alias("c"), "title", "abstract", "authors", "year")
     p_rows, f_rows = (written(d.mapInPandas(_describe, _DESCRIBED)) for d in (rows, got))
-    linked = link(*(d.where("first").drop("id", "first") for d in (p_rows, f_rows)))
+    linked = link(*(_Side(*bucketed(d.where("first").drop("id", "first"), "c", d.count())) for d in (p_rows, f_rows)))
     linked = linked.join(F.broadcast(confidences(linked)), "rule", "left").select("pc", "fc", "rule", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))  # a row for each rule
     ids = p_rows.select(F.col("id").alias("paper_id"), F.col("c").alias("pc")).distinct()
     fetch_ids = f_rows.select(F.col("id").alias("fetch_id"), F.col("c").alias("fc")).distinct()
