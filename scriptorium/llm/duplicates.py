@@ -32,9 +32,14 @@ def letters(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}\p{M}]+", ""))
 
 
+#: What stands between the parts of a name; hyphens and apostrophes are within a part, and Chinese names are one part.
+APART, HAN = r"[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000},;.·•]+", r"[\x{3400}-\x{9fff}]"
+
+
 def name_key(c: Column) -> Column:
-    """A name without the order of its parts: its letters, sorted."""
-    return F.array_join(F.array_sort(F.split(letters(c), "")), "")
+    """A name without case, punctuation and the order of its parts."""
+    parts = F.filter(F.transform(F.split(c, APART), letters), lambda x: x != "")
+    return F.coalesce(F.when(c.rlike(HAN), letters(c)).otherwise(F.array_join(F.sort_array(parts), " ")), F.lit(""))
 
 
 def canonical_key(title: str = "title", abstract: str = "abstract", authors: str = "authors", year: str = "year") -> Column:
@@ -82,15 +87,13 @@ def _scan(every_run: bool):
             if len(starts):
                 if last_key is not None and (every_run or run == 1):
                     out.append(closed(RUN))
-                if every_run or run == 0 and len(starts) > 1:
-                    for j in range(len(starts) - 1) if every_run else [0]:
-                        run += 1
-                        keep, rows, last_key = int(ids[starts[j]]), int(size[j + 1]), key[int(starts[j])].as_py()
-                        out.append(closed(RUN))
-                    run = max(run, 1) + (0 if every_run else len(starts) - 2)
-                else:
-                    run += len(starts) - 1
-                run += 1
+                before = run
+                # runs that begin and end in this batch: all of them, or only the partition's first
+                for j in range(len(starts) - 1) if every_run else range(min(1, len(starts) - 1) if run == 0 else 0):
+                    run = before + j + 1
+                    keep, rows, last_key = int(ids[starts[j]]), int(size[j + 1]), key[int(starts[j])].as_py()
+                    out.append(closed(RUN))
+                run = before + len(starts)
                 keep, rows, last_key = int(ids[starts[-1]]), int(size[-1]), key[int(starts[-1])].as_py()
             first_run = run - len(starts) + 1 + number == 1 if len(starts) else np.full(len(ids), run == 1)
             copy = ~differs | first_run
@@ -150,4 +153,18 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_records": p5_records}
-SQL: dict[str, str] = {}
+
+
+def _letters_sql(x: str) -> str:
+    return f"lower(regexp_replace(coalesce({x}, ''), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g'))"
+
+
+_NAME_SQL = f"""CASE WHEN a IS NULL THEN '' WHEN regexp_matches(a, '{HAN}') THEN {_letters_sql("a")}
+ELSE array_to_string(list_sort(list_filter(list_transform(string_split_regex(a, '{APART}'), lambda x: {_letters_sql("x")}), lambda x: x <> '')), ' ') END"""
+_RECORDS_SQL = f"""WITH k AS (SELECT id, title, year, {_letters_sql("title")} AS t, {_letters_sql("abstract")} AS x,
+list_sort(list_filter(list_transform(coalesce(authors, []::VARCHAR[]), lambda a: {_NAME_SQL}), lambda n: n <> '')) AS names FROM papers),
+g AS (SELECT *, min(id) OVER (PARTITION BY t, x, names, year) AS keep_id, count(*) OVER (PARTITION BY t, x, names, year) AS copies FROM k)"""
+SQL: dict[str, str] = {
+    "p5_found": f"{_RECORDS_SQL} SELECT keep_id, id AS copy_id FROM g WHERE id <> keep_id",
+    "p5_records": f"{_RECORDS_SQL} SELECT id, title, year, copies FROM g WHERE id = keep_id",
+}

@@ -11,8 +11,7 @@ Text is unified and, where it was read in a wrong code page, read again before i
 with no bigrams at hand, a fixed preference among kinds of characters decides whether.
 
 Edge cases: null and empty texts have no segments; a label in any known spelling counts as its
-language, any other as none; sentences too short to tell (``LEAST_WORDS``) have no
-language; foreign names and terms inside a sentence don't change it; a tie goes to the
+language, any other as none; a sentence of fewer than ``LEAST_WORDS`` words has a lower confidence; foreign names and terms inside a sentence don't change it; a tie goes to the
 language first in ``LANGUAGES``.
 """
 
@@ -38,7 +37,7 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Labelled rows of each language that the model is fitted to at most.
 SAMPLE = 2000
 ROUNDS = 2
-#: Words (Chinese: characters) that a segment needs, and least posterior of its language.
+#: Words (Chinese: characters) that a segment needs for a full confidence, and least posterior of its language.
 LEAST_WORDS, LEAST_HAN, LEAST_POSTERIOR = 4, 8, 0.9
 
 # Spellings of the languages' names.
@@ -102,7 +101,7 @@ class Pieces:
 
     def forward(self, word: str) -> np.ndarray:
         """Log probability of the word in each language, over all segmentations."""
-        s = "▁" + word[:200] if not "㐀" <= word[0] <= "鿿" else word
+        s = "▁" + word if not "㐀" <= word[0] <= "鿿" else word
         n = len(s)
         a = np.zeros((n + 1, self.table.shape[1]))
         a[0] = 1.0
@@ -235,8 +234,8 @@ class Scorer:
             self.rows.append(self.pieces.forward(w))
         return k
 
-    def segments(self, texts: list[str]) -> Iterator[tuple[int, int, str, int, float, bool]]:
-        """(text, segment, sentence, language, posterior, long enough) of every sentence."""
+    def segments(self, texts: list[str]) -> Iterator[tuple[int, int, str, int, float, float]]:
+        """(text, segment, sentence, language, posterior, length) of every sentence; length: its words as a part of those it needs, 1 at most."""
         if len(self.known) > self.limit:
             self.known.clear()
             self.rows.clear()
@@ -252,7 +251,7 @@ class Scorer:
                 n = len(w)
                 if n:
                     han = 0 if plain else len(_HAN.findall(s))
-                    own.append((t, k, s, n - han >= LEAST_WORDS or han >= LEAST_HAN))
+                    own.append((t, k, s, min(1.0, max((n - han) / LEAST_WORDS, han / LEAST_HAN))))
                     sizes.append(n)
                     flat += [i if (i := get(x)) is not None else word(x) for x in w]
         if not own:
@@ -260,8 +259,8 @@ class Scorer:
         sums = np.add.reduceat(np.array(self.rows)[flat], np.cumsum(sizes) - sizes, axis=0)
         best = sums.argmax(axis=1)
         posterior = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-        for (t, k, s, enough), lang, p in zip(own, best.tolist(), posterior.tolist(), strict=True):
-            yield t, k, s, lang, p, enough
+        for (t, k, s, length), lang, p in zip(own, best.tolist(), posterior.tolist(), strict=True):
+            yield t, k, s, lang, p, length
 
 
 def training_counts(papers: DataFrame) -> dict[tuple[str, str], int]:
@@ -271,7 +270,7 @@ def training_counts(papers: DataFrame) -> dict[tuple[str, str], int]:
     every = F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(SAMPLE)))
     sample = labelled.join(F.broadcast(size), "lang").where(F.pmod(F.xxhash64("id"), every) == 0)  # size: a row for each of LANGUAGES
     word = F.explode(F.regexp_extract_all(F.lower("abstract"), F.lit(r"([\x{3400}-\x{9fff}]|[\p{L}&&[^\x{3400}-\x{9fff}]]+(?:['’][\p{L}&&[^\x{3400}-\x{9fff}]]+)*)"), 1))
-    rows = sample.select("lang", word.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")).where("length(word) <= 40")
+    rows = sample.select("lang", word.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     return {(r["lang"], r["word"]): r["n"] for r in rows.toLocalIterator()}
 
 
@@ -287,7 +286,7 @@ _SEGMENTS = "paper_id long, segment int, sentence string, lang string, confidenc
 
 
 def segment_languages(papers: DataFrame, path: str) -> DataFrame:
-    """(paper_id, segment, sentence, lang, confidence): each sentence's language, null if it is too short to tell."""
+    """(paper_id, segment, sentence, lang, confidence): each sentence's language; the shorter it is, the lower the confidence."""
     shared = papers.sparkSession.sparkContext.broadcast(fitted(papers, path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,8 +294,8 @@ def segment_languages(papers: DataFrame, path: str) -> DataFrame:
         for b in batches:
             ids = b["id"].to_numpy()
             out = []
-            for t, k, s, lang, p, enough in scorer.segments(b["abstract"].tolist()):
-                out.append((ids[t], k, s, LANGUAGES[lang] if enough else None, p if enough else 0.0))
+            for t, k, s, lang, p, length in scorer.segments(b["abstract"].tolist()):
+                out.append((ids[t], k, s, LANGUAGES[lang], p * length))
             yield pd.DataFrame(out, columns=["paper_id", "segment", "sentence", "lang", "confidence"])
 
     return papers.select("id", "abstract").where("abstract != ''").mapInPandas(run, _SEGMENTS)
@@ -311,8 +310,8 @@ def unnamed_languages(papers: DataFrame, path: str) -> DataFrame:
         for b in batches:
             ids, named = b["id"].to_numpy(), b["named"].tolist()
             out = set()
-            for t, _, _, lang, p, enough in scorer.segments(b["abstract"].tolist()):
-                if enough and p >= LEAST_POSTERIOR and LANGUAGES[lang] != named[t]:
+            for t, _, _, lang, p, length in scorer.segments(b["abstract"].tolist()):
+                if p * length >= LEAST_POSTERIOR and LANGUAGES[lang] != named[t]:
                     out.add((ids[t], LANGUAGES[lang]))
             yield pd.DataFrame(list(out), columns=["paper_id", "lang"])
 
@@ -327,7 +326,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each paper's language by the letters of its segments, with the share that is in it as confidence."""
     papers = read(spark, sf_dir, "papers", "id", "language", "abstract")
-    s = segment_languages(papers, vocabulary_path(spark)).where("lang is not null")
+    s = segment_languages(papers, vocabulary_path(spark))
     by = s.groupBy("paper_id", "lang").agg(F.sum(F.length("sentence") * F.col("confidence")).alias("weight"))
     best = F.max_by("lang", F.struct("weight", "lang"))
     found = by.groupBy("paper_id").agg(best.alias("lang"), (F.max("weight") / F.sum("weight")).alias("confidence"))
