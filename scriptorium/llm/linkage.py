@@ -26,6 +26,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,7 +51,7 @@ _PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae",
 _HAN = re.compile("[㐀-鿿]")
 _SPACED_HAN = re.compile(r"(?<=[㐀-鿿])[\s·•]+(?=[㐀-鿿])")
 #: Words that only name a part or an edition; titles that differ in one, or in a number, name different works.
-_PART = re.compile(r"part|teil|partie|parte|vol|volume|ii|iii|iv|\d+|revisited|erratum|corrigendum|续|上|下|часть")
+_PARTS = frozenset("part teil partie parte vol volume ii iii iv revisited erratum corrigendum 续 上 下 часть".split())
 #: Texts that may hold garbled or look-alike characters; their sentences may differ without contradicting.
 _ODD = re.compile("[^\x00-ÿ\u0400-\u045f\u2010-\u2026\u3001-\u3015\u4e00-\u9fff\uff01-\uff1f]|[\x80-\xa0¢-ª¬-¯±-¶¸-º¼-¾ÂÃÐØÞ×÷øþ]|[A-Za-z][а-яѕіј]|[¡-ÿ]{4}")
 
@@ -60,12 +61,28 @@ def folded(text: str) -> str:
     return text.lower() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text.lower())).translate(_PLAIN)
 
 
+#: What plain ASCII letters and digits are among other bytes: left out, or parted by blanks.
+_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalnum())
+_WORDS = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes(128)
+_ALPHABETIC = bytes(c if chr(c).isalpha() else 32 for c in range(128)) + bytes(128)
+
+
+def letters(text: str) -> str:
+    """Letters and digits in lower case; everything else is formatting."""
+    low = text.lower()
+    return low.encode().translate(None, _NO_LETTERS).decode() if low.isascii() else _FORMATTING.sub("", low)
+
+
 def title_words(title: str) -> list[str]:
     """The folded words of a title, of Chinese each character."""
-    return _WORD.findall(_NOT_TITLE.sub(" ", folded(normalise(title))))
+    text = folded(normalise(title))
+    if "<" in text or "(" in text:
+        text = _NOT_TITLE.sub(" ", text)
+    return text.encode().translate(_WORDS).decode().split() if text.isascii() else _WORD.findall(text)
 
 
-_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalnum())
+def was_cut(text: str) -> bool:
+    return ("…" in text or "..." in text) and bool(_CUT.search(text))
 
 
 def whole_sentences(abstract: str) -> list[str]:
@@ -75,15 +92,11 @@ def whole_sentences(abstract: str) -> list[str]:
     of one whose beginning differs the longest, which is rarely a stock phrase.
     """
     parts = _BREAK.split(abstract)
-    if _CUT.search(abstract):
+    if was_cut(abstract):
         while parts and not parts[-1].strip():
             parts.pop()
         parts = parts[:-1]
-    if abstract.isascii():
-        found = (p.lower().encode().translate(None, _NO_LETTERS).decode() for p in parts)
-    else:
-        found = (_FORMATTING.sub("", p).lower() for p in parts)
-    first, *rest = [x for x in found if len(x) >= 12] or [None]
+    first, *rest = [x for x in map(letters, parts) if len(x) >= 12] or [None]
     if rest:
         longest = max(range(len(rest)), key=lambda k: len(rest[k]))
         rest.insert(0, rest.pop(longest))
@@ -95,13 +108,18 @@ _APART = re.compile(r"[\s,;.·•]+")
 
 def name_key(name: str) -> str:
     """A name without case, punctuation and the order of its parts; a Chinese name is one part."""
-    parts = [_FORMATTING.sub("", x) for x in _APART.split(name.lower())]
+    parts = [letters(x) for x in _APART.split(name)]
     return "".join(parts) if _HAN.search(name) else " ".join(sorted(x for x in parts if x))
 
 
 def author_parts(authors: str) -> list[str]:
     """Parts of names that are longer than initials, and Chinese names, each once."""
-    return [x for x in dict.fromkeys(_PART_OF_NAME.findall(_SPACED_HAN.sub("", folded(authors)))) if x not in _FILLERS]
+    text = folded(authors)
+    if text.isascii():
+        found = [x for x in text.encode().translate(_ALPHABETIC).decode().split() if len(x) > 1]
+    else:
+        found = _PART_OF_NAME.findall(_SPACED_HAN.sub("", text) if _HAN.search(text) else text)
+    return [x for x in dict.fromkeys(found) if x not in _FILLERS]
 
 
 def _hashes(texts: list[str]) -> np.ndarray:
@@ -133,6 +151,8 @@ _SUBTITLE = re.compile(r"[:：–—]|\.\s|\s-\s")
 
 def segments(title: str) -> list[list[str]]:
     """The words of each part of a title with a subtitle, of parts of three words (six Chinese characters) or more."""
+    if not _SUBTITLE.search(title):
+        return []
     parts = [title_words(x) for x in _SUBTITLE.split(title)]
     return [w for w in parts if len(w) >= (6 if w and _HAN.match(w[0]) else 3)] if len(parts) > 1 else []
 
@@ -153,7 +173,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     first: whether the task hasn't seen the class before; copies have no attributes, so a class that holds a third of
     all rows is a few rows for each task when classes are joined.
     """
-    kinds = KindsOfCharacters()
+    kinds, key_of = KindsOfCharacters(), lru_cache(200_000)(name_key)  # names are heavy-tailed
     seen: set[tuple[int, int | None]] = set()
     for b in batches:
         h, rows = _Hashed(), []
@@ -162,8 +182,8 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             year = None if year is None or year != year else int(year)
             own = None
             if c is None or c != c:
-                names = sorted(map(name_key, authors.split("␞")))
-                own = h.one("␟".join((_FORMATTING.sub("", title.lower()), "␞".join(n for n in names if n), str(year), _FORMATTING.sub("", abstract.lower()))))
+                names = sorted(map(key_of, authors.split("␞")))
+                own = h.one("␟".join((letters(title), "␞".join(n for n in names if n), str(year), letters(abstract))))
             odd = not abstract.isascii() and bool(_ODD.search(abstract))
             s = h.many(whole_sentences(normalise(clean(abstract, kinds)) if odd else abstract))
             a = h.many(sorted(author_parts(authors), key=lambda x: (-len(x), x)))
@@ -171,10 +191,10 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 words = title_words(t)
                 n = len(words)
                 begin = words[: 6 if n and "㐀" <= words[0] <= "鿿" else 4]
-                marks = [w for w in words if _PART.fullmatch(w)]
+                marks = [w for w in words if w in _PARTS or w.isdigit()]
                 plain = [w for w in words if w not in marks] if marks else words
                 parts = [h.many(w) for w in segments(t)]
-                rows.append((id_, c, own, h.one("".join(words)) if n else None, s, a, year, odd, bool(_CUT.search(t)), h.one(" ".join(sorted(marks))), h.many(plain + marks), len(plain), h.one("".join(begin)) if n >= 4 else None, parts))
+                rows.append((id_, c, own, h.one("".join(words)) if n else None, s, a, year, odd, was_cut(t), h.one(" ".join(sorted(marks))), h.many(plain + marks), len(plain), h.one("".join(begin)) if n >= 4 else None, parts))
         v = _hashes(h.texts)
         short = (v >> 32).astype(np.int32)
         at = lambda k: None if k is None else int(v[k])
@@ -198,6 +218,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 STRONG = {"title+abstract+author": "y", "title+abstract+year": "a", "title+abstract": "a", "sentences": "ta", "sentence+author": "t", "title+authors": "s", "title+author+year": "s"}
 MIDDLE = {"title+author": "s", "sentence+year": "ta", "second+author": "t", "sentence": "ta", "title+year": "sa"}
 LOOSE = {"title-1+author": "s", "title-1+sentence": "a", "title-1+year": "sa", "beginning+author": "s"}
+PASSES = (STRONG, MIDDLE, LOOSE)
 RULES = {**STRONG, **MIDDLE, **LOOSE}
 NUMBER = {r: k for k, r in enumerate(RULES)}
 
@@ -206,6 +227,14 @@ NUMBER = {r: k for k, r in enumerate(RULES)}
 LEAST_TITLE = 5
 
 
+#: What a text is, in its two lowest bits.
+KINDS = {"title": 0, "sentence": 1, "loose": 2, "part": 3}
+
+
+def _kind(text: Column, kind: str) -> Column:
+    return text.bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(KINDS[kind]))
+
+
 #: Marks of a whole title that meets parts of titles, and of a beginning that meets a title cut off, on the side of the papers.
 WHOLE, BEGUN = 0x5DEECE66D0C0FFEE, 0x2545F4914F6CDD1D
 
@@ -220,14 +249,14 @@ def _loose_texts(d: DataFrame, fetched: bool, *columns: str) -> DataFrame:
     d = d.select(*columns, F.coalesce("t", F.lit(0)).alias("own"), "t", "sum", "start", "cut", "parts", F.posexplode_outer(F.when(F.size("w") >= LEAST_TITLE, F.slice("w", 1, F.col("plain")))).alias("i", "word"))
     once = F.coalesce("i", F.lit(0)) == 0  # what isn't of one word comes with the first
     whole = F.when(F.col("t").isNotNull(), F.col("sum"))
-    marked = lambda x, m: x.bitwiseXOR(F.lit(m))
+    marked = lambda x, m: _kind(x.bitwiseXOR(F.lit(m)), "part")
     if fetched:
-        others = [whole, F.when(F.col("cut"), F.col("start")), marked(F.col("start"), BEGUN)]
-        parts = F.transform("parts", lambda x: x.bitwiseXOR(F.lit(WHOLE)))
+        others = [_kind(whole, "loose"), F.when(F.col("cut"), _kind(F.col("start"), "part")), marked(F.col("start"), BEGUN), _kind(whole, "part")]
+        parts = F.transform("parts", lambda x: marked(x, WHOLE))
     else:
-        others = [whole, F.col("start"), F.when(F.col("cut"), marked(F.col("start"), BEGUN)), marked(whole, WHOLE)]
-        parts = F.col("parts")
-    less = F.array(F.col("sum").bitwiseXOR(F.col("word")))
+        others = [_kind(whole, "loose"), _kind(F.col("start"), "part"), F.when(F.col("cut"), marked(F.col("start"), BEGUN)), marked(whole, WHOLE)]
+        parts = F.transform("parts", lambda x: _kind(x, "part"))
+    less = F.array(_kind(F.col("sum").bitwiseXOR(F.col("word")), "loose"))
     b = F.explode(F.when(once, F.concat(less, F.array(*others), parts)).otherwise(less))
     return d.select(*columns, "own", b.alias("b")).where("b is not null")
 
@@ -244,16 +273,28 @@ class _Side:
         return self.rows.join(met.repartition(self.buckets, "c").groupBy("c").agg(F.collect_set("b").alias("met")), "c")
 
 
-def _meeting(p: DataFrame, f: DataFrame, loose: bool) -> tuple[DataFrame, DataFrame]:
-    """(c, b) of both sides: classes and their texts that the other side has too.
+@dataclass(frozen=True)
+class _Met:
+    """papers, fetched: (c, b), classes and their texts that the other side has too and that several classes of papers have;
+    direct: (pc, fc, how, n), pairs by texts that one class of papers has, how being the kinds of these texts as bits."""
+
+    papers: DataFrame
+    fetched: DataFrame
+    direct: DataFrame
 
-    Only for these are keys with every author part made: most titles and sentences never meet. loose: titles less a word
-    and titles of which a part is missing, of which those count that meet under two different titles; equal titles have met before.
+
+def _meeting(p: DataFrame, f: DataFrame, loose: bool) -> _Met:
+    """Texts that both sides have.
+
+    A text that one class of papers has names the pair; only for the others are keys with every author part made.
+    loose: titles less a word and titles of which a part is missing, of which those count that meet under two different
+    titles; equal titles have met before.
     """
     if loose:
         pr, fr = _loose_texts(p, False, "c"), _loose_texts(f, True, "c")
     else:
-        pr, fr = (d.select("c", F.explode(F.array("t", F.get("s", F.lit(0)), F.get("s", F.lit(1)))).alias("b")).where("b is not null") for d in (p, f))
+        texts = F.array(_kind(F.col("t"), "title"), *(_kind(F.get("s", F.lit(k)), "sentence") for k in (0, 1)))
+        pr, fr = (d.select("c", F.explode(texts).alias("b")).where("b is not null") for d in (p, f))
 
     def met(rows: DataFrame, other: DataFrame) -> DataFrame:
         o, x = rows.alias("o"), other.drop("c").distinct().hint("shuffle_hash").alias("x")
@@ -261,8 +302,12 @@ def _meeting(p: DataFrame, f: DataFrame, loose: bool) -> tuple[DataFrame, DataFr
         return o.join(x, same & (F.col("o.own") != F.col("x.own")) if loose else same, "left_semi")
 
     pm = written(met(pr, fr))
-    fm = written(met(fr, pm))
-    return pm.select("c", "b"), fm.select("c", "b")
+    fm = written(met(fr, pm).select("c", "b").distinct())
+    owners = pm.groupBy("b").agg(F.min("c").alias("pc"), F.max("c").alias("other"))
+    one, several = owners.where("pc = other").select("b", "pc"), owners.where("pc != other").select("b")
+    how = F.bit_or(F.expr("shiftleft(1, cast(b & 3 as int))"))
+    direct = written(fm.withColumnRenamed("c", "fc").join(one, "b").groupBy("pc", "fc").agg(how.alias("how"), F.count("*").alias("n")))
+    return _Met(pm.select("c", "b").join(several, "b", "left_semi"), fm.join(several, "b", "left_semi"), direct)
 
 
 def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
@@ -276,14 +321,14 @@ def _keys(d: DataFrame, which: int, fetched: bool) -> DataFrame:
     years = [y - 1, y, y + 1] if fetched else [y]
     if which == 2:
         # of a text that meets: the rows of its authors, of which the first makes the keys without an author
-        part = F.array_contains(F.concat("parts", F.transform("parts", lambda x: x.bitwiseXOR(F.lit(WHOLE))), F.array_compact(F.array("start", F.col("start").bitwiseXOR(F.lit(BEGUN)), F.col("sum").bitwiseXOR(F.lit(WHOLE))))), F.col("b"))
-        d = d.select("*", F.explode("met").alias("b")).select("c", "a", "y", F.get("s", F.lit(0)).alias("s1"), "b", part.alias("part"), F.posexplode_outer("a").alias("i", "p"))
-        v, p = F.when(~F.col("part"), F.col("b")), F.col("p")
+        d = d.select("*", F.explode("met").alias("b")).select("c", "a", "y", F.get("s", F.lit(0)).alias("s1"), "b", F.posexplode_outer("a").alias("i", "p"))
+        v, p = F.when(F.col("b").bitwiseAND(F.lit(3)) == KINDS["loose"], F.col("b")), F.col("p")
         first = F.coalesce("i", F.lit(0)) == 0
-        found = [h("title-1+author", v, p), h("beginning+author", F.col("b"), p)]
+        found = [h("title-1+author", v, p), h("beginning+author", F.when(v.isNull(), F.col("b")), p)]
         found += [F.when(first, x) for x in (h("title-1+sentence", v, F.col("s1")), *(h("title-1+year", v, z) for z in years))]
     else:
-        d = d.select("c", met(F.col("t")).alias("t"), met(F.get("s", F.lit(0))).alias("s1"), met(F.get("s", F.lit(1))).alias("s2"), "a", "y", F.sort_array("a").alias("names"))
+        s1, s2 = (met(_kind(F.get("s", F.lit(k)), "sentence")) for k in (0, 1))
+        d = d.select("c", met(_kind(F.col("t"), "title")).alias("t"), s1.alias("s1"), s2.alias("s2"), "a", "y", F.sort_array("a").alias("names"))
         d = d.select("*", F.posexplode_outer("a").alias("i", "p"))
         first = F.coalesce("i", F.lit(0)) == 0
         t, s1, s2, p = (F.col(x) for x in ("t", "s1", "s2", "p"))
@@ -316,9 +361,12 @@ def _mask(names: Iterable[str]) -> int:
 BY_TEXT, BY_AUTHOR = _mask(r for r in RULES if r.startswith(("sentence", "second"))), _mask(r for r in RULES if r.endswith(("+author", "+author+year")))
 
 
-def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame) -> DataFrame:
-    """(pc, fc, rule, n, s, a, t, y): pairs without contradictions, the strongest rule that holds, and the agreement of
-    each attribute: null where it is unknown on a side. pairs: (pc, fc, rules as bits, n)."""
+def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame, which: int) -> DataFrame:
+    """(pc, fc, rule, n, s, a, t, y): pairs without contradictions, the strongest rule of the pass that holds, and the agreement
+    of each attribute: null where it is unknown on a side. pairs: (pc, fc, rules as bits, how as bits, n).
+
+    A pair that a text names directly has the rules whose other attributes agree too.
+    """
     side = lambda d, c, x: d.select(F.col("c").alias(c), *[F.col(n).alias(f"{x}_{n}") for n in ("t", "s", "a", "y", "odd", "cut", "marks", "w")])
     j = pairs.join(side(p, "pc", "p"), "pc").join(side(f, "fc", "f"), "fc")
     # whole sentences in common: one alone may be a stock phrase
@@ -329,7 +377,7 @@ def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame) -> DataFrame:
     common = F.size(F.array_intersect("p_w", "f_w")) / F.greatest(F.lit(1), F.least(F.size(F.array_distinct("p_w")), F.size(F.array_distinct("f_w"))))
     t = F.when(F.col("p_t").isNotNull() & F.col("f_t").isNotNull(), common)
     dy = F.coalesce(F.abs(F.col("p_y") - F.col("f_y")), F.lit(0))
-    j = j.select("pc", "fc", "rules", "n", s.alias("s"), a.alias("a"), names.alias("names"), t.alias("t"), dy.alias("dy"), (dy <= 1).alias("y"), (F.col("f_cut") | F.col("p_cut") | (F.abs(F.size("p_w") - F.size("f_w")) > 1)).alias("short"), (F.col("p_marks") == F.col("f_marks")).alias("m"), (F.col("p_t") == F.col("f_t")).alias("same_t"))
+    j = j.select("pc", "fc", "rules", "how", "n", (F.sort_array("p_a") == F.sort_array("f_a")).alias("same_a"), (F.col("p_y") == F.col("f_y")).alias("same_y"), (F.col("p_y").isNotNull() & F.col("f_y").isNotNull() & (dy <= 1)).alias("near_y"), s.alias("s"), a.alias("a"), names.alias("names"), t.alias("t"), dy.alias("dy"), (dy <= 1).alias("y"), (F.col("f_cut") | F.col("p_cut") | (F.abs(F.size("p_w") - F.size("f_w")) > 1)).alias("short"), (F.col("p_marks") == F.col("f_marks")).alias("m"), (F.col("p_t") == F.col("f_t")).alias("same_t"))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     no = lambda c: ~F.coalesce(F.col(c), F.lit(True))
     # a sentence and the title in common outweigh a year far off or an author's name that is typed otherwise, but not both
@@ -347,7 +395,15 @@ def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame) -> DataFrame:
         bits(BY_AUTHOR & BY_TEXT, (F.col("names") < LIKE) & (F.coalesce("t", F.lit(0.0)) < 0.9)),
         bits(BY_AUTHOR & ~BY_TEXT, (F.col("names") < LIKE) & ~yes("s")),
     ]
+    by = lambda kind: F.col("how").bitwiseAND(F.lit(1 << KINDS[kind])) != 0
+    agree = {"author": yes("a"), "authors": yes("same_a"), "abstract": yes("s"), "year": yes("near_y"), "title-1": by("loose"), "title": by("title"), "sentence": by("sentence"), "second": F.lit(False), "beginning": by("part")}
     left = F.col("rules")
+    for r in PASSES[which]:
+        parts = r.split("+")
+        ok = by("sentence") & yes("s") if r == "sentences" else F.lit(True)
+        for x in parts if r != "sentences" else ():
+            ok &= yes("same_y") if x == "year" and which == 0 else yes("s") if r == "title-1+sentence" and x == "sentence" else agree[x]
+        left = left.bitwiseOR(F.when(ok, F.lit(1 << NUMBER[r])).otherwise(F.lit(0)))
     for x in out:
         left = left.bitwiseAND(F.bitwise_not(x))
     j = j.where(~contradicts).withColumn("rules", left).where("rules != 0")
@@ -361,11 +417,13 @@ def link(p: _Side, f: _Side) -> DataFrame:
     for which in range(3):
         rest = f if linked is None else replace(f, rows=f.rows.join(linked.select(F.col("fc").alias("c")), "c", "left_anti"))
         if which != 1:  # the first two passes have the same texts
-            pm, fm = _meeting(p.rows, rest.rows, loose=which == 2)
-        pk, fk = _single(_keys(p.with_met(pm), which, False), "pc"), _keys(rest.with_met(fm), which, True).select("key", F.col("c").alias("fc")).distinct()
+            met = _meeting(p.rows, rest.rows, loose=which == 2)
+        pk, fk = _single(_keys(p.with_met(met.papers), which, False), "pc"), _keys(rest.with_met(met.fetched), which, True).select("key", F.col("c").alias("fc")).distinct()
         bit = F.expr("shiftleft(1, cast(key & 15 as int))")
-        pairs = pk.join(fk, "key").groupBy("pc", "fc").agg(F.bit_or(bit).alias("rules"), F.count("*").alias("n"))
-        pairs = _checked(pairs, p.rows, f.rows)
+        pairs = pk.join(fk, "key").groupBy("pc", "fc").agg(F.bit_or(bit).alias("rules"), F.count("*").alias("n")).withColumn("how", F.lit(0))
+        direct = met.direct if which != 1 else met.direct.join(linked.select("fc"), "fc", "left_anti")
+        pairs = pairs.unionByName(direct.withColumn("rules", F.lit(0))).groupBy("pc", "fc").agg(F.bit_or("rules").alias("rules"), F.bit_or("how").alias("how"), F.sum("n").alias("n"))
+        pairs = _checked(pairs, p.rows, f.rows, which)
         pairs = pairs.groupBy("pc", "fc").agg(F.min("rule").alias("rule"), *[F.max(x).alias(x) for x in ("n", *"saty")])  # the readings of a title
         # records that differ in an author or the year only share most keys; the one with more keys in common is meant
         found = pairs.groupBy("fc").agg(F.max_by(F.struct("pc", "rule", "s", "a", "t", "y"), F.struct("n", -F.col("rule"), "pc")).alias("b")).select("b.pc", "fc", "b.rule", "b.s", "b.a", "b.t", "b.y")

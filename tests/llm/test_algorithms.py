@@ -33,6 +33,21 @@ def test_runs_with_a_hot_key_equal_brute_force(spark):
     assert {r["keep_id"]: r["n"] for r in runs.collect()} == {min(g): len(g) for g in groups.values()}
 
 
+def test_names_keep_their_parts(spark):
+    names = [["Leon Ray"], ["Noel Ary"], ["RAY, Leon"], ["卢 启怀", "J.K. O'Neil"], ["ONeil, J. K.", "卢·启怀", None, " "]]
+    df = spark.createDataFrame([(i, "T", "a", n, 1) for i, n in enumerate(names)], RECORD)
+    assert {(r["keep_id"], r["id"]) for r in duplicates.sorted_runs(df, duplicates.canonical_key(), every_run=False)[0].collect()} == {(0, 2), (3, 4)}
+    assert [linkage.name_key(n) for n in ("Leon Ray", "RAY, Leon", "卢·启怀", "J.K. O'Neil")] == ["leon ray", "leon ray", "卢启怀", "j k oneil"]
+
+
+def test_partition_that_begins_with_one_run(spark):
+    df = spark.createDataFrame([(i, "same", None, None, None) for i in range(40)], RECORD)
+    for every in (False, True):
+        copies, runs = duplicates.sorted_runs(df, duplicates.canonical_key(), every_run=every)
+        assert {(r["keep_id"], r["id"]) for r in copies.collect()} == {(0, i) for i in range(1, 40)}
+    assert [(r["keep_id"], r["n"]) for r in runs.collect()] == [(0, 40)]
+
+
 def test_duplicates_edges(spark):
     rows = [(1, None, None, None, None), (2, "", "", [], None), (3, "x" * 50_000, None, None, 1), (4, "x" * 50_000, None, None, 2)]
     copies, _ = duplicates.sorted_runs(spark.createDataFrame(rows, RECORD), duplicates.canonical_key(), every_run=False)
@@ -85,6 +100,19 @@ def test_equal_texts_link_by_any_author_or_year(spark):
     assert {"sentence+year", "title-1+sentence", "title-1+year"} < set(linkage.RULES)
 
 
+def test_catalogue_may_hold_a_publication_twice(spark):
+    papers = spark.createDataFrame([PAPERS[0]], P_SCHEMA)
+    fetched = spark.createDataFrame([FETCHED[0], (90, "w9", "Sparse trees for music tagging", None, "Leeson A; Wustrow B", None), (91, None, "Sparse trees", "We present trees. They work well here.", "Ann Leeson", 2000)], F_SCHEMA)
+    assert {(r["paper_id"], r["fetch_id"]) for r in linkage.matches(papers, fetched).collect()} == {(1, 10), (1, 90), (1, 91)}
+
+
+def test_parts_of_titles_and_short_names(spark):
+    papers = spark.createDataFrame([(1, "a", "Revisiting code completion: temporal baselines and a routing policy", None, ["Wei Li", "Jun Xu", "Łukasz Sørensen"], 2008), (2, "a", "Scaling music tagging to 13 million loans", None, ["Yu Ma"], 2001)], P_SCHEMA)
+    fetched = spark.createDataFrame([(10, "w1", "temporal baselines and a routing policy", None, "Wei Li, Jun Xu, Lukasz Sorensen", None), (11, "w2", "Scaling music tagging to 43 million loans", None, "Yu Ma", 2001)], F_SCHEMA)
+    assert {(r["paper_id"], r["fetch_id"]) for r in linkage.matches(papers, fetched).collect()} == {(1, 10)}
+    assert linkage.author_parts("Wei Li, Jun Xu; Łukasz Sørensen et al.") == ["wei", "li", "jun", "xu", "lukasz", "sorensen"]
+
+
 def test_confidence_from_labels(spark):
     linked = spark.createDataFrame([(1, 1, "r", True, True, True, True), (2, 2, "r", True, True, True, True)], "pc long, fc long, rule string, s boolean, a boolean, t boolean, y boolean")
     labels = spark.createDataFrame([(1, 1)], "pc long, fc long")
