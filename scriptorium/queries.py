@@ -300,7 +300,12 @@ def translate_expand(spark, d):
     return expand(q, table(spark, d, "bilingual")).select("i", "word", "lang", "synonym")
 
 
-@query()
+@query(
+    f"""{BASE}, said AS (SELECT '主题模型' AS s UNION ALL SELECT en FROM bilingual WHERE trim(zh) IN ('主题', '题模', '模型', '主题模型', '主题 题模', '题模 模型', '主题 题模 模型') AND trim(en) <> ''),
+qt AS (SELECT unnest({_token_list("s")}) AS word FROM said),
+q AS (SELECT DISTINCT term FROM (SELECT DISTINCT word FROM qt WHERE word NOT IN (SELECT w FROM sw)) JOIN ({stems_sql("(SELECT DISTINCT word FROM qt)")}) USING (word))
+SELECT paper_id, round(sum(CAST(tf AS DOUBLE)), 4) AS score FROM posts JOIN q USING (term) GROUP BY paper_id"""
+)
 def cross_language_search(spark, d):
     """Documents of either language for a query in one."""
     return _found(searcher(spark, d).cross_language("主题模型")[0])
@@ -343,7 +348,13 @@ def record_keywords(spark, d):
     return ranked.select("paper_id", *long("rank"), "keyword", "score")
 
 
-@query()
+@query(
+    f"""{_KEYWORDS}, lists AS (SELECT paper_id, string_agg(keyword, ' ' ORDER BY rank) AS words FROM kw GROUP BY paper_id),
+again AS (SELECT id, concat_ws(chr(10), coalesce(title, ''), coalesce(abstract, ''), words) AS text FROM papers LEFT JOIN lists ON lists.paper_id = papers.id),
+{_tokens('again', 'text', 'rt')},
+rp AS (SELECT term, paper_id, count(*) AS tf FROM rt JOIN ({stems_sql("(SELECT DISTINCT word FROM rt)")}) USING (word) GROUP BY term, paper_id)
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM rp GROUP BY term"""
+)
 def reindexed_postings(spark, d):
     """Term totals after extracted keywords replaced the records' own and were indexed."""
     i = with_final_keywords(corpus(spark, d).select("paper_id", "title", "abstract", "keywords"), stop(spark, d))
