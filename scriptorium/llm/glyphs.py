@@ -1,16 +1,17 @@
 """Problem 2: one consistent form for text that looks the same.
 
-A table from grapheme clusters to clusters is compiled once from rules over the
-Unicode character database (widths, ligatures, radicals, compatibility forms,
-spaces, invisible characters) and a short list of look-alike letters.  Compiling
-checks it for conflicts: no key has two outputs and no output holds a key, so the
-transducer needs one pass and its result is a fixed point.
-
-Plain ASCII never leaves the JVM and a text without triggers is passed on by one search; in the rest, one
-pass takes, at each place, the longest key: a whole cluster, or else its parts.
-Look-alike letters depend on their word: a letter of another script counts only
-in a word whose other letters decide for one script, or where a word made of
-look-alikes alone stands next to a word of another script.
+A longest-match transducer over grapheme clusters, compiled once from rules over the Unicode character database (widths,
+ligatures, radicals, compatibility forms, spaces, invisible characters, composed accents) and a short list of
+look-alike letters.  Its keys are clusters; keys of look-alike letters belong to a context, the script that the
+letter's word is written in, and are tried before those without.  Compiling checks the table for conflicts: within
+a context no key has two outputs and no output holds a key, so a text needs one pass and its result is a fixed point.
+
+The pass takes, at each place, the longest key: a whole cluster, or else its parts.  A word's script is that of its
+letters that look like none of another script; a word made of look-alikes alone takes the script of its neighbours,
+so its output waits until two more words are read.
+
+A text enters the transducer if it holds a character of a key, a letter beside one of another script, or a word
+made of look-alikes alone; compiling checks that no key is missed by this test.  Plain ASCII never leaves the JVM.
 
 Edge cases: null stays null and is unaffected; an empty text stays empty; texts
 of any length are processed whole; repeated rows give repeated rows; other columns are
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -55,6 +56,7 @@ _PLAIN_EXCEPTIONS = {"™"}
 
 
 def _rules() -> Iterator[tuple[str, str]]:
+    """(key, output) of what doesn't depend on the word."""
     for o in range(0x00A0, 0x30000):
         c = chr(o)
         kind, decomposition = unicodedata.category(c), unicodedata.decomposition(c)
@@ -77,94 +79,162 @@ def _rules() -> Iterator[tuple[str, str]]:
             yield c, unicodedata.normalize("NFKC", c)
     yield from RADICALS.items()
     yield from HYPHENS.items()
-
-
-def compile_table(rules: Iterator[tuple[str, str]]) -> dict[str, str]:
-    table: dict[str, str] = {}
-    for key, out in rules:
-        if table.setdefault(key, out) != out:
-            raise ConflictError(f"{key!r} gives both {table[key]!r} and {out!r}")
-    for key, out in table.items():
-        if any(c in table for c in out):
-            raise ConflictError(f"the output of {key!r} holds a key")
-    return table
+    for o in range(0x00C0, 0x2000):
+        c = chr(o)
+        apart = unicodedata.normalize("NFD", c)
+        # what is written as a letter and its marks, also with only the last of them apart
+        if apart != c and len(apart) > 1 and apart[0].isalpha() and unicodedata.normalize("NFC", apart) == c:
+            yield apart, c
+            shorter = unicodedata.normalize("NFC", apart[:-1]) + apart[-1]
+            if shorter not in (apart, c):
+                yield shorter, c
+
+
+#: Contexts of a key: none, and a word in Latin or Cyrillic script.
+ANY, IN_LATIN, IN_CYRILLIC = "", "latin", "cyrillic"
+
+
+def _contextual() -> Iterator[tuple[str, str, str]]:
+    """(context, key, output) of look-alike letters."""
+    latin_to_cyrillic = {v: k for k, v in reversed(LOOKALIKES.items()) if "Ѐ" <= k}
+    for other, latin in LOOKALIKES.items():
+        yield IN_LATIN, other, latin
+        if other < "Ѐ" and latin in latin_to_cyrillic:
+            yield IN_CYRILLIC, other, latin_to_cyrillic[latin]
+    for latin, cyrillic in latin_to_cyrillic.items():
+        yield IN_CYRILLIC, latin, cyrillic
+
+
+def compile_table(rules: Iterable[tuple[str, ...]]) -> dict[str, dict[str, str]]:
+    """context -> key -> output, from (key, output) or (context, key, output)."""
+    tables: dict[str, dict[str, str]] = {ANY: {}, IN_LATIN: {}, IN_CYRILLIC: {}}
+    for *context, key, out in rules:
+        own = tables[context[0] if context else ANY]
+        if own.setdefault(key, out) != out:
+            raise ConflictError(f"{key!r} gives both {own[key]!r} and {out!r}")
+    for context, own in tables.items():
+        for key, out in own.items():
+            parts = {out[i:j] for i in range(len(out)) for j in range(i + 1, len(out) + 1)}
+            if parts & own.keys() or parts & tables[ANY].keys():
+                raise ConflictError(f"the output of {key!r} holds a key")
+            if context and key in tables[ANY]:
+                raise ConflictError(f"{key!r} has an output with and without a context")
+    return tables
 
 
 @lru_cache(1)
-def table() -> dict[str, str]:
-    return compile_table(_rules())
+def tables() -> dict[str, dict[str, str]]:
+    return compile_table([*_rules(), *_contextual()])
 
 
+# Letters of Latin script, and of Greek and Cyrillic script.
 LATIN, OTHER = r"A-Za-zÀ-ɏ", r"Ͱ-ϿЀ-ԯ"
 _FOREIGN = "".join(LOOKALIKES)
-_LATIN_TWINS = "".join(sorted({v for v in LOOKALIKES.values()}))
-
+_TWINS = "".join(sorted(set(LOOKALIKES.values())))
 
-# Ranges without any trigger.
+# Ranges without any key.
 PLAIN_RANGES = "\x00-\x7F¡-¬®-ɏ\u0391-\u03c9\u0401-\u045f\u2012-\u2027\u2030-\u203a€№™\u2190-\u23ff\u3001-\u3015\u4e00-\u9fff！-／：-？"
-_TRIGGER = re.compile(f"[^{PLAIN_RANGES}]|[A-Za-z][{OTHER}]|[{OTHER}][A-Za-z]|(?<![^\\W\\d_])[{_FOREIGN}]{{1,4}}(?![^\\W\\d_])")
-
+_TRIGGER = re.compile(f"[^{PLAIN_RANGES}]|[{LATIN}][{OTHER}]|[{OTHER}][{LATIN}]|[Ͱ-Ͽ][Ѐ-ԯ]|[Ѐ-ԯ][Ͱ-Ͽ]|(?<![^\\W\\d_])[{_FOREIGN}]+(?![^\\W\\d_])")
 
-@lru_cache(1)
-def _scanner() -> tuple[regex.Pattern, regex.Pattern, dict[str, str]]:
-    t = table()
-    cls = char_class(t).replace("\\x{", "\\U").replace("}", "")
-    cls = regex.sub(r"\\U([0-9a-f]+)", lambda m: f"\\U{int(m[1], 16):08x}", cls)
-    # clusters that begin with a key or carry marks, or a run of letters with look-alikes among them
-    return regex.compile(f"[{cls}]\\p{{M}}*|\\P{{M}}[\\u0300-\\u036f]+"), regex.compile(r"[\p{L}\p{M}]+"), t
-
-
-_SURE_LATIN = regex.compile(f"[A-Za-z\\u00c0-\\u024f--[{_LATIN_TWINS}]]", regex.V1)
+_SURE_LATIN = regex.compile(f"[{LATIN}--[{_TWINS}]]", regex.V1)
+_SURE_CYRILLIC = regex.compile(f"[Ѐ-ԯ--[{_FOREIGN}]]", regex.V1)
 _SURE_OTHER = regex.compile(f"[{OTHER}--[{_FOREIGN}]]", regex.V1)
-_ANY_FOREIGN = regex.compile(f"[{_FOREIGN}]")
-_ANY_LATIN = regex.compile(f"[{LATIN}]")
-_TO_LATIN = str.maketrans(LOOKALIKES)
-_TO_CYRILLIC = str.maketrans({v: k for k, v in reversed(LOOKALIKES.items()) if "Ѐ" <= k})
-_GREEK_TO_CYRILLIC = str.maketrans({k: _TO_CYRILLIC.get(ord(v), k) for k, v in LOOKALIKES.items() if k < "Ѐ"})
-
-
-def _cluster(m: regex.Match) -> str:
-    s, t = m[0], _scanner()[2]
-    if s in t:
-        return t[s]
-    return unicodedata.normalize("NFC", "".join(t.get(c, c) for c in s))
-
-
-def _unmix(text: str) -> str:
-    """Look-alike letters by the script of their word; text has no other triggers left."""
-    words = list(regex.finditer(r"\p{L}+", text))
-    out, at = [], 0
-    for k, m in enumerate(words):
-        w = m[0]
-        if not _ANY_FOREIGN.search(w) and not (regex.search(f"[{OTHER}]", w) and _ANY_LATIN.search(w)):
-            continue
-        latin, other = bool(_SURE_LATIN.search(w)), bool(_SURE_OTHER.search(w))
-        new = w
-        if latin and not other:
-            new = w.translate(_TO_LATIN)
-        elif other and not latin:
-            new = w.translate(_TO_CYRILLIC) if _ANY_LATIN.search(w) and regex.search(r"[Ѐ-ԯ]", w) else w
-        elif not latin and not other:
-            near = " ".join(x[0] for x in (*words[max(0, k - 2) : k], *words[k + 1 : k + 3]))
-            mixed = bool(_ANY_LATIN.search(w))
-            if regex.search(r"[Ѐ-ԯ--[аеорсухіѕјАВЕЅІЈКМНОРСТУХЬ]]", near, regex.V1):
-                new = w.translate(_TO_CYRILLIC) if mixed else w
-            elif (mixed or regex.search(r"[a-zA-Z]{2}", near)) and not regex.search(f"[{OTHER}--[{_FOREIGN}]]", near, regex.V1):
-                new = w.translate(_TO_LATIN)
-        if new != w:
-            out += [text[at : m.start()], new]
+_ANY_LATIN, _ANY_OTHER, _TWO_LATIN = re.compile(f"[{LATIN}]"), re.compile(f"[{OTHER}]"), re.compile("[A-Za-z]{2}")
+_ANY_CYRILLIC = re.compile("[Ѐ-ԯ]")
+#: Words on each side that a word of look-alikes alone takes its script from.
+NEAR = 2
+
+
+class Transducer:
+    """The compiled tables."""
+
+    def __init__(self) -> None:
+        self.tables = tables()
+        for context, own in self.tables.items():
+            for key in own:
+                sample = key if not context else f"{key} w" if context == IN_LATIN else f"{key}б"
+                if not _TRIGGER.search(sample):
+                    raise ConflictError(f"the test for texts misses {key!r}")
+        keys = self.tables[ANY]
+        firsts = char_class({k[0] for k in keys if len(k) == 1})
+        firsts = regex.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", firsts)
+        # a word with what is invisible or decomposed in it; a cluster that isn't a letter's
+        self.token = regex.compile(r"(?P<word>[\p{L}\p{M}\p{Cf}]*\p{L}[\p{L}\p{M}\p{Cf}]*)|(?P<other>[" + firsts + r"]\p{M}*)")
+        self.cluster = regex.compile(r"\P{M}\p{M}*|\p{M}+")
+        self.words = lru_cache(100_000)(self.word)
+
+    def longest(self, cluster: str, table: dict[str, str]) -> str:
+        """The output of a cluster: of the longest keys from its beginning on."""
+        if cluster in table:
+            return table[cluster]
+        if len(cluster) > 2 and unicodedata.combining(cluster[-1]):
+            cluster = unicodedata.normalize("NFD", cluster)  # marks in their canonical order
+        out, i, n = [], 0, len(cluster)
+        while i < n:
+            j = next((j for j in range(n, i, -1) if cluster[i:j] in table), 0)
+            out.append(table[cluster[i:j]] if j else cluster[i])
+            i = j or i + 1
+        done = "".join(out)
+        return done if done == cluster else self.longest(done, table)
+
+    def word(self, text: str) -> tuple[str, str | None]:
+        """A word without what doesn't depend on its script, and its script: null if only look-alikes hold it."""
+        plain = text if text.isascii() else "".join(self.longest(c, self.tables[ANY]) for c in self.cluster.findall(text))
+        latin, other = _SURE_LATIN.search(plain), _SURE_OTHER.search(plain)
+        if latin or other:
+            script = ANY if latin and other else IN_LATIN if latin else IN_CYRILLIC if _ANY_CYRILLIC.search(plain) else ANY
+        else:
+            script = None if _ANY_OTHER.search(plain) or _ANY_LATIN.search(plain) else ANY
+        return plain, script
+
+    def in_script(self, word: str, script: str) -> str:
+        return "".join(self.tables[script].get(c, c) for c in word) if script else word
+
+    def run(self, text: str) -> str:
+        out: list[str] = []
+        waiting: list[tuple[int, str]] = []  # places in out of words that wait for their neighbours
+        words: list[str] = []  # words as they came, for their neighbours
+        at = 0
+
+        def settle(place: int, number: int) -> None:
+            word = words[number]
+            near = " ".join((*words[max(0, number - NEAR) : number], *words[number + 1 : number + 1 + NEAR]))
+            mixed = bool(_ANY_LATIN.search(word)) and bool(_ANY_OTHER.search(word))
+            if not _ANY_OTHER.search(word):
+                return
+            if _SURE_CYRILLIC.search(near):
+                out[place] = self.in_script(word, IN_CYRILLIC) if mixed else word
+            elif (mixed or _TWO_LATIN.search(near)) and not _SURE_OTHER.search(near):
+                out[place] = self.in_script(word, IN_LATIN)
+
+        for m in self.token.finditer(text):
+            out.append(text[at : m.start()])
             at = m.end()
-    return "".join(out) + text[at:] if at else text
+            if m["word"] is None:
+                out.append(self.longest(m[0], self.tables[ANY]))
+                continue
+            plain, script = self.words(m[0])
+            words.append(plain)
+            out.append(plain if not script else self.in_script(plain, script))
+            if script is None:
+                waiting.append((len(out) - 1, len(words) - 1))
+            while waiting and waiting[0][1] + NEAR < len(words):
+                settle(*waiting.pop(0))
+        for x in waiting:
+            settle(*x)
+        return "".join(out) + text[at:]
+
+
+@lru_cache(1)
+def transducer() -> Transducer:
+    return Transducer()
 
 
 def normalise(text: str | None) -> str | None:
     """The consistent form of one text; the text itself if nothing in it is a trigger."""
     if not text or text.isascii() or not _TRIGGER.search(text):
         return text
-    done = _scanner()[0].sub(_cluster, text)
-    if _ANY_FOREIGN.search(done) or regex.search(f"[{OTHER}]", done):
-        done = _unmix(done)
-    return done
+    return transducer().run(text)
 
 
 @F.pandas_udf(T.StringType())

@@ -26,16 +26,31 @@ def test_left_alone(same):
     assert glyphs.normalise(same) == same
 
 
+@pytest.mark.parametrize(
+    ("odd", "plain"),
+    [("in the \u0455\u0440\u0430\u0441\u0435 of words", "in the space of words"), ("full \u0430\u0441\u0441\u0435\u0455\u0455 here", "full access here"), ("\u0440\u0435\u0430\u0441\u0435", "\u0440\u0435\u0430\u0441\u0435"),
+     ("\u0391\u0431\u0437\u0430\u0446", "\u0410\u0431\u0437\u0430\u0446"), ("o\u0323\u0302", "\u1ed9"), ("o\u0302\u0323", "\u1ed9"), ("re\u00adco\u200bd\u0435", "recode")],
+)
+def test_words_of_lookalikes_and_marks(odd, plain):
+    assert glyphs.normalise(odd) == plain
+    assert glyphs.normalise(plain) == plain
+
+
 def test_conflicts_are_found():
     with pytest.raises(glyphs.ConflictError):
         glyphs.compile_table(iter([("a", "b"), ("a", "c")]))
     with pytest.raises(glyphs.ConflictError):
         glyphs.compile_table(iter([("a", "b"), ("b", "c")]))
+    for bad in ([("latin", "a", "b"), ("latin", "a", "c")], [("latin", "a", "b"), ("latin", "b", "c")], [("a", "b"), ("latin", "a", "c")], [("latin", "a", "b"), ("b", "c")]):
+        with pytest.raises(glyphs.ConflictError):
+            glyphs.compile_table(bad)
+    glyphs.compile_table([("latin", "a", "b"), ("cyrillic", "b", "a")])
 
 
 def test_outputs_are_fixed_points():
-    t = glyphs.table()
-    assert all(glyphs.normalise(o) == o for o in t.values())
+    t = glyphs.tables()
+    assert all(glyphs.normalise(o) == o for o in t[""].values())
+    assert all(glyphs.normalise(k) == o for k, o in t[""].items())
 
 
 def test_unify_columns(spark):
