@@ -211,7 +211,8 @@ def clean(text: str, kinds: KindsOfCharacters) -> str:
     if text.isascii():
         return text
     if _SUSPECT.search(text) or _FEW_HAN.search(text) and _AS_GB.possible(text):
-        tried = [recode._apply(text, key, kinds)[0] for key in recode.keys()]
+        chars = frozenset(text)
+        tried = [recode._apply(text, key, kinds, chars)[0] for key in recode.keys()]
         text = max([text, *(t for t in tried if t != text)], key=lambda t: kinds.score("", t, ""))
     return glyphs.normalise(text)
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut, read
+from scriptorium.llm.common import cut, parallelism, read
 from scriptorium.llm.tokens import token_counts, vocabulary_path
 
 #: Documents of a block, and of them those that the last block of a source keeps for the landing.
@@ -118,8 +118,9 @@ def sample_balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
         blocks = sizes.select("source", F.ceil(F.col("rows") / F.lit(block)).alias("blocks"))
         most = blocks.agg(F.max("blocks")).first()[0] or 0
         last = most <= 1
-        b = moving.join(blocks, "source").withColumn("b", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("blocks")))
-        flown = b.groupBy("source", "b").applyInPandas(_fly_block(last), _UNITS)
+        b = moving.join(F.broadcast(blocks), "source").withColumn("b", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("blocks")))  # a row for each source
+        # a fixed number of partitions: by size alone the blocks, whose work is long for their bytes, would be put into one task
+        flown = b.repartition(parallelism(units.sparkSession), "source", "b").groupBy("source", "b").applyInPandas(_fly_block(last), _UNITS)
         if last:
             return settled.unionByName(flown)
         flown = cut(flown)

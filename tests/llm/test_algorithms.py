@@ -164,17 +164,18 @@ def test_tail_is_exact():
 def test_terms_with_and_without_rare_path(spark):
     rows = [(i, f"common words {'zeta' if i < 3 else 'other'}", "the common text of all " * 3, ["key"] if i % 2 else None) for i in range(60)] + [(99, None, None, None), (100, "", "", [])]
     df = spark.createDataFrame(rows, "id long, title string, abstract string, keywords array<string>").withColumn("term", F.lit("clash"))
-    a = {(r["paper_id"], r["term"]): (r["k"], r["score"]) for r in enrichment.distinctive_terms(df).collect()}
-    b = {(r["paper_id"], r["term"]): (r["k"], r["score"]) for r in enrichment.distinctive_terms(df, frequent_bound=4).collect()}
+    a = {(r["paper_id"], r["term"]): (r["k"], r["score"], r["minus_log_p"]) for r in enrichment.distinctive_terms(df).collect()}
+    b = {(r["paper_id"], r["term"]): (r["k"], r["score"], r["minus_log_p"]) for r in enrichment.distinctive_terms(df, frequent_bound=4).collect()}
     assert a == b and (99, "common") not in a
-    assert a[0, "zeta"][1] > a[0, "common"][1]
+    assert a[0, "zeta"][1] >= a[0, "common"][1] and a[0, "zeta"][2] > a[0, "common"][2]
+    assert all(0 <= score <= p for _, score, p in a.values())
     assert enrichment.distinctive_terms(df.limit(0)).count() == 0
 
 
 def test_adjustment_is_conservative_and_ordered():
     p = np.sort(np.random.default_rng(1).beta(0.3, 1, 4000))
     at, n = np.unique(enrichment._bin(np.log(p)), return_counts=True)
-    q = enrichment.Adjustment(at, n).q(np.log(p))
+    q = np.exp(enrichment.Adjustment(at, n).log_q(np.log(p)))
     exact = np.minimum.accumulate((p * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
     assert (np.diff(q) > -0.04 * q[1:] - 1e-12).all() and (q >= exact - 1e-12).all() and (q <= exact * 1.04 + 1e-12).all()
 
