@@ -139,6 +139,17 @@ def test_near(a, b, ok):
     assert names.near(a, b) is ok
 
 
+def test_two_nicknames_and_shared_initials(spark):
+    people = ["Bill Bob Hastemo", "William Robert Hastemo", "A. Krilo", "Ann Krilo", "Anton Krilo", "Anton B. Dremo", "A. B. Dremo", "Agnes C. Dremo", "A. Dremo"]
+    rows = names.entities(spark.createDataFrame([(p,) for p in people], "name string")).collect()
+    got = {r["name"]: r["entity"] for r in rows}
+    assert got["Bill Bob Hastemo"] == got["William Robert Hastemo"]
+    assert got["A. B. Dremo"] == got["Anton B. Dremo"] != got["Agnes C. Dremo"]
+    # two persons have the initial
+    assert got["A. Krilo"] not in (got["Ann Krilo"], got["Anton Krilo"]) and got["A. Dremo"] not in (got["Anton B. Dremo"], got["Agnes C. Dremo"])
+    assert all(r["score"] >= 0 for r in rows)
+
+
 def test_mistyped_given_name(spark):
     rows = [f"Beatriz {s}man" for s in ("Kolo", "Bar", "Dorro", "Feli", "Gros", "Hubu", "Jakob", "Lister", "Nolo", "Pater", "Rusti", "Sandor", "Tolle", "Vester", "Wolle", "Zander", "Mirko")] + ["Beaeriz Koloman"]
     got = {r["name"]: r["entity"] for r in names.entities(spark.createDataFrame([(r,) for r in rows], "name string")).collect()}
