@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.functions import text as X
+from scriptorium.sources import pdf
+from scriptorium.sources.refine import refined
 
 # Character sets in the order they are tried, and misreadings that are undone.
 CHARSETS = ("utf-8-sig", "utf-8", "gb18030", "utf-16", "big5")
@@ -210,34 +212,41 @@ def parsed(df: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("_l", "_t", "_b", "_a", "_s")
 
 
-Extractor = Callable[[bytes], str]
+#: From a PDF file to its text, or to its text with the title and year of its metadata; raises an error if there is none.
+Extractor = Callable[[bytes], "str | pdf.PdfText"]
+#: Confidence up to which a refiner is asked.
+DOUBTFUL = 0.5
 
 
-def parse_files(contents: DataFrame, extract_pdf: Extractor | None = None) -> DataFrame:
-    """(name, title, authors, abstract, year, confidence, text, charset, no_text, error) of every file.
+def parse_files(contents: DataFrame, extract_pdf: Extractor = pdf.extract, refine: Callable[[Column], Column] | None = None, refine_all: bool = False) -> DataFrame:
+    """(name, title, authors, abstract, year, confidence, text, charset, no_text, error, agent_keywords, ai_used) of every file.
 
-    Text files are decoded and parsed; PDF goes through ``extract_pdf``, and without one or if it fails gives
-    a placeholder; other files give an error row.
+    Text files are decoded and parsed, PDF goes through ``extract_pdf``; a PDF without text gives a placeholder with its name
+    as title; other files give an error row. A refiner, a function from texts to answers, is asked about doubtful files or all.
     """
     suffix = F.lower(F.regexp_extract("name", r"(\.[^./\\]+)$", 1))
     plain = contents.where(suffix.isin(*TEXT_SUFFIXES)).select("name", decoded("content").alias("d")).select("name", "d.text", "d.charset", F.lit(False).alias("no_text"), F.lit(None).cast("string").alias("error"))
 
-    def pdf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read_pdf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for name, content in zip(b["name"], b["content"], strict=True):
                 try:
-                    if extract_pdf is None:
-                        raise RuntimeError("no PDF extractor is installed")
-                    out.append((name, unmisread(extract_pdf(bytes(content))), None, False, None))
+                    got = extract_pdf(bytes(content or b""))
+                    got = got if isinstance(got, pdf.PdfText) else pdf.PdfText(got)
+                    out.append((name, unmisread(got.text), None, False, None, unmisread(got.title), got.year))
                 except Exception as e:  # noqa: BLE001
-                    out.append((name, "", None, True, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["name", "text", "charset", "no_text", "error"])
+                    out.append((name, "", None, True, f"{type(e).__name__}: {e}", None, None))
+            yield pd.DataFrame(out, columns=["name", "text", "charset", "no_text", "error", "meta_title", "meta_year"]).astype({"meta_year": "Int32"})
 
-    pages = contents.where(suffix == ".pdf").select("name", "content").mapInPandas(pdf, "name string, text string, charset string, no_text boolean, error string")
+    pages = contents.where(suffix == ".pdf").select("name", "content").mapInPandas(read_pdf, "name string, text string, charset string, no_text boolean, error string, meta_title string, meta_year int")
     other = contents.where(~suffix.isin(".pdf", *TEXT_SUFFIXES)).select("name", F.lit("").alias("text"), F.lit(None).cast("string").alias("charset"), F.lit(True).alias("no_text"), F.lit("unsupported format").alias("error"))
-    both = parsed(plain.unionByName(pages).unionByName(other))
+    both = parsed(plain.unionByName(other).unionByName(pages, allowMissingColumns=True))
+    named = (F.col("title") == "") & F.length("meta_title").between(4, 300)
+    both = both.withColumns({"title": F.when(named, F.col("meta_title")).otherwise(F.col("title")), "year": F.coalesce("year", "meta_year")})
     both = both.withColumn("confidence", X.confidence(F.col("title"), F.col("abstract"), F.col("authors"), F.col("year")))
+    doubtful = F.lit(True) if refine_all else F.col("confidence") <= DOUBTFUL
+    both = refined(both, None if refine is None else lambda text: refine(F.when(doubtful & (F.trim(text) != ""), text)))
     title = F.when((F.col("title") == "") & (F.col("abstract") != ""), X.title_from_abstract(F.col("abstract"))).otherwise(F.col("title"))
     placeholder = title == ""
     return both.select(
@@ -251,4 +260,6 @@ def parse_files(contents: DataFrame, extract_pdf: Extractor | None = None) -> Da
         "charset",
         (F.col("no_text") | placeholder).alias("no_text"),
         F.when(F.col("error").isNotNull(), X.parse_error_message(F.col("error"))).alias("error"),
+        "agent_keywords",
+        "ai_used",
     )

@@ -1,8 +1,14 @@
+import io
+import zipfile
+
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.engine import Library
 from scriptorium.operators import index as I
 from scriptorium.plans.search import Searcher
+from scriptorium.sources import crawl
+from scriptorium.sources.archive import FileArchive
 
 ROWS = [
     (0, "Attention based transformers", "Transformers use attention over sequences.", [], 2019),
@@ -109,3 +115,55 @@ def test_library_facade(spark):
     files = spark.createDataFrame([("n.txt", "A study of trees\nAnn Lee, Bo Wu\nAbstract: We grow trees in 2021.\n".encode())], "name string, content binary")
     with_file, parsed = grown.add_files(files)
     assert parsed.first()["title"] == "A study of trees" and with_file.search("trees").count() == 1
+    meta = with_file.meta().first()
+    assert meta["total_papers"] == 3 and meta["total_postings"] > 0 and not meta["refiner"]
+
+
+FULL = "paper_id long, title string, abstract string, authors array<string>, keywords array<string>, year int, language string, source_id string, source string, file_name string, file_store string"
+
+
+def small_library(spark):
+    return Library(spark.createDataFrame([(0, "Attention", "Attention is used.", ["A. B"], [], 2017, "en", "s0", "manual", None, None)], FULL), {"is"})
+
+
+def test_files_are_reported_and_archived(spark, tmp_path):
+    one, two = (f"A study of {x}\nAnn Lee, Bo Wu\nAbstract: We grow {x} in 2021.\n".encode() for x in ("trees", "bushes"))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for n, c in (("x/n.txt", one), ("y/n.txt", two), ("again.txt", one), ("empty.txt", b"")):
+            z.writestr(n, c)
+    contents = spark.createDataFrame([("all.zip", packed.getvalue()), ("bad.zip", b"no"), ("z.doc", b"?")], "name string, content binary")
+    kept = FileArchive(spark, str(tmp_path / "files"))
+    lib, report = small_library(spark).add_files(contents, archive=kept)
+    got = sorted((r["name"], r["outcome"], r["paper_id"]) for r in report.collect())
+    ids = {n: p for n, o, p in got if o == "added"}
+    assert [(n, o) for n, o, _ in got] == [("again.txt", "duplicated"), ("bad.zip", "failed"), ("empty.txt", "added"), ("n.txt", "added"), ("n.txt", "added"), ("z.doc", "failed")]
+    held = {bytes(r["content"]): r["file_name"] for i in (1, 2, 3) for r in lib.file(i, kept).collect()}
+    assert held == {one: "n.txt", two: "n.txt", b"": "empty.txt"} and ids["empty.txt"] in (1, 2, 3)
+    assert lib.file(0, kept).count() == 0
+    trees = lib.search("trees").hits.first()["paper_id"]
+    assert lib.remove(trees, archive=kept).search("trees").count() == 0 and lib.file(trees, kept).count() == 0
+
+
+def test_refiner_in_the_ingest_path(spark):
+    answer = F.lit('{"title": "A refined title", "keywords": ["shrubs"]}')
+    contents = spark.createDataFrame([("n.txt", b"1 Introduction\nlower case text\n")], "name string, content binary")
+    lib, report = small_library(spark).add_files(contents, refine=lambda text: F.when(text.isNotNull(), answer))
+    assert report.first()["title"] == "A refined title" and report.first()["ai_used"]
+    assert lib.papers("refined").first()["keywords"] == ["shrubs"]
+
+
+def test_crawl_of_several_sources_and_url(spark):
+    feed = b'<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/1706.03762v5</id><published>2017</published><title>Shrubs</title><summary>On shrubs.</summary></entry></feed>'
+    rows = [{"id": "http://arxiv.org/abs/1801.00001", "title": "Hedges", "abstract": "On hedges.", "authors": [], "year": 2018}]
+    spark.dataSource.register(crawl.topic_source("preprints", lambda t, n: rows, ("a",)))
+    spark.dataSource.register(crawl.topic_source("works", lambda t, n: [{"id": "W1", "title": "Hedges", "abstract": "On hedges.", "authors": [], "year": 2018}, {"id": "W2", "title": "Lawns"}], ("a",)))
+    told = []
+    lib, status = small_library(spark).crawl("preprints", "works", progress=told.append)
+    assert (status["added"], status["skipped"], status["total"], status["running"]) == (2, 1, 3, False)
+    assert told[0]["running"] and [t["added"] for t in told] == [0, 1, 2, 2]
+    assert lib.add_url("1706.03762", lambda url: feed).search("shrubs").count() == 1
+    with pytest.raises(ValueError):
+        lib.add_url("1706.03762", lambda url: b"<feed xmlns='http://www.w3.org/2005/Atom'/>")
+    with pytest.raises(ValueError):
+        lib.crawl("nowhere")

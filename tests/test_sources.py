@@ -1,10 +1,12 @@
 import io
 import json
+import json
 import zipfile
+import zlib
 
 import pytest
 
-from scriptorium.sources import crawl, files
+from scriptorium.sources import crawl, files, pdf
 from scriptorium.sources.corpus import read_bilingual, read_json, read_stopwords, read_version, write_version
 
 
@@ -79,6 +81,70 @@ def test_layout(spark):
     assert with_pdf["title"] == "A fine title" and not with_pdf["no_text"]
 
 
+def pdf_file(lines, compress=True, info=b"", encrypted=False):
+    """A file of one page whose text is shown line by line."""
+    shown = b"BT /F1 12 Tf 72 720 Td 14 TL\n" + b"\n".join(b"(" + x.replace(b"(", b"\\(").replace(b")", b"\\)") + b") Tj T*" for x in lines) + b"\nET"
+    data = zlib.compress(shown) if compress else shown
+    head = b"<< /Length %d%s >>" % (len(data), b" /Filter /FlateDecode" if compress else b"")
+    body = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 5 0 R >> >> /Contents 4 0 R >>",
+            head + b"\nstream\n" + data + b"\nendstream", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", b"<< " + info + b" >>"]
+    out = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, x) for i, x in enumerate(body))
+    return out + b"trailer << /Root 1 0 R /Info 6 0 R" + (b" /Encrypt 7 0 R" if encrypted else b"") + b" >>\n%%EOF"
+
+
+LINES = [b"Deep trees (a study)", b"Ann Lee and Bo Wu", b"Abstract: We study trees in 2024.", b"Keywords: x"]
+
+
+def test_pdf_reader():
+    for compress in (True, False):
+        assert pdf.read_small(pdf_file(LINES, compress)).text.split("\n") == [x.decode() for x in LINES]
+    spaced = pdf_file([]).replace(b"ET", b"ET")
+    got = pdf.extract(pdf_file(LINES, info=b"/Title (A \\(named\\) title) /CreationDate (D:20190203)"))
+    assert (got.title, got.year) == ("A (named) title", 2019)
+    assert pdf.year_of(["", "D:2018"]) == 2018 and pdf.quality("a\x01�") == 3 - 1 - 20 and pdf.quality("") == -1
+    for bad in (b"", b"%PDF", spaced, pdf_file(LINES, encrypted=True)):
+        with pytest.raises(pdf.NoTextError):
+            pdf.extract(bad)
+    assert pdf._page_text(b"BT /F1 9 Tf [(Se) 20 (arch) -400 (by)] TJ ET BT /F2 9 Tf <00010002> Tj ET", {b"F1": {}, b"F2": {1: "检", 2: "索"}}) == "Search by\n检索"
+    assert pdf._codes(b"beginbfrange <0001> <0002> <4e00> endbfrange beginbfchar <03> <00660069> endbfchar") == {1: "一", 2: "丁", 3: "fi"}
+
+
+def test_pdf_in_parsing(spark):
+    rows = [("a.pdf", pdf_file(LINES)), ("b.pdf", pdf_file([b"x"], info=b"/Title (Its own title) /ModDate (D:2001)")), ("c.pdf", pdf_file(LINES, encrypted=True))]
+    got = {r["name"]: r for r in files.parse_files(spark.createDataFrame(rows, "name string, content binary")).collect()}
+    assert (got["a.pdf"]["title"], got["a.pdf"]["authors"], got["a.pdf"]["year"]) == ("Deep trees (a study)", ["Ann Lee", "Bo Wu"], 2024)
+    assert (got["b.pdf"]["title"], got["b.pdf"]["year"]) == ("Its own title", 2001)
+    assert got["c.pdf"]["no_text"] and got["c.pdf"]["title"] == "c" and "加密" in got["c.pdf"]["error"]
+
+
+FEED = b"""<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/1706.03762v5</id><published>2017-06-12T00:00:00Z</published>
+<title>A
+ title</title><summary> Its text. </summary><author><name>Ann Lee</name></author><author><name>Bo Wu</name></author></entry></feed>"""
+
+
+def test_feeds_and_works(spark):
+    asked = []
+    get = lambda url: asked.append(url) or FEED
+    assert crawl.preprint_fetcher(get)("cs.CL", 5)[0]["authors"] == ["Ann Lee", "Bo Wu"] and "cat%3Acs.CL" in asked[0]
+    got = crawl.lookup(spark, "https://arxiv.org/abs/1706.03762v1", get).first()
+    assert (got["source_id"], got["title"], got["abstract"], got["year"], got["source"]) == ("1706.03762", "A  title", "Its text.", 2017, "url")
+    assert crawl.lookup(spark, "1234.56789", lambda url: b"<feed xmlns='http://www.w3.org/2005/Atom'/>").count() == 0
+    assert crawl.lookup(spark, "", get).count() == 0 and crawl.lookup(spark, "1234.56789", lambda url: b"broken").count() == 0
+    page = json.dumps({"results": [{"id": "https://w/W1", "doi": None, "title": "T", "authorships": [{"author": {"display_name": "A"}}, {"author": None}], "publication_year": 2020, "abstract_inverted_index": {"b": [1], "a": [0]}}]}).encode()
+    urls = []
+    rows = crawl.work_fetcher(lambda url: urls.append(url) or page)("知识图谱", 1)
+    assert len(rows) == 1 and rows[0]["authors"] == ["A"] and rows[0]["inverted"] == {"b": [1], "a": [0]} and "language%3Azh" in urls[0]
+
+
+def test_log_rotates(tmp_path):
+    from scriptorium.log import logger
+
+    log = logger(str(tmp_path))
+    assert logger(str(tmp_path)) is log and len([h for h in log.handlers if str(tmp_path) in getattr(h, "baseFilename", "")]) == 1
+    log.info("said")
+    assert "said" in (tmp_path / "app.log").read_text()
+
+
 def test_crawl_sources(spark):
     def recorded(topic, limit):
         if topic == "broken":
@@ -104,5 +170,8 @@ def test_refiner_guards(spark):
     got = refined(df, lambda text: answer).collect()
     assert got[0]["title"] == "A new title" and got[0]["abstract"].startswith("word") and got[0]["year"] is None
     assert got[1]["abstract"] == "" and got[1]["year"] == 2000 and got[1]["agent_keywords"] == ["trees"]
+    intro = F.lit('{"title": "2 Methods of old", "abstract": "We present a thing. ' + "word " * 20 + '", "keywords": ["trees。", "图；"]}')
+    guarded = refined(df, lambda text: intro).first()
+    assert guarded["title"] == "Old" and guarded["abstract"] == "" and guarded["agent_keywords"] == ["trees"]
     assert refined(df, lambda text: F.lit("no json")).first()["title"] == "Old"
     assert not refined(df).first()["ai_used"]
