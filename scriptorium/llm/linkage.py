@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -166,27 +167,51 @@ def readings(title: str, kinds: KindsOfCharacters) -> list[str]:
     return [plain, " ".join(kept)] if kept and len(kept) < len(title.split()) else [plain]
 
 
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lists(ranges: list[tuple[int, int]], values: np.ndarray) -> tuple[pa.ListArray, np.ndarray]:
+    """The values of each range as a column of lists, and their offsets."""
+    r = np.array(ranges, dtype=np.int64).reshape(-1, 2)
+    size = r[:, 1] - r[:, 0]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    flat = np.repeat(r[:, 0] - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[flat])), offsets
+
+
+def _xor(ranges: list[tuple[int, int]], values: np.ndarray) -> np.ndarray:
+    """The values of each range joined by exclusive or; 0 for an empty one."""
+    column, offsets = _lists(ranges, values)
+    flat, some = column.values.to_numpy(), np.diff(offsets) > 0
+    out = np.zeros(len(ranges), np.int64)
+    if some.any():
+        out[some] = np.bitwise_xor.reduceat(flat, offsets[:-1][some])
+    return out
+
+
+def _some(at: list[int | None], values: np.ndarray) -> pa.Array:
+    """The values at the places, null where there is none."""
+    k = np.array([-1 if x is None else x for x in at], dtype=np.int64)
+    return pa.array(values[k] if len(values) else np.zeros(len(k), np.int64), mask=k < 0)
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (id, c, title, abstract, authors, year): the attributes, hashes standing for texts; a row for each reading of the title.
 
     c: null makes the class from the record itself, as duplicates does: title, abstract, authors and year without formatting.
-    first: whether the task hasn't seen the class before; copies have no attributes, so a class that holds a third of
+    first: whether the task hasn't seen the class before; only such rows' attributes count, so a class that holds a third of
     all rows is a few rows for each task when classes are joined.
     """
     kinds, key_of = KindsOfCharacters(), lru_cache(200_000)(name_key)  # names are heavy-tailed
-    seen: set[tuple[int, int | None]] = set()
+    seen: set[tuple[int, int]] = set()
     for b in batches:
         h, rows = _Hashed(), []
-        for id_, c, title, abstract, authors, year in zip(*(b[x] for x in ("id", "c", "title", "abstract", "authors", "year")), strict=True):
+        for id_, c, title, abstract, authors, year in zip(*(b.column(x).to_pylist() for x in ("id", "c", "title", "abstract", "authors", "year")), strict=True):
             title, abstract, authors = title or "", abstract or "", authors or ""
-            year = None if year is None or year != year else int(year)
             own = None
-            if c is None or c != c:
+            if c is None:
                 names = sorted(map(key_of, authors.split("␞")))
                 own = h.one("␟".join((letters(title), "␞".join(n for n in names if n), str(year), letters(abstract))))
             odd = not abstract.isascii() and bool(_ODD.search(abstract))
             s = h.many(whole_sentences(normalise(clean(abstract, kinds)) if odd else abstract))
-            a = h.many(sorted(author_parts(authors), key=lambda x: (-len(x), x)))
+            a = h.many(author_parts(authors))
             for t in readings(title, kinds):
                 words = title_words(t)
                 n = len(words)
@@ -195,23 +220,27 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 plain = [w for w in words if w not in marks] if marks else words
                 parts = [h.many(w) for w in segments(t)]
                 rows.append((id_, c, own, h.one("".join(words)) if n else None, s, a, year, odd, was_cut(t), h.one(" ".join(sorted(marks))), h.many(plain + marks), len(plain), h.one("".join(begin)) if n >= 4 else None, parts))
+        if not rows:
+            continue
+        id_, given, own, t, s, a, year, odd, cut_, marks, w, plain, start, parts = zip(*rows, strict=True)
         v = _hashes(h.texts)
-        short = (v >> 32).astype(np.int32)
-        at = lambda k: None if k is None else int(v[k])
-        out = []
-        for r in rows:
-            c, t = r[1] if r[2] is None else at(r[2]), at(r[3])
-            if (c, t) in seen:
-                out.append((r[0], c, False, *[None] * (len(_DESCRIBED.split(", ")) - 3)))
-                continue
+        c = [x if o is None else y for x, o, y in zip(given, own, v[[o or 0 for o in own]].tolist(), strict=True)]
+        title = _some(t, v)
+        first = []
+        for key in zip(c, title.to_pylist(), strict=True):
             if len(seen) >= _SEEN:
                 seen.clear()
-            seen.add((c, t))
-            w = v[slice(*r[10])]
-            out.append((r[0], c, True, t, v[slice(*r[4])], short[slice(*r[5])], r[6], r[7], r[8], at(r[9]), w, r[11], int(np.bitwise_xor.reduce(w)), at(r[12]), [int(np.bitwise_xor.reduce(v[slice(*x)])) for x in r[13]]))
-        kinds_of = dict(f.split() for f in _DESCRIBED.split(", "))
-        columns = zip(*out, strict=True) if out else [()] * len(kinds_of)
-        yield pd.DataFrame({n: pd.array(list(x), dtype={"long": "Int64", "int": "Int32"}.get(kinds_of[n], object)) for n, x in zip(kinds_of, columns, strict=True)})
+            first.append(key not in seen)
+            seen.add(key)
+        counts = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        of_parts = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(_xor([x for own_ in parts for x in own_], v)))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(id_, pa.int64()), pa.array(c, pa.int64()), pa.array(first), title, _lists(s, v)[0], _lists(a, (v >> 32).astype(np.int32))[0], pa.array(year, pa.int32()), pa.array(odd), pa.array(cut_),
+                _some(marks, v), _lists(w, v)[0], pa.array(plain, pa.int32()), pa.array(_xor(w, v)), _some(start, v), of_parts,
+            ],
+            names=[f.split()[0] for f in _DESCRIBED.split(", ")],
+        )
 
 
 # Rules by pass, strong ones first: name -> (which attributes it leaves for checking, key columns).
@@ -445,10 +474,10 @@ def confidences(linked: DataFrame, labels: DataFrame | None = None) -> DataFrame
 
 def matches(papers: DataFrame, fetched: DataFrame) -> DataFrame:
     """(paper_id, fetch_id, rule, confidence)."""
-    rows = papers.select("id", F.lit(None).cast("long").alias("c"), "title", "abstract", F.array_join("authors", "␞").alias("authors"), "year")
+    rows = papers.select("id", F.lit(None).cast("long").alias("c"), "title", "abstract", F.array_join("authors", "␞").alias("authors"), F.col("year").cast("int").alias("year"))
     c = F.when(F.col("source_id").isNull(), F.xxhash64("fetch_id", F.lit(2))).otherwise(F.xxhash64("source_id", F.lit(1)))
-    got = fetched.select(F.col("fetch_id").alias("id"), c.alias("c"), "title", "abstract", "authors", "year")
-    p_rows, f_rows = (written(d.mapInPandas(_describe, _DESCRIBED)) for d in (rows, got))
+    got = fetched.select(F.col("fetch_id").alias("id"), c.alias("c"), "title", "abstract", "authors", F.col("year").cast("int").alias("year"))
+    p_rows, f_rows = (written(d.mapInArrow(_describe, _DESCRIBED)) for d in (rows, got))
     linked = link(*(_Side(*bucketed(d.where("first").drop("id", "first"), "c", d.count())) for d in (p_rows, f_rows)))
     linked = linked.join(F.broadcast(confidences(linked)), "rule", "left").select("pc", "fc", "rule", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))  # a row for each rule
     ids = p_rows.select(F.col("id").alias("paper_id"), F.col("c").alias("pc")).distinct()
