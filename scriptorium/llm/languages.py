@@ -196,6 +196,9 @@ class KindsOfCharacters:
     def __init__(self) -> None:
         self.of = self._Known().__getitem__
 
+    def knows(self, c: str) -> bool:
+        return self.of(c) > -9.0
+
     def score(self, before: str, text: str, after: str) -> float:
         return sum(map(self.of, text))
 

@@ -85,6 +85,37 @@ def test_garbled_fields_are_found_and_restored(spark):
     assert recode.garbled_fields(papers.limit(0))[0].count() == 0
 
 
+RUSSIAN = (
+    "В работе предложен новый метод поиска. Результаты показывают, что метод работает быстро. В заключение обсуждаются ограничения и дальнейшие задачи. "
+    "Сравнение показало, что анализ больших фондов и метод взвешивания дополняют друг друга. Эксперименты проведены на наборах данных из трёх архивов. "
+    "До сих пор обработка запросов считалась слишком дорогой для крупных собраний. Обнаружение аномалий остаётся надёжным решением даже на зашумлённых данных."
+)
+
+
+def garbled_as(text, page):
+    return text.encode(page, "ignore").decode("latin-1")
+
+
+@pytest.mark.parametrize("page", ["cp1251", "iso8859-5", "cp866", "cp855"])
+def test_letters_of_any_page_are_learned(page):
+    """cp855 is on no list: its letters come from the words alone."""
+    counted = pd.concat(recode._count_pairs(iter([pd.DataFrame({"text": [RUSSIAN] * 4})]))).groupby("pair")["n"].sum()
+    lm = recode.Bigrams(counted.index.to_numpy(), counted.to_numpy())
+    words = recode.high_words(garbled_as(RUSSIAN, page))
+    tables = recode.learn_tables(sorted(set(words)), [words.count(w) for w in sorted(set(words))], lm)
+    assert len(tables) == 1
+    meant = [w.encode("latin-1").decode(page) for w in words]
+    got = [w.translate(str.maketrans(tables[0])) for w in words]
+    assert sum(a == b for x, y in zip(meant, got, strict=True) for a, b in zip(x, y, strict=True)) > 0.95 * sum(map(len, words))
+
+
+def test_swapped_pages_of_a_source(spark):
+    rows = [(i, "Заметка", RUSSIAN, "x") for i in range(8)] + [(20 + i, t, "GRÖSSE ÜBER ÖL, ÉTÉ À MAÏS", "x") for i, t in enumerate(CLEAN)] + [(100, "Заметка", garbled_as(RUSSIAN, "cp866"), "y"), (101, garbled_as("Метод взвешивания и обзор подходов", "koi8-r"), None, "z"), (102, "Größere Prüfung ÖL", "détection À ÉTÉ", "y")]
+    back = {(r["paper_id"], r["field"]): r for r in recode.restored_fields(spark.createDataFrame(rows, PAPER)).collect()}
+    assert {k: r["key_name"] for k, r in back.items()} == {(100, "abstract"): "learned", (101, "title"): "learned"}
+    assert back[100, "abstract"]["restored"][:40] == RUSSIAN[:40] and back[101, "title"]["restored"] == "Метод взвешивания и обзор подходов"
+
+
 # --- languages -----------------------------------------------------------------------------------------------------
 
 SENTENCES = {
