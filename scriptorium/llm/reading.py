@@ -1,14 +1,15 @@
 """Problem 10: the reading level of each document.
 
 Gradient-boosted regression trees over distributions of sentence length, word length,
-vocabulary and cohesion.  Vocabulary is graded by the labelled documents: a word's grade is the mean
+vocabulary, syntax (length of clauses, share of function words, insertions, figures) and cohesion.  Function words are the
+words that most labelled documents hold, whatever their language.  Vocabulary is graded by the labelled documents: a word's grade is the mean
 level of those that hold it, shrunk to the mean of all, and a document in training
 doesn't count for its own words.  Of each measure, the trees see the distribution over a
 document's sentences, so a title or a stray sentence of another level moves little.
 
 The model is fitted to a bounded sample of labelled documents (``SAMPLE``, chosen by a
 hash of the id).  Folds that keep each source together give predictions of unseen sources;
-an isotonic regression of the levels on these calibrates the grades.  Every document is scored, whole.
+an isotonic regression of the levels on these calibrates the grades, and their errors are reported by source.  Every document is scored, whole.
 
 Edge cases: null, empty and blank texts have no level; null labels don't count; repeated or
 disagreeing labels count by their mean; labels of unknown documents are ignored; without any label no level is given;
@@ -30,6 +31,8 @@ from scriptorium.llm.common import cut, read
 #: Labelled documents that the model is fitted to at most, on average over the hash.
 SAMPLE = 6000
 FOLDS, TREES, DEPTH, RATE, BINS = 4, 80, 4, 0.12, 32
+#: Words that count as function words: those in most of the labelled documents.
+FUNCTION_WORDS = 300
 #: Weight of the mean level in a word's grade, and labelled documents that a graded word needs.
 SHRINK, LEAST_DOCS = 2.0, 2
 
@@ -53,6 +56,10 @@ class Measures:
         self.sum = np.array([0.0, *(g[0] for g in grades.values())])
         self.n = np.array([0, *(g[1] for g in grades.values())])
         self.mean = mean
+        # of equally common words those of the lower code point, so that every fit is the same
+        common = sorted(grades, key=lambda w: (-grades[w][1], w))[:FUNCTION_WORDS]
+        self.function = np.zeros(len(self.sum))
+        self.function[[self.index[w] + 1 for w in common]] = 1.0
 
     def features(self, texts: list[str], own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(matrix, whether the text has any word). own: the text's own level in training, left out of its words' grades."""
@@ -108,7 +115,7 @@ class Measures:
             mean(known),
         ]
         own_counts = np.array(extra, dtype=np.float64)
-        per_sentence += [own_counts[:, 0] / size, own_counts[:, 1] / size]
+        per_sentence += [own_counts[:, 0] / size, own_counts[:, 1] / size, size / (own_counts[:, 1] + 1), mean(self.function[code])]
         texts_with, first, count = np.unique(text_of, return_index=True, return_counts=True)
         columns = []
         for values in per_sentence:
@@ -126,7 +133,7 @@ class Measures:
 
     @classmethod
     def width(cls) -> int:
-        return 9 * (len(cls.QUANTILES) + 1) + 2 + 4
+        return 11 * (len(cls.QUANTILES) + 1) + 2 + 4
 
 
 # --- gradient-boosted trees ----------------------------------------------------------------------------------------
@@ -199,14 +206,17 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Levels:
     """The fitted model: word grades, trees and calibration."""
 
-    def __init__(self, grades: dict[str, tuple[float, int]], mean: float, x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> None:
+    def __init__(self, grades: dict[str, tuple[float, int]], mean: float, x: np.ndarray, y: np.ndarray, folds: np.ndarray, sources: np.ndarray) -> None:
         self.measures = Measures(grades, mean)
         held = np.zeros(len(y))
         for k in np.unique(folds):
             rest = folds != k
             held[~rest] = Trees().fit(x[rest], y[rest]).predict(x[~rest]) if rest.sum() >= 10 else y.mean()
         self.knots, self.levels = isotonic(held, y)
-        self.held, self.y = held, y
+        off = np.abs(self.calibrated(held) - y)
+        by = pd.DataFrame({"source": sources, "documents": 1, "mean_error": off, "within_half": (off <= 0.5).astype(float)}).groupby("source")
+        #: Of each source, the errors of grades from models that didn't see it.
+        self.errors = by.agg({"documents": "sum", "mean_error": "mean", "within_half": "mean"}).reset_index()
         self.trees = Trees().fit(x, y)
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
@@ -255,7 +265,7 @@ def fit_levels(documents: DataFrame, labels: DataFrame) -> Levels | None:
     if got.empty:
         return None
     folds = pd.util.hash_array(got["source"].to_numpy(object), categorize=False) % FOLDS
-    return Levels(grades, mean, np.stack(got["x"].to_numpy()), got["level"].to_numpy(), folds)
+    return Levels(grades, mean, np.stack(got["x"].to_numpy()), got["level"].to_numpy(), folds, got["source"].to_numpy(object))
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -291,5 +301,12 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(*_inputs(spark, sf_dir))
 
 
-QUERIES = {"p10_found": p10_found, "p10_levels": p10_levels}
+def p10_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the cross-validated grades by source: the labelled documents, the mean error, and the share within half a level."""
+    model = fit_levels(*_inputs(spark, sf_dir))
+    rows = [] if model is None else [(r.source, int(r.documents), round(float(r.mean_error), 4), round(float(r.within_half), 4)) for r in model.errors.itertuples()]
+    return spark.createDataFrame(rows, "source string, documents long, mean_error double, within_half double")
+
+
+QUERIES = {"p10_found": p10_found, "p10_levels": p10_levels, "p10_errors": p10_errors}
 SQL: dict[str, str] = {}
