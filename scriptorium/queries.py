@@ -603,10 +603,35 @@ def dictionary(spark, d):
 
 
 
-@query()
+def _re2(pattern: str) -> str:
+    """A pattern of the text functions as DuckDB's engine has it: its word boundaries and blanks know ASCII only."""
+    pattern = pattern.replace("(?iU)", "(?i)").replace("(?U)", "")
+    if pattern.startswith(r"\b"):
+        pattern = r"(?:^|[^\p{L}\p{N}_])" + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + r"(?:[^\p{L}\p{N}_]|$)"
+    return "'" + pattern.replace(r"\S", f"[^{X.SPACE}]").replace(r"\s", f"[{X.SPACE}]").replace("'", "''") + "'"
+
+
+def _is(pattern: str) -> str:
+    return f"regexp_matches(s, {_re2(pattern)})"
+
+
+_STRIP = lambda x: f"regexp_replace({x}, '{_ENDS}', '', 'g')"
+_NOISE = " OR ".join(_is(p) for p in (X.SYMBOL_LINE, X.PAGE_LINE, X.PREPRINT_LINE, X.ADDRESS_LINE, X.PUBLICATION_LINE))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) AS p FROM (SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), '{X.LINE_BREAK}'), lambda x: {_STRIP("x")}) AS a FROM documents)),
+body AS (SELECT doc_id, p, s, {_STRIP("regexp_replace(s, '[ " + chr(92) + "t" + chr(92) + "x{3000}]+', ' ', 'g')")} AS text FROM l
+  WHERE NOT ({_NOISE} OR length(s) <= 90 AND {_is(X.INSTITUTION)} AND ({_is(X.POSTCODE)} OR NOT {_is(X.SENTENCE_MARK)}))),
+fresh AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY p), '') AS before FROM body)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS line, text FROM fresh WHERE s <> before"""
+)
 def clean_document_lines(spark, d):
     """Lines of every document's body, in order."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(X.clean_lines(F.col("text"))).alias("line", "text"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(X.clean_lines(F.col("text"))).alias("line", "text"))
+    return lines.select("doc_id", *long("line"), "text")
 
 
 @query()
@@ -618,7 +643,7 @@ def chinese_words(spark, d):
     return rows
 
 
-@query()
+@query(f"WITH {_KEYED} SELECT id AS paper_id, t AS title FROM k")
 def compatibility_forms(spark, d):
     return corpus(spark, d).select("paper_id", X.comparable(nfkc(F.col("title"))).alias("title"))
 
