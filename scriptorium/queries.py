@@ -377,7 +377,9 @@ def _compatibility() -> str:
 
 
 def _comp(x: str) -> str:
-    return f"lower(trim(regexp_replace(coalesce({x}, ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
+    """Words in lower case with single spaces; a capital sigma at the end of a word has a form of its own, which DuckDB doesn't know."""
+    words = f"regexp_replace(coalesce({x}, ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+    return f"lower(trim(regexp_replace({words}, '(\\p{{L}})Σ([^\\p{{L}}]|$)', '\\1ς\\2', 'g')))"
 
 
 # title, abstract and names in compatibility form, each character looked up; k has the records with their keys t, a, x
