@@ -380,6 +380,8 @@ def _single(keys: DataFrame, name: str) -> DataFrame:
 #: Least share of the shorter title's words that the titles have in common, years apart that another work is, and least share
 #: of the shorter abstract's sentences that makes the same text.
 LIKE, APART, SAME = 0.5, 2, 0.5
+#: Share of the shorter title's words in common that a title with one word changed has at least.
+NEARLY = 0.8
 
 
 def _mask(names: Iterable[str]) -> int:
@@ -391,7 +393,7 @@ BY_TEXT, BY_AUTHOR = _mask(r for r in RULES if r.startswith(("sentence", "second
 
 
 def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame, which: int) -> DataFrame:
-    """(pc, fc, rule, n, s, a, t, y): pairs without contradictions, the strongest rule of the pass that holds, and the agreement
+    """(pc, fc, rule, rules, n, s, a, t, y): pairs without contradictions, the strongest rule of the pass that holds, and the agreement
     of each attribute: null where it is unknown on a side. pairs: (pc, fc, rules as bits, how as bits, n).
 
     A pair that a text names directly has the rules whose other attributes agree too.
@@ -437,11 +439,17 @@ def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame, which: int) -> DataFr
         left = left.bitwiseAND(F.bitwise_not(x))
     j = j.where(~contradicts).withColumn("rules", left).where("rules != 0")
     strongest = F.least(*[F.when(F.col("rules").bitwiseAND(F.lit(1 << k)) != 0, F.lit(k)) for k in range(len(RULES))])
-    return j.select("pc", "fc", strongest.alias("rule"), "n", "s", "a", (F.col("t") >= 0.75).alias("t"), "y")
+    # weaker rules that hold as well: the next passes don't see the pair, but its agreement tells how good they are
+    near = F.coalesce("t", F.lit(0.0))
+    weaker = {"title+author": yes("same_t") & yes("a"), "title+year": yes("same_t") & yes("near_y"), "sentence+year": yes("s") & yes("near_y"), "sentence": yes("s"), "title-1+author": (near >= NEARLY) & yes("a"), "title-1+year": (near >= NEARLY) & yes("near_y"), "title-1+sentence": (near >= NEARLY) & yes("s"), "beginning+author": F.col("short") & (near >= 0.99) & yes("a")}
+    held = F.col("rules")
+    for r, ok in weaker.items():
+        held = held.bitwiseOR(F.when(ok, F.lit(1 << NUMBER[r])).otherwise(F.lit(0)))
+    return j.select("pc", "fc", strongest.alias("rule"), held.alias("rules"), "n", "s", "a", (F.col("t") >= 0.75).alias("t"), "y")
 
 
 def link(p: _Side, f: _Side) -> DataFrame:
-    """(pc, fc, rule, s, a, t, y): linked classes and the strongest rule that linked them."""
+    """(pc, fc, rule, rules, s, a, t, y): linked classes, the strongest rule that linked them and all that hold."""
     linked: DataFrame | None = None
     for which in range(3):
         rest = f if linked is None else replace(f, rows=f.rows.join(linked.select(F.col("fc").alias("c")), "c", "left_anti"))
@@ -453,16 +461,22 @@ def link(p: _Side, f: _Side) -> DataFrame:
         direct = met.direct if which != 1 else met.direct.join(linked.select("fc"), "fc", "left_anti")
         pairs = pairs.unionByName(direct.withColumn("rules", F.lit(0))).groupBy("pc", "fc").agg(F.bit_or("rules").alias("rules"), F.bit_or("how").alias("how"), F.sum("n").alias("n"))
         pairs = _checked(pairs, p.rows, f.rows, which)
-        pairs = pairs.groupBy("pc", "fc").agg(F.min("rule").alias("rule"), *[F.max(x).alias(x) for x in ("n", *"saty")])  # the readings of a title
+        pairs = pairs.groupBy("pc", "fc").agg(F.min("rule").alias("rule"), F.bit_or("rules").alias("rules"), *[F.max(x).alias(x) for x in ("n", *"saty")])  # the readings of a title
         # records that differ in an author or the year only share most keys; the one with more keys in common is meant
-        found = pairs.groupBy("fc").agg(F.max_by(F.struct("pc", "rule", "s", "a", "t", "y"), F.struct("n", -F.col("rule"), "pc")).alias("b")).select("b.pc", "fc", "b.rule", "b.s", "b.a", "b.t", "b.y")
+        found = pairs.groupBy("fc").agg(F.max_by(F.struct("pc", "rule", "rules", "s", "a", "t", "y"), F.struct("n", -F.col("rule"), "pc")).alias("b")).select("b.pc", "fc", "b.rule", "b.rules", "b.s", "b.a", "b.t", "b.y")
         linked = cut(found if linked is None else linked.unionByName(found))
     names = F.element_at(F.array(*[F.lit(r) for r in RULES]), F.col("rule") + 1)
     return linked.withColumn("rule", names)
 
 
 def confidences(linked: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(rule, confidence): smoothed precision by attributes the rule doesn't use, or by labels (pc, fc)."""
+    """(rule, confidence): smoothed precision by attributes the rule doesn't use, or by labels (pc, fc).
+
+    A rule is judged by all pairs that it holds for, also those that a stronger one linked.
+    """
+    if "rules" in linked.columns:
+        each = F.explode(F.array_compact(F.array(*[F.when(F.col("rules").bitwiseAND(F.lit(1 << k)) != 0, F.lit(r)) for r, k in NUMBER.items()])))
+        linked = linked.withColumn("rule", each)
     if labels is not None:
         ok = linked.join(labels.withColumn("true", F.lit(1)), ["pc", "fc"], "left").withColumn("ok", F.coalesce("true", F.lit(0)))
     else:
