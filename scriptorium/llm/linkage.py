@@ -299,7 +299,8 @@ class _Side:
 
     def with_met(self, met: DataFrame) -> DataFrame:
         """The classes that have a text of met (c, b), with the array met of these."""
-        return self.rows.join(met.repartition(self.buckets, "c").groupBy("c").agg(F.collect_set("b").alias("met")), "c")
+        own = met.repartition(self.buckets, "c").groupBy("c").agg(F.collect_set("b").alias("met"))
+        return self.rows.join(own.hint("shuffle_hash"), "c")  # a bucket's texts fit a hash table, and the bucket needn't be sorted
 
 
 @dataclass(frozen=True)
@@ -399,7 +400,9 @@ def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame, which: int) -> DataFr
     A pair that a text names directly has the rules whose other attributes agree too.
     """
     side = lambda d, c, x: d.select(F.col("c").alias(c), *[F.col(n).alias(f"{x}_{n}") for n in ("t", "s", "a", "y", "odd", "cut", "marks", "w")])
-    j = pairs.join(side(p, "pc", "p"), "pc").join(side(f, "fc", "f"), "fc")
+    # pairs are few to a bucket: they make the hash tables that the classes stream past
+    j = side(p, "pc", "p").join(pairs.hint("shuffle_hash"), "pc")
+    j = side(f, "fc", "f").join(j.hint("shuffle_hash"), "fc")
     # whole sentences in common: one alone may be a stock phrase
     both = F.size(F.array_intersect("p_s", "f_s")) / F.least(F.size("p_s"), F.size("f_s"))
     s = F.when((F.size("p_s") > 0) & (F.size("f_s") > 0), F.when(both >= SAME, True).when((both == 0) & ~F.col("p_odd") & ~F.col("f_odd"), False))
@@ -437,22 +440,23 @@ def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame, which: int) -> DataFr
         left = left.bitwiseOR(F.when(ok, F.lit(1 << NUMBER[r])).otherwise(F.lit(0)))
     for x in out:
         left = left.bitwiseAND(F.bitwise_not(x))
-    j = j.where(~contradicts).withColumn("rules", left).where("rules != 0")
-    strongest = F.least(*[F.when(F.col("rules").bitwiseAND(F.lit(1 << k)) != 0, F.lit(k)) for k in range(len(RULES))])
     # weaker rules that hold as well: the next passes don't see the pair, but its agreement tells how good they are
     near = F.coalesce("t", F.lit(0.0))
     weaker = {"title+author": yes("same_t") & yes("a"), "title+year": yes("same_t") & yes("near_y"), "sentence+year": yes("s") & yes("near_y"), "sentence": yes("s"), "title-1+author": (near >= NEARLY) & yes("a"), "title-1+year": (near >= NEARLY) & yes("near_y"), "title-1+sentence": (near >= NEARLY) & yes("s"), "beginning+author": F.col("short") & (near >= 0.99) & yes("a")}
-    held = F.col("rules")
+    held = F.lit(0)
     for r, ok in weaker.items():
         held = held.bitwiseOR(F.when(ok, F.lit(1 << NUMBER[r])).otherwise(F.lit(0)))
-    return j.select("pc", "fc", strongest.alias("rule"), held.alias("rules"), "n", "s", "a", (F.col("t") >= 0.75).alias("t"), "y")
+    j = j.where(~contradicts).select("pc", "fc", left.alias("rules"), held.alias("held"), "n", "s", "a", (F.col("t") >= 0.75).alias("t"), "y")
+    # a title has several readings; the aggregate also keeps the long expressions from being repeated in those that use them
+    j = j.groupBy("pc", "fc").agg(F.bit_or("rules").alias("rules"), F.bit_or("held").alias("held"), *[F.max(x).alias(x) for x in ("n", *"saty")]).where("rules != 0")
+    return j.select("pc", "fc", F.expr("cast(round(log2(rules & -rules)) as int)").alias("rule"), F.col("rules").bitwiseOR(F.col("held")).alias("rules"), "n", "s", "a", "t", "y")
 
 
 def link(p: _Side, f: _Side) -> DataFrame:
     """(pc, fc, rule, rules, s, a, t, y): linked classes, the strongest rule that linked them and all that hold."""
     linked: DataFrame | None = None
     for which in range(3):
-        rest = f if linked is None else replace(f, rows=f.rows.join(linked.select(F.col("fc").alias("c")), "c", "left_anti"))
+        rest = f if linked is None else replace(f, rows=f.rows.join(linked.select(F.col("fc").alias("c")).hint("shuffle_hash"), "c", "left_anti"))
         if which != 1:  # the first two passes have the same texts
             met = _meeting(p.rows, rest.rows, loose=which == 2)
         pk, fk = _single(_keys(p.with_met(met.papers), which, False), "pc"), _keys(rest.with_met(met.fetched), which, True).select("key", F.col("c").alias("fc")).distinct()
@@ -461,7 +465,6 @@ def link(p: _Side, f: _Side) -> DataFrame:
         direct = met.direct if which != 1 else met.direct.join(linked.select("fc"), "fc", "left_anti")
         pairs = pairs.unionByName(direct.withColumn("rules", F.lit(0))).groupBy("pc", "fc").agg(F.bit_or("rules").alias("rules"), F.bit_or("how").alias("how"), F.sum("n").alias("n"))
         pairs = _checked(pairs, p.rows, f.rows, which)
-        pairs = pairs.groupBy("pc", "fc").agg(F.min("rule").alias("rule"), F.bit_or("rules").alias("rules"), *[F.max(x).alias(x) for x in ("n", *"saty")])  # the readings of a title
         # records that differ in an author or the year only share most keys; the one with more keys in common is meant
         found = pairs.groupBy("fc").agg(F.max_by(F.struct("pc", "rule", "rules", "s", "a", "t", "y"), F.struct("n", -F.col("rule"), "pc")).alias("b")).select("b.pc", "fc", "b.rule", "b.rules", "b.s", "b.a", "b.t", "b.y")
         linked = cut(found if linked is None else linked.unionByName(found))
