@@ -393,16 +393,18 @@ def _mask(names: Iterable[str]) -> int:
 BY_TEXT, BY_AUTHOR = _mask(r for r in RULES if r.startswith(("sentence", "second"))), _mask(r for r in RULES if r.endswith(("+author", "+author+year")))
 
 
-def _checked(pairs: DataFrame, p: DataFrame, f: DataFrame, which: int) -> DataFrame:
+def _checked(pairs: DataFrame, p: _Side, f: _Side, which: int) -> DataFrame:
     """(pc, fc, rule, rules, n, s, a, t, y): pairs without contradictions, the strongest rule of the pass that holds, and the agreement
     of each attribute: null where it is unknown on a side. pairs: (pc, fc, rules as bits, how as bits, n).
 
     A pair that a text names directly has the rules whose other attributes agree too.
     """
     side = lambda d, c, x: d.select(F.col("c").alias(c), *[F.col(n).alias(f"{x}_{n}") for n in ("t", "s", "a", "y", "odd", "cut", "marks", "w")])
-    # pairs are few to a bucket: they make the hash tables that the classes stream past
-    j = side(p, "pc", "p").join(pairs.hint("shuffle_hash"), "pc")
-    j = side(f, "fc", "f").join(j.hint("shuffle_hash"), "fc")
+    # a fetched class has few pairs: they make the hash tables that the bucket streams past
+    j = side(f.rows, "fc", "f").join(pairs.hint("shuffle_hash"), "fc")
+    # a paper may have a third of all pairs: its attributes leave their bucket, so that both sides are shuffled and the hot one is split
+    named = side(p.rows, "pc", "p").join(pairs.select("pc").distinct().repartition(p.buckets, "pc").hint("shuffle_hash"), "pc", "left_semi")
+    j = j.join(written(named), "pc")
     # whole sentences in common: one alone may be a stock phrase
     both = F.size(F.array_intersect("p_s", "f_s")) / F.least(F.size("p_s"), F.size("f_s"))
     s = F.when((F.size("p_s") > 0) & (F.size("f_s") > 0), F.when(both >= SAME, True).when((both == 0) & ~F.col("p_odd") & ~F.col("f_odd"), False))
@@ -464,7 +466,7 @@ def link(p: _Side, f: _Side) -> DataFrame:
         pairs = pk.join(fk, "key").groupBy("pc", "fc").agg(F.bit_or(bit).alias("rules"), F.count("*").alias("n")).withColumn("how", F.lit(0))
         direct = met.direct if which != 1 else met.direct.join(linked.select("fc"), "fc", "left_anti")
         pairs = pairs.unionByName(direct.withColumn("rules", F.lit(0))).groupBy("pc", "fc").agg(F.bit_or("rules").alias("rules"), F.bit_or("how").alias("how"), F.sum("n").alias("n"))
-        pairs = _checked(pairs, p.rows, f.rows, which)
+        pairs = _checked(written(pairs), p, f, which)
         # records that differ in an author or the year only share most keys; the one with more keys in common is meant
         found = pairs.groupBy("fc").agg(F.max_by(F.struct("pc", "rule", "rules", "s", "a", "t", "y"), F.struct("n", -F.col("rule"), "pc")).alias("b")).select("b.pc", "fc", "b.rule", "b.rules", "b.s", "b.a", "b.t", "b.y")
         linked = cut(found if linked is None else linked.unionByName(found))

@@ -106,6 +106,14 @@ def test_catalogue_may_hold_a_publication_twice(spark):
     assert {(r["paper_id"], r["fetch_id"]) for r in linkage.matches(papers, fetched).collect()} == {(1, 10), (1, 90), (1, 91)}
 
 
+def test_hot_papers_and_hot_texts(spark):
+    """A third of the fetched records describe one paper, and a third of the papers are copies of it."""
+    papers = spark.createDataFrame([(i, "a", PAPERS[0][2] + "!" * (i % 3), PAPERS[0][3], PAPERS[0][4], 2000) for i in range(40)] + [(100 + i, "a", f"Another work number{i} on quite other things", None, [f"Nam{chr(97 + i % 26)}e Surn{i}x"], 1990) for i in range(80)], P_SCHEMA)
+    fetched = spark.createDataFrame([(i, f"w{i}", "Sparse trees for music tagging", None, "Leeson, A.", 2000) for i in range(60)] + [(1000 + i, f"v{i}", f"Unrelated text {i} about rivers and stones", None, "Nobody Known", 2000) for i in range(120)], F_SCHEMA)
+    got = {(r["paper_id"], r["fetch_id"]) for r in linkage.matches(papers, fetched).collect()}
+    assert got == {(p, f) for p in range(40) for f in range(60)}
+
+
 def test_parts_of_titles_and_short_names(spark):
     papers = spark.createDataFrame([(1, "a", "Revisiting code completion: temporal baselines and a routing policy", None, ["Wei Li", "Jun Xu", "Łukasz Sørensen"], 2008), (2, "a", "Scaling music tagging to 13 million loans", None, ["Yu Ma"], 2001)], P_SCHEMA)
     fetched = spark.createDataFrame([(10, "w1", "temporal baselines and a routing policy", None, "Wei Li, Jun Xu, Lukasz Sorensen", None), (11, "w2", "Scaling music tagging to 43 million loans", None, "Yu Ma", 2001)], F_SCHEMA)
