@@ -92,6 +92,7 @@ def masked(key: Column) -> Column:
 
 # --- titles, years, confidence -------------------------------------------------------------------------------------
 
+# Fixed value: the title of a file whose name has no words.
 UNTITLED = "未命名文献"
 
 
@@ -138,6 +139,7 @@ PUBLICATION_LINE = (
     r"(?iU)^(收稿日期|修回日期|录用日期|网络首发|基金项目|基金资助|资助项目|作者简介|作者单位|通讯作者|通信作者|电子邮箱|e-?mail|邮编|"
     r"中图分类号|文献标志码|文献标识码|文章编号|引文格式|引用本文|DOI|received|revised|accepted|funding|corresponding author)\b"
 )
+# Words of an institution; a postcode; marks that a sentence has; ends of a line.
 INSTITUTION = r"(?i)(大学|学院|研究院|研究所|学校|中心|实验室|University|College|Institute|Department|School)"
 POSTCODE, SENTENCE_MARK = r"(?U)\b\d{5,6}\b", r"[。．.!?？，,:：]"
 LINE_BREAK = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
@@ -179,6 +181,7 @@ PARSE_ERRORS = (
     (r"(?i)zipfile|badzipfile|not a zip", "压缩包不是有效的 ZIP 或已损坏"),
     (r"(?i)filenotfound|permission", "文件读取失败（不存在或无权限）"),
 )
+# Fixed value: what the user is told where no cause is known.
 UNKNOWN_ERROR = "解析失败，详情已记录到日志，可改用 AI 精修或手动填写"
 
 
