@@ -31,10 +31,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import beyond_ascii, cut, read
+from scriptorium.llm.common import beyond_ascii, cut, parallelism, read
 
 # Code pages under which UTF-8 is misread, and swaps of legacy pages (as read, as written).
 MISREAD_UTF8 = ("latin-1", "cp1252", "cp1251", "cp437", "mac_roman", "koi8-r", "cp1250", "cp850")
@@ -283,8 +283,10 @@ def restore(text: str, first: int, lm: Bigrams, learned: Learned | None = None)
 
 _HIGH = frozenset(c for page in SHOWN_AS for c in _chars(page)[0x80:])
 _HIGH_WORD = re.compile("(?<![^\\W\\d_])[" + "".join(re.escape(c) for c in sorted(_HIGH - {"\xa0", "\xad"})) + "]{3,}(?![^\\W\\d_])")
-#: Words of a source that a table is learned from at most, the most frequent ones; tries of a free start.
+#: Distinct words of a source that one task learns from; more are spread over tasks. Tries of a free start.
 WORDS, FREE_TRIES = 5000, 4
+#: Cells of an array of words, places and letters; bytes of sums that come to the driver at once.
+BLOCK, MOST_BYTES = 4_000_000, 64_000_000
 EM_STEPS = 40
 #: Uses that a page's letter for a character counts as having been seen: many where the page is believed, few where it is only a
 #: place to start from, next to none in a free start.
@@ -306,24 +308,36 @@ def may_be_pairs(text: str) -> bool:
 
 
 class Cipher:
-    """Decipherment of words: hidden letters with the corpus' bigrams, a substitution as emissions."""
+    """Decipherment of words: hidden letters with the corpus' bigrams, a substitution as emissions. seen: how often each character
+    is used. The words stay where they are (``Words``, ``SpreadWords``), only sums over them come here."""
 
-    def __init__(self, words: list[str], counts: list[int], lm: Bigrams) -> None:
-        self.words, self.n = words, np.log1p(np.array(counts, dtype=float))  # repeated records repeat their words
+    def __init__(self, seen: dict[str, float], lm: Bigrams) -> None:
         # the alphabet other than Latin that the corpus writes most
         letters = sorted((n, c) for c, n in lm.single.items() if 0x370 <= c < 0x590 and chr(c).isalpha())
         self.letters = [chr(c) for _, c in letters[::-1]]
-        self.chars = sorted(set("".join(words)))
-        at = {c: k for k, c in enumerate(self.chars)}
+        self.chars = sorted(seen)
+        self.seen = np.array([seen[c] for c in self.chars])
+        if not letters:
+            return
         log = np.vectorize(lm.log_p)
         o = np.array([ord(c) for c in self.letters], dtype=np.int64)
         self.first, self.last = np.exp(log(32, o)), np.exp(log(o, 32))
         self.step = np.exp(log(o[:, None], o[None, :]))
         self.common = np.array([n for n, _ in letters[::-1]], dtype=float)
+
+    def groups(self, words: list[str], counts: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(characters, weights) of words of one length, in blocks of bounded size."""
+        at = {c: k for k, c in enumerate(self.chars)}
+        n = np.log1p(np.array(counts, dtype=float))  # repeated records repeat their words
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by_length.setdefault(len(w), []).append(k)
-        self.groups = [(np.array([[at[c] for c in words[k]] for k in own]), self.n[own]) for own in by_length.values()]
+        out = []
+        for size, own in by_length.items():
+            rows = max(1, BLOCK // (size * len(self.letters)))
+            for part in (own[i : i + rows] for i in range(0, len(own), rows)):
+                out.append((np.array([[at[c] for c in words[k]] for k in part]), n[part]))
+        return out
 
     def start(self, page: str | None, shown: str, draw: np.random.Generator) -> np.ndarray:
         """Letters x characters: the page's own letters, or for no page letters of about the same frequency."""
@@ -335,49 +349,41 @@ class Cipher:
                 if meant.get(c) in index:
                     b[index[meant[c]], j] = 1.0
             return b
-        seen = np.zeros(len(self.chars))
-        for x, n in self.groups:
-            np.add.at(seen, x.ravel(), np.repeat(n, x.shape[1]))
-        near = np.abs(np.log(self.common / self.common.sum() + 1e-6)[:, None] - np.log(seen / seen.sum() + 1e-6)[None, :])
+        near = np.abs(np.log(self.common / self.common.sum() + 1e-6)[:, None] - np.log(self.seen / self.seen.sum() + 1e-6)[None, :])
         return np.exp(-near) * draw.gamma(1.0, 1.0, b.shape) + 1e-4
 
-    def learn(self, start: np.ndarray, weight: float) -> tuple[float, np.ndarray]:
-        """(log likelihood of the words, expected uses of each letter for each character) after EM_STEPS rounds.
+    def expected(self, b: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray]:
+        """(log likelihood of the words, expected uses of each letter for each character) under the emissions ``b``.
 
         A word may also be of another cipher or none: then each of its characters is as likely as any, and it counts the
         less the likelier that is.
         """
-        prior = start * weight
-        b = start / start.sum(axis=1, keepdims=True)
-        for _ in range(EM_STEPS):
-            used, total = np.zeros_like(b), 0.0
-            for x, n in self.groups:
-                m, size = x.shape
-                e = b[:, x].transpose(1, 2, 0)  # word, place, letter
-                forward, scale = np.empty_like(e), np.empty((m, size))
-                now = self.first * e[:, 0]
-                for i in range(size):
-                    if i:
-                        now = (forward[:, i - 1] @ self.step) * e[:, i]
-                    scale[:, i] = now.sum(axis=1) + 1e-300
-                    forward[:, i] = now / scale[:, i, None]
-                back = np.tile(self.last, (m, 1))
-                end = (forward[:, -1] * self.last).sum(axis=1) + 1e-300
-                own, other = np.log(scale).sum(axis=1) + np.log(end), np.full(m, -size * np.log(len(self.chars)))
-                either = np.logaddexp(own, other)
-                total += float(n @ either)
-                n = n * np.exp(own - either)
-                for i in range(size - 1, -1, -1):
-                    g = forward[:, i] * back
-                    g *= (n / (g.sum(axis=1) + 1e-300))[:, None]
-                    np.add.at(used.T, x[:, i], g)
-                    back = (back * e[:, i]) @ self.step.T / scale[:, i, None]
-            b = used + prior
-            b /= b.sum(axis=1, keepdims=True)
-        return total, used + prior
-
-    def table(self) -> dict[str, str]:
-        """Character -> letter of the start that explains the words best.
+        used, total = np.zeros_like(b), 0.0
+        for x, n in groups:
+            m, size = x.shape
+            e = b[:, x].transpose(1, 2, 0)  # word, place, letter
+            forward, scale = np.empty_like(e), np.empty((m, size))
+            now = self.first * e[:, 0]
+            for i in range(size):
+                if i:
+                    now = (forward[:, i - 1] @ self.step) * e[:, i]
+                scale[:, i] = now.sum(axis=1) + 1e-300
+                forward[:, i] = now / scale[:, i, None]
+            back = np.tile(self.last, (m, 1))
+            end = (forward[:, -1] * self.last).sum(axis=1) + 1e-300
+            own, other = np.log(scale).sum(axis=1) + np.log(end), np.full(m, -size * np.log(len(self.chars)))
+            either = np.logaddexp(own, other)
+            total += float(n @ either)
+            n = n * np.exp(own - either)
+            for i in range(size - 1, -1, -1):
+                g = forward[:, i] * back
+                g *= (n / (g.sum(axis=1) + 1e-300))[:, None]
+                np.add.at(used.T, x[:, i], g)
+                back = (back * e[:, i]) @ self.step.T / scale[:, i, None]
+        return total, used
+
+    def table(self, words: Words | SpreadWords) -> dict[str, str]:
+        """Character -> letter of the start that explains the words best after EM_STEPS rounds.
 
         A letter that differs from the start's page has to be told, which costs as much as naming one of the letters; so few
         words keep to a page, and many can leave it.
@@ -385,9 +391,13 @@ class Cipher:
         draw = np.random.default_rng(7)
         pages = [self.start(p, s, draw) for p in STARTS for s in SHOWN_AS]
         free = [self.start(None, "", draw) for _ in range(FREE_TRIES)]
+        starts = [*((p, w) for p in pages for w in (_BELIEVED, _STARTED)), *((f, _FREE) for f in free)]
+        emissions = [start / start.sum(axis=1, keepdims=True) for start, _ in starts]
+        for _ in range(EM_STEPS):
+            sums = [(total, used + start * weight) for (total, used), (start, weight) in zip(words.expected(self, emissions), starts, strict=True)]
+            emissions = [used / used.sum(axis=1, keepdims=True) for _, used in sums]
         best, found = -np.inf, pages[0]
-        for start, weight in [*((p, w) for p in pages for w in (_BELIEVED, _STARTED)), *((f, _FREE) for f in free)]:
-            total, used = self.learn(start, weight)
+        for (start, weight), (total, used) in zip(starts, sums, strict=True):
             told = len(self.chars) if weight == _FREE else int(((used.argmax(axis=0) != start.argmax(axis=0)) | (start.max(axis=0) < 1.0)).sum())
             if total - told * np.log(len(self.letters)) > best:
                 best, found = total - told * np.log(len(self.letters)), used
@@ -410,22 +420,104 @@ def completed(table: dict[str, str], alphabet: frozenset[str]) -> dict[str, str]
     return {c: x for c, x in pages[page].items() if c in _HIGH and x != c and (x.isalpha() or c < "\xa0" and x.isprintable())} | {c: table[c] for c in could[page]}
 
 
-def learn_tables(words: list[str], counts: list[int], lm: Bigrams) -> list[dict[str, str]]:
-    """The substitutions of one source: what a table doesn't make likelier is learned again, as long as a table explains words."""
+def _explains(table: dict[str, str], word: str, lm: Bigrams) -> bool:
+    """Whether a table makes a word likelier by the least gain for each of its letters."""
+    return lm.score(" ", word.translate(str.maketrans(table)), " ") - lm.score(" ", word, " ") >= _LEAST_PER_LETTER * len(word)
+
+
+class Words:
+    """The words of a source in memory."""
+
+    def __init__(self, words: list[str], counts: list[int]) -> None:
+        self.words, self.counts, self.size = words, counts, len(words)
+        self._groups: tuple[Cipher, list] | None = None
+
+    def seen(self) -> dict[str, float]:
+        out: dict[str, float] = {}
+        for w, n in zip(self.words, np.log1p(np.array(self.counts, dtype=float)).tolist(), strict=True):
+            for c in w:
+                out[c] = out.get(c, 0.0) + n
+        return out
+
+    def expected(self, cipher: Cipher, emissions: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        if self._groups is None or self._groups[0] is not cipher:
+            self._groups = cipher, cipher.groups(self.words, self.counts)
+        return [cipher.expected(b, self._groups[1]) for b in emissions]
+
+    def without(self, table: dict[str, str], lm: Bigrams) -> Words:
+        """The words that a table doesn't explain."""
+        rest = [(w, n) for w, n in zip(self.words, self.counts, strict=True) if not _explains(table, w, lm)]
+        return Words([w for w, _ in rest], [n for _, n in rest])
+
+
+class SpreadWords:
+    """The words of a source spread over tasks: the driver gets sums over each task's words. words: (word, n)."""
+
+    def __init__(self, words: DataFrame, shared) -> None:
+        self.shared, spark = shared, words.sparkSession
+        words = cut(words)
+        self.size = words.count()
+        self.tasks = min(parallelism(spark), -(-self.size // WORDS)) or 1
+        self.words = cut(words.repartition(self.tasks, "word"))
+
+    def seen(self) -> dict[str, float]:
+        c = self.words.select(F.explode(F.split("word", "")).alias("c"), F.log1p("n").alias("n")).where("c != ''")
+        return {r["c"]: r["n"] for r in c.groupBy("c").agg(F.sum("n").alias("n")).collect()}  # no more than there are high characters
+
+    def expected(self, cipher: Cipher, emissions: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        at_once = max(1, MOST_BYTES // (self.tasks * emissions[0].nbytes))
+        return [x for k in range(0, len(emissions), at_once) for x in self._expected(cipher, emissions[k : k + at_once])]
+
+    def _expected(self, cipher: Cipher, emissions: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        sent = self.words.sparkSession.sparkContext.broadcast((cipher, emissions))
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cipher, emissions = sent.value
+            out = [(0.0, np.zeros_like(b)) for b in emissions]
+            for batch in batches:
+                groups = cipher.groups(batch["word"].tolist(), batch["n"].tolist())
+                new = [cipher.expected(b, groups) for b in emissions]
+                out = [(t + t2, u + u2) for (t, u), (t2, u2) in zip(out, new, strict=True)]
+            yield pd.DataFrame({"k": range(len(out)), "total": [t for t, _ in out], "used": [u.tobytes() for _, u in out]})
+
+        out = [(0.0, np.zeros_like(b)) for b in emissions]
+        for r in self.words.mapInPandas(sums, "k int, total double, used binary").collect():
+            total, used = out[r["k"]]
+            out[r["k"]] = total + r["total"], used + np.frombuffer(r["used"]).reshape(used.shape)
+        sent.destroy()
+        return out
+
+    def without(self, table: dict[str, str], lm: Bigrams) -> SpreadWords:
+        shared = self.shared
+
+        def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = Bigrams(*shared.value)
+            for b in batches:
+                yield b[pd.Series([not _explains(table, w, own) for w in b["word"]], index=b.index, dtype=bool)]
+
+        return SpreadWords(self.words.mapInPandas(rest, self.words.schema), shared)
+
+
+def _learn(words: Words | SpreadWords, lm: Bigrams, enough: int = 0) -> tuple[list[dict[str, str]], Words | SpreadWords | None]:
+    """The substitutions of one source, as long as a table explains words and more than ``enough`` words are left, and
+    the words left to learn from, if any."""
     out: list[dict[str, str]] = []
-    gain = lambda w, t: lm.score(" ", w.translate(t), " ") - lm.score(" ", w, " ")
-    while words:
-        cipher = Cipher(words, counts, lm)
+    while words.size > enough:
+        cipher = Cipher(words.seen(), lm)
         if not cipher.letters:
-            break
-        table = cipher.table()
-        t = str.maketrans(table)
-        rest = [(w, n) for w, n in zip(words, counts, strict=True) if gain(w, t) < _LEAST_PER_LETTER * len(w)]
-        if len(rest) == len(words):
-            break
+            return out, None
+        table = cipher.table(words)
+        rest = words.without(table, lm)
+        if rest.size == words.size:
+            return out, None
         out.append(table)
-        words, counts = [w for w, _ in rest], [n for _, n in rest]
-    return out
+        words = rest
+    return out, words
+
+
+def learn_tables(words: list[str], counts: list[int], lm: Bigrams) -> list[dict[str, str]]:
+    """The substitutions of one source: what a table doesn't make likelier is learned again, as long as a table explains words."""
+    return _learn(Words(words, counts), lm)[0]
 
 
 # Characters that a garbled text needs at least one of: the lead bytes of UTF-8 as shown by each page, and the rest.
@@ -495,17 +587,31 @@ def suspects(fields: DataFrame, shared) -> DataFrame:
     return fields.where(beyond_ascii(F.col("text"))).mapInPandas(_suspects(shared), _FOUND)
 
 
+_TABLES = "array<map<string,string>>"
+
+
 def learned_tables(found: DataFrame, shared) -> DataFrame:
-    """(s, tables) of every source that has words of high characters alone; a source's words are a bounded sample."""
-    words = found.select(F.coalesce("source", F.lit("")).alias("s"), F.explode("words").alias("word")).groupBy("s", "word").agg(F.count("*").alias("n"))
-    most = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("n"), "word"))
-    words = words.withColumn("place", most).where(F.col("place") <= WORDS).select("s", "word", "n")
+    """(s, tables) of every source that has words of high characters alone, learned from all of them: up to WORDS in one task,
+    more of them spread over tasks."""
+    words = cut(found.select(F.coalesce("source", F.lit("")).alias("s"), F.explode("words").alias("word")).groupBy("s", "word").agg(F.count("*").alias("n")))
+    large = [r["s"] for r in words.groupBy("s").agg(F.count("*").alias("size")).where(F.col("size") > WORDS).collect()]
+    own_task, spread = words.where(~F.col("s").isin(large)) if large else words, []
+    for s in large:
+        tables, left = _learn(SpreadWords(words.where(F.col("s") == s).select("word", "n"), shared), Bigrams(*shared.value), WORDS)
+        spread.append((s, tables))
+        if left is not None:
+            own_task = own_task.unionByName(left.words.withColumn("s", F.lit(s)))
 
     def learn(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["n", "word"], ascending=[False, True])
         return pd.DataFrame({"s": own["s"].iloc[:1], "tables": [learn_tables(own["word"].tolist(), own["n"].tolist(), Bigrams(*shared.value))]})
 
-    return words.groupBy("s").applyInPandas(learn, "s string, tables array<map<string,string>>")
+    learned = own_task.groupBy("s").applyInPandas(learn, f"s string, tables {_TABLES}")
+    if not spread:
+        return learned
+    earlier = found.sparkSession.createDataFrame(spread, f"s string, earlier {_TABLES}")
+    none = F.array().cast(_TABLES)
+    return learned.join(earlier, "s", "full").select("s", F.concat(F.coalesce("earlier", none), F.coalesce("tables", none)).alias("tables"))
 
 
 def with_learned(found: DataFrame, shared) -> DataFrame:

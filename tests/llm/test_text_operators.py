@@ -116,6 +116,24 @@ def test_swapped_pages_of_a_source(spark):
     assert back[100, "abstract"]["restored"][:40] == RUSSIAN[:40] and back[101, "title"]["restored"] == "Метод взвешивания и обзор подходов"
 
 
+def test_all_words_of_a_source_are_learned_from(spark, monkeypatch):
+    """Words beyond those of one task, here rarer ones in another page, are learned from too, and give the tables of one task."""
+    other = "Метод взвешивания и обзор подходов к задачам поиска"
+    rows = [(i, "Заметка", RUSSIAN, "x") for i in range(8)] + [(20 + i, t, None, "x") for i, t in enumerate(CLEAN)] + [(100 + i, None, garbled_as(RUSSIAN, "cp1251"), "y") for i in range(3)] + [(200, garbled_as(other, "koi8-r"), None, "y"), (201, garbled_as(other, "koi8-r"), None, None)]
+    fields = recode.fields_of(spark.createDataFrame(rows, PAPER))
+    shared = recode.learn_bigrams(fields)
+    found = recode.suspects(fields, shared).cache()
+
+    def tables():
+        return {r["s"]: r["tables"] for r in recode.learned_tables(found, shared).collect()}
+
+    one_task = tables()
+    monkeypatch.setattr(recode, "WORDS", 20)
+    assert tables() == one_task and set(one_task) == {"", "y"} and len(one_task["y"]) == 2
+    back = {r["paper_id"]: r["restored"] for r in recode.restored_fields(spark.createDataFrame(rows, PAPER)).collect()}
+    assert set(back) == {100, 101, 102, 200, 201} and back[200] == back[201] == other and back[100][:40] == RUSSIAN[:40]
+
+
 # --- languages -----------------------------------------------------------------------------------------------------
 
 SENTENCES = {
