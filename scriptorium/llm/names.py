@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 from itertools import product
 
 import numpy as np
@@ -148,11 +149,17 @@ def _deletions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 LONGEST = 5
-#: Letter sequences that are kept: those seen so often that there can't be more of them than this.
+#: Letter sequences that are broadcast: those seen so often that there can't be more of them than this; rarer ones are joined.
 MOST_SEQUENCES = 400_000
 
 
-def plausibility(part: str, counts: dict[str, int]) -> float:
+def sequences(part: str) -> list[str]:
+    """The distinct letter sequences of a part."""
+    s = f"^{part}$"
+    return list(dict.fromkeys(s[i : i + n] for i in range(len(s)) for n in range(1, min(LONGEST, len(s) - i) + 1)))
+
+
+def plausibility(part: str, counts: Mapping[str, int]) -> float:
     """Log probability of a part from the letter sequences of the other parts: its own are taken out."""
     s, total = f"^{part}$", 0.0
     for i in range(1, len(s)):
@@ -195,11 +202,22 @@ def mistyped(people: DataFrame, parts: DataFrame) -> DataFrame:
     counts = {r[0]: r[1] for r in letters.where(F.col("n") >= least).toLocalIterator()} | {"": single}
     shared = people.sparkSession.sparkContext.broadcast(counts)
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(rarest=[plausibility(p, shared.value) for p in b["part"]])[["part", "df", "rarest"]]
+            yield pd.DataFrame([(p, t) for p in b["part"] for t in sequences(p) if t not in shared.value], columns=["part", "t"])
 
-    rated = parts.mapInPandas(rate, "part string, df long, rarest double")
+    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [ChainMap(dict(r), shared.value) if r is not None else shared.value for r in b["rare"]]
+            yield b.assign(rarest=[plausibility(p, c) for p, c in zip(b["part"], own, strict=True)])[["part", "df", "rarest"]]
+
+    # a sequence seen once is only in its own part, which doesn't count
+    rare = F.lit(None).cast("map<string,long>")
+    if least > 2:
+        few = parts.select("part").mapInPandas(others, "part string, t string").join(letters.where((F.col("n") > 1) & (F.col("n") < least)), "t")
+        few = few.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("few"))
+        parts, rare = parts.join(few, "part", "left"), F.col("few")
+    rated = parts.select("part", "df", rare.alias("rare")).mapInPandas(rate, "part string, df long, rarest double")
     d = people.select("form").mapInPandas(_deletions, _DELETED)
     d = cut(d.join(rated, "part").withColumn("h", F.xxhash64("rest", "variant")).drop("variant", "rest"))
     a, b = (d.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("form", "part", "df", "rarest")]) for x in "ab")

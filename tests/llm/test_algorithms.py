@@ -164,6 +164,19 @@ def test_mistyped_given_name(spark):
     assert got["Beaeriz Koloman"] == got["Beatriz Koloman"] != got["Beatriz Barman"]
 
 
+def test_rare_letter_sequences_count(spark, monkeypatch):
+    """Sequences beyond those that are broadcast count as much as the others."""
+    rows = [f"{g} {s}" for g in ("Beatriz", "Olumide", "Rosalind") for s in ("Koloman", "Barman", "Dorroman", "Feliman", "Grosko", "Hubuko", "Jakobko")] + ["Beaeriz Koloman", "Olumdie Grosko", "Roslind Hubuko", "Beatriz Grosok"]
+    s = names.spellings(spark.createDataFrame([(r,) for r in rows], "name string"))
+    people = s.select("form").distinct().cache()
+    parts = names.parts_of(people)
+    found = lambda: {(r["form"], r["target"]) for r in names.mistyped(people, parts).collect()}
+    all_broadcast = found()
+    assert ("beatriz grosok", "beatriz grosko") in all_broadcast
+    monkeypatch.setattr(names, "MOST_SEQUENCES", 20)
+    assert found() == all_broadcast
+
+
 # --- enrichment ----------------------------------------------------------------------------------------------------
 
 
